@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import ngram_join
+from .ngram_join import op2_ngram_jaccard_join
 from .substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op10_substring_dedup)}
 
 
 def queries():
@@ -16,7 +18,7 @@ def queries():
 def oracle_sql():
     import corpus_pipeline
 
-    sql = {}
+    sql = {"op2_ngram_jaccard_join": ngram_join.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
