@@ -7,8 +7,8 @@ token alone); frequent tokens are dealt into classes, and a class of m tokens co
 pairs). Every signature also names a band of sizes, that of the smaller set of the pair it is to find.
 
 Equal sets are one set from the start. Sets that share a signature are checked as a star around one of them, which
-links most; what a star leaves in different components is checked against the rest, unless the sizes or the triangle
-inequality of the Jaccard distance rule a link out. So links are complete without all pairs of a group.
+links most; what a star leaves in different components is checked against the rest, unless the sizes, the places of the
+signature in both orders or the triangle inequality of the Jaccard distance rule a link out. So links are complete without all pairs of a group.
 
 Defined results: null text and text without words give an empty set, linked with nothing, its own component. A null id
 stays a row (of its own component if its set is empty; as the least id never, unless all ids of a component are null).
@@ -29,8 +29,8 @@ from .repeats import repeated
 
 #: log2 of the counters for token frequencies; of the rows they are sent in.
 SKETCH, CHUNKS = 21, 5
-#: Stars around different members before the rest is checked pair by pair.
-STARS = 2
+#: Rounds in which a few members of each group meet the rest; what is then left is checked at once, whatever its size.
+ROUNDS = 6
 
 
 def token_sets(batch: pa.RecordBatch, width: int):
@@ -100,30 +100,37 @@ def _token_counts(profile: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def signatures(tokens: np.ndarray, count: np.ndarray, frequent: int, percent: int) -> np.ndarray:
-    """Signatures of a set: two sets with a Jaccard similarity of percent/100 or more have one in common, unless they are equal."""
+def signatures(tokens: np.ndarray, count: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, reach) of a set: two sets with a Jaccard similarity of percent/100 or more have one in common, unless they are equal.
+
+    reach bounds their overlap if the signature is the first they share: the tokens from there on, and for a pair of
+    frequent tokens one for each other class, whose only shared token may come before.
+    """
     n = len(tokens)
     least = (percent * n + 99) // 100
     need = n - least + 1
     order = np.lexsort((tokens, count))
     tokens, rare = tokens[order], count[order] < frequent
     single, many = tokens[rare][:need], tokens[~rare]
-    out, rest = [], need - len(single)
+    out, reach, rest = [], [], need - len(single)
     for band in {n.bit_length() - 1, max(least, 1).bit_length() - 1}:
         out.append(H.mix(single, 100 + band))
+        reach.append(n - np.arange(len(single)))
         if rest <= 0:
             continue
-        classes = max(1, (1 << band) // 32)
+        classes = max(1, (1 << band) // 256)
         of = (H.mix(many, 31) % np.uint64(classes)).astype(np.int64)
         new = np.zeros(len(many), np.int64)
         new[np.unique(of, return_index=True)[1]] = 1
         end = int(np.searchsorted(np.cumsum(1 - new), rest)) + 1
         many_, of = many[:end], of[:end]
         for g in np.unique(of):
-            x = np.sort(many_[of == g])
-            i, j = np.triu_indices(len(x), 1)
-            out.append(H.mix(H.mix(x[i], 41) + x[j], 200 + band))
-    return np.unique(np.concatenate(out))
+            at = np.flatnonzero(of == g)
+            i, j = np.triu_indices(len(at), 1)
+            x, y = many_[at[i]], many_[at[j]]
+            out.append(H.mix(H.mix(x, 41) ^ H.mix(y, 41), 200 + band))
+            reach.append(n - len(tokens[rare]) - at[i] + classes - 1)
+    return np.concatenate(out), np.concatenate(reach)
 
 
 def _signed(width: int, percent: int, counts, frequent: int):
@@ -131,8 +138,8 @@ def _signed(width: int, percent: int, counts, frequent: int):
         table_ = counts.value
         for _, t in token_sets(batch, width):
             if len(t) > 1:
-                s = signatures(t, table_[_bucket(t)], frequent, percent).view(np.int64)
-                yield s, np.full(len(s), fingerprint(t)), np.full(len(s), len(t), np.int32)
+                s, reach = signatures(t, table_[_bucket(t)], frequent, percent)
+                yield s.view(np.int64), np.full(len(s), fingerprint(t)), (np.int64(len(t)) << 32) + reach
 
     return rows
 
@@ -176,7 +183,7 @@ class Join:
         # frequent: clearly above what chance gives a counter
         frequent = int(4 * counts.mean() + 64)
         sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
-        self.members = staged(repeated(self.docs.select("text"), _signed(width, percent, sent, frequent), self.n_parts).withColumnRenamed("pos", "n").distinct())
+        self.members = staged(repeated(self.docs.select("text"), _signed(width, percent, sent, frequent), self.n_parts).select("key", "id", F.shiftright("pos", 32).alias("n"), F.col("pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("e")).groupBy("key", "id", "n").agg(F.max("e").alias("e")))
         self.sets = self._candidate_sets()
 
     def _candidate_sets(self) -> DataFrame:
@@ -201,49 +208,69 @@ class Join:
     def linked(self, x: DataFrame) -> DataFrame:
         return x.filter(F.col("inter") * 100 >= F.col("size") * self.percent)
 
-    def labelled(self, labels: DataFrame | None) -> DataFrame:
+    def groups(self) -> DataFrame:
+        """(key, id, n, e, o, c) of one signature for each distinct group; o orders sets by how much they share, c has the most in its group."""
         m = self.members
-        if labels is None:
-            return m.withColumn("label", F.col("id"))
-        return m.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        size = m.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(5), "id")).alias("x"))
+        # groups of the same members say the same
+        size = size.filter("w > 1")
+        one = size.groupBy("w", "h", "x").agg(F.min("key").alias("one"), F.count(F.lit(1)).alias("same"))
+        # groups of the same members say the same
+        size = staged(size.join(_spread(staged(one), "one"), ["w", "h", "x"]).select("key", "one", (F.col("w") * F.col("same")).alias("w")))
+        m = m.join(_spread(size, "key"), "key").groupBy(F.col("one").alias("key"), "id", "n", "w").agg(F.max("e").alias("e"))
+        m = staged(m)
+        weight = m.groupBy("id").agg(F.sum("w").alias("w"))
+        weight = staged(weight.select("id", F.shiftleft("w", 20).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit((1 << 20) - 1))).alias("o")))
+        rows = staged(m.drop("w").join(_spread(weight, "id"), "id"))
+        return rows.join(_spread(staged(rows.groupBy("key").agg(F.max_by("id", "o").alias("c"))), "key"), "key")
 
     def labels(self) -> DataFrame:
-        """(node, label) of the sets that are linked with another."""
-        labels, open_, distances = None, None, None
-        for k in range(STARS):
-            m = self.labelled(labels)
-            if open_ is not None:
-                m = m.join(open_, "key")
-            # a star's centre: the least set that is not in the component of an earlier centre
-            if distances is not None:
-                m = m.join(seen, ["key", "label"], "left_anti")  # noqa: F821
-            centre = staged(m.groupBy("key").agg(F.min("id").alias("a")))
-            full = self.labelled(labels).join(centre, "key")
-            own = self.labelled(labels).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            own = centre.join(own, ["key", "a"])
-            pairs = full.join(own, ["key", "a"]).filter("label <> la").filter(self.close("n", "na"))
-            got = self.checked(pairs.select("a", F.col("id").alias("b")).distinct())
-            distances = got if distances is None else distances.unionByName(got)
-            labels = components(self.linked(distances))
-            at = self.labelled(labels)
-            all_centres = centre if k == 0 else all_centres.unionByName(centre)  # noqa: F821
-            all_centres = staged(all_centres)
-            seen = all_centres.withColumnRenamed("a", "id").join(at, ["key", "id"]).select("key", "label").distinct()
-            open_ = staged(at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key"))
-        # what stars left apart: each set outside the first centre's component against the rest of its group
-        at = staged(self.labelled(labels).join(open_, "key"))
-        first = all_centres.groupBy("key").agg(F.min("a").alias("c"))
-        first = first.join(at.select("key", F.col("id").alias("c"), F.col("label").alias("lc")), ["key", "c"])
-        d = staged(distances.select(F.col("a").alias("c"), F.col("b").alias("id"), (F.lit(1.0) - F.col("inter") / F.col("size")).alias("d")).distinct())
-        at = staged(at.join(first, "key").join(d, ["c", "id"], "left").select("key", "id", "n", "label", "lc", "d"))
-        done = all_centres.select("key", F.col("a").alias("id"))
-        # a centre has met its whole group already
-        at = at.join(done, ["key", "id"], "left_anti")
-        f = at.filter("label <> lc").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("d").alias("da"))
-        reach = 1 - self.percent / 100 + 1e-9
-        pairs = at.join(f, "key").filter("label <> la").filter((F.col("label") == F.col("lc")) | (F.col("a") < F.col("id"))).filter(self.close("n", "na")).filter(F.coalesce(F.abs(F.col("d") - F.col("da")) <= reach, F.lit(True)))
-        got = self.checked(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-        return components(self.linked(got), labels)
+        """(node, label) of the sets that are linked with another.
+
+        In each round a few members of every group meet all of it that lies in other components, and leave it. First
+        that is the centre, which links most. A group is done when what is left of it is one component. As soon as the
+        pairs that are left are no more than the rows of all groups, they are checked at once.
+        """
+        rows = staged(self.groups().withColumn("d", F.lit(None).cast("double")))
+        bound, labels = 2 * self.members.count(), None
+        for k in range(ROUNDS):
+            if labels is None:
+                at = rows.withColumn("label", F.col("id")).withColumn("lc", F.col("c"))
+                orders = [F.col("o")]
+            else:
+                names = _spread(labels, "node")
+                at = rows.join(names.select(F.col("node").alias("id"), "label"), "id", "left").join(names.select(F.col("node").alias("c"), F.col("label").alias("lc")), "c", "left")
+                at = staged(at.withColumn("label", F.coalesce("label", "id")).withColumn("lc", F.coalesce("lc", "c")))
+                orders = [F.col("o"), *(F.xxhash64(F.lit(100 * k + j), "id") for j in range(4 if k == 1 else 8))]
+            groups = at.groupBy("key").agg(F.array_distinct(F.array(*(F.max_by("id", o) for o in orders))).alias("fs"), F.count_if(F.col("label") != F.col("lc")).alias("apart"), F.count(F.lit(1)).alias("all"), F.min("label").alias("x"), F.max("label").alias("y"))
+            groups = staged(groups.filter("x <> y"))
+            work = groups.agg(F.sum(F.col("apart").cast("double") * F.col("all"))).first()[0]
+            if work is None:
+                break
+            last = k > 0 and (work <= bound or k == ROUNDS - 1)
+            at = at.join(_spread(groups.select("key", "fs"), "key"), "key")
+            f = at.filter("label <> lc" if last else "array_contains(fs, id)").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("d").alias("da"), F.col("e").alias("ea"))
+            most = F.least("e", "ea")
+            pairs = at.join(f, "key").filter("label <> la").filter(self.close("n", "na")).filter(most * 100 >= (F.col("n") + F.col("na") - most) * self.percent)
+            pairs = pairs.filter((F.col("a") < F.col("id")) | (F.col("label") == F.col("lc") if last else ~F.array_contains("fs", F.col("id"))))
+            reach = 1 - self.percent / 100 + 1e-9
+            pairs = pairs.filter(F.coalesce(F.abs(F.col("d") - F.col("da")) <= reach, F.lit(True)))
+            got = self.checked(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+            labels = components(self.linked(got), labels)
+            if last:
+                break
+            rows = at.filter(~F.array_contains("fs", F.col("id"))).drop("label", "lc", "fs")
+            if k == 0:  # distances from the centres, for the triangle inequality
+                far = F.lit(1.0) - F.col("inter") / F.col("size")
+                d = got.select(F.col("a").alias("c"), F.col("b").alias("id"), far.alias("e")).unionByName(got.select(F.col("b").alias("c"), F.col("a").alias("id"), far.alias("e")))
+                rows = rows.drop("d").join(d.withColumnRenamed("e", "d"), ["c", "id"], "left")
+            rows = staged(rows)
+        return labels
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """df, marked for broadcast if it is small."""
+    return F.broadcast(df) if fits_broadcast(df.select(key), 64) else df
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows of a map task that are compared before they go out; bounds its memory.
-BUFFER = 1 << 20
-SCHEMA = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("state", pa.int8())])
-SPARK = "route long, key long, id long, pos int, state byte"
+BUFFER = 1 << 19
+SCHEMA = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("state", pa.int8())])
+SPARK = "route long, key long, id long, pos long, state byte"
 #: state: alone in its task; known to repeat, stands for its key; settled, only passes through.
 ALONE, KNOWN, SETTLED = 0, 1, 2
 
@@ -41,7 +41,7 @@ def combined(key: np.ndarray, ident: np.ndarray, pos: np.ndarray) -> pa.RecordBa
     k = key[order].view(np.int64)
     # settled rows go anywhere: by their place in the task, so that no reducer gets more than its share
     route = np.where(state == SETTLED, np.arange(len(k), dtype=np.int64) * 0x9E3779B1 + 1, k)
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(k), pa.array(ident[order].view(np.int64)), pa.array(pos[order].astype(np.int32)), pa.array(state)], schema=SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(k), pa.array(ident[order].view(np.int64)), pa.array(pos[order].astype(np.int64)), pa.array(state)], schema=SCHEMA)
 
 
 def mapper(rows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]):
@@ -83,4 +83,4 @@ def _reduce(batches):
 
 def repeated(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], partitions: int) -> DataFrame:
     """(key, id, pos) of the rows whose key is also that of another (id, pos)."""
-    return df.mapInArrow(mapper(rows), SPARK).repartition(partitions, "route").mapInArrow(_reduce, "key long, id long, pos int")
+    return df.mapInArrow(mapper(rows), SPARK).repartition(partitions, "route").mapInArrow(_reduce, "key long, id long, pos long")

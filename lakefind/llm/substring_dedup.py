@@ -52,7 +52,7 @@ def _anchors(width: int):
             pos = np.arange(len(h)) - first[doc]
             at = np.flatnonzero(member[pos % period] & (pos + size <= n[doc]) & (n[doc] >= width))
             if len(at):
-                yield H.windows(h, at, size).view(np.int64), ident[a + doc[at]], pos[at].astype(np.int32)
+                yield H.windows(h, at, size).view(np.int64), ident[a + doc[at]], pos[at]
 
     return rows
 
@@ -77,7 +77,7 @@ def _candidates(width: int):
                     g = at + first[d - a]
                     one, two = H.windows(h, g, width, H.WORDS, s1), H.windows(h, g, width, H.WORDS2, s2)
                     # the shuffle key mixes both halves; equality of the 64-bit mix of 128 bits stands for equality of the words
-                    yield H.mix(one ^ H.mix(two, 7), 3).view(np.int64), np.full(len(at), t1[d]), at.astype(np.int32)
+                    yield H.mix(one ^ H.mix(two, 7), 3).view(np.int64), np.full(len(at), t1[d]), at
 
     return rows
 
