@@ -180,8 +180,8 @@ class Join:
         both = staged(self.docs.mapInArrow(_profile(width, arrow_id), f"id {id_type}, n long, set long, chunk int, counts binary"))
         counts = _token_counts(both)
         self.profile = both.filter("chunk is null").select("id", "n", "set")
-        # frequent: clearly above what chance gives a counter
-        frequent = int(4 * counts.mean() + 64)
+        # frequent: clearly above what chance gives a counter, and in one of 200 documents
+        frequent = int(max(4 * counts.mean() + 64, self.profile.count() / 200))
         sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
         self.members = staged(repeated(self.docs.select("text"), _signed(width, percent, sent, frequent), self.n_parts).select("key", "id", F.shiftright("pos", 32).alias("n"), F.col("pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("e")).groupBy("key", "id", "n").agg(F.max("e").alias("e")))
         self.sets = self._candidate_sets()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import line_dedup, ngram_join
+from .bpe import op9_byte_level_bpe
+from .line_dedup import op5_line_dedup
 from .ngram_join import op2_ngram_jaccard_join
+from .quality import op6_quality
+from .secrets import op3_secret_scan
 from .substring_dedup import op10_substring_dedup
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_line_dedup, op6_quality, op9_byte_level_bpe, op10_substring_dedup)}
 
 
 def queries():
@@ -18,7 +23,7 @@ def queries():
 def oracle_sql():
     import corpus_pipeline
 
-    sql = {"op2_ngram_jaccard_join": ngram_join.ORACLE_SQL}
+    sql = {"op2_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
