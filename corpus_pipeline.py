@@ -1,15 +1,57 @@
-"""Corpus pipeline over `documents`: each stage's rows are written as Parquet and read back as the next one's input."""
+"""Corpus pipeline over `documents`: each stage's rows are written as Parquet and read back as the next one's input.
+
+Toxic documents go; later copies of line runs are cut out (a document of which nothing is left goes); one document of
+each group of near duplicates stays (five words, 0.8); documents that hold benchmark items go; the rest is encoded.
+Null and empty texts pass every filter. Extra columns of the input are dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakefind.llm.common import staged, table
+from lakefind.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
+from lakefind.llm.common import fits_broadcast, staged, table
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: No SQL has a trained classifier's decisions.
 ORACLE_SQL = None
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    model = toxicity.learnt(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    bad = staged(toxicity.scored(docs, model).filter(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct())
+    return docs.join(F.broadcast(bad) if fits_broadcast(bad, 64) else bad, "doc_id", "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    d = line_dedup.dedup(docs.select(*COLUMNS))
+    d = d.filter((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
+    d = d.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("__kept").cast("long")).otherwise(F.col("n_chars")))
+    return d.withColumn("text", F.col("__kept")).select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    gone = ngram_join.similar(docs, width=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = staged(gone)
+    return docs.join(F.broadcast(gone) if fits_broadcast(gone, 64) else gone, "doc_id", "left_anti")
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.flagged(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).filter(F.size("__items") == 0).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", toxic), ("line dedup", lines), ("n-gram Jaccard join", near), ("benchmark decontamination", leaks), ("byte-level BPE", encode)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import line_dedup, ngram_join
 from .bpe import op9_byte_level_bpe
+from .decontaminate import op7_decontamination
+from .html_text import op1_html_extraction
 from .line_dedup import op5_line_dedup
 from .ngram_join import op2_ngram_jaccard_join
 from .quality import op6_quality
@@ -11,7 +13,7 @@ from .secrets import op3_secret_scan
 from .substring_dedup import op10_substring_dedup
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_line_dedup, op6_quality, op9_byte_level_bpe, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_line_dedup, op6_quality, op7_decontamination, op9_byte_level_bpe, op10_substring_dedup)}
 
 
 def queries():
