@@ -13,11 +13,8 @@ LITERALS literals; equal items are found by each of their ids; the same document
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,89 +24,109 @@ from .common import fits_broadcast, staged, table
 WINDOW, LITERALS, COVER = 8, 5, 0.6
 #: log2 of the filter's bits; the shortest item that is looked for, in tokens.
 FILTER, SHORTEST = 22, 6
-MEMO = 300_000
 #: Fixed list of unit words.
-UNITS = frozenset("km m cm mm mi ft in kg g mg lb oz l ml s ms sec min h hr hours hour minutes minute seconds second days day weeks week months month years year meters meter metres metre kilometers miles mile feet foot inches inch kilograms grams gram pounds pound dollars dollar euros euro cents percent % $ € £ °c °f degrees degree liters litres kph mph km/h".split())
-NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|e\d+)?$")
-EDGE = ".,;:!?\"'()[]{}*#&%$|…«»“”„"
-NAME, NUM, UNIT = (xxhash.xxh3_64_intdigest(x) for x in (b"<name>", b"<num>", b"<unit>"))
-
-
-class Tokens(dict):
-    """A word's number; rows say what it is: hash at a sentence's start, hash inside, placeholder at the start, inside, and whether a sentence ends with it."""
-
-    def __init__(self):
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []
-        self.words: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        core = word.strip(EDGE)
-        low = core.lower()
-        h = xxhash.xxh3_64_intdigest(low.encode())
-        ends = word[-1] in ".!?" or (len(word) > 1 and word[-1] in "\"')”»" and word[-2] in ".!?")
-        if core and NUMBER.match(core):
-            row = (NUM, NUM, True, True, ends)
-        elif low in UNITS and low != "in":
-            row = (UNIT, UNIT, True, True, ends)
-        elif core[:1].isupper() and core[1:2].islower():
-            row = (h, NAME, False, True, ends)
-        else:
-            row = (h, h, False, False, ends)
-        self.rows.append(row)
-        self.words.append(low)
-        self[word] = k = len(self.rows) - 1
-        return k
-
-
-class Canon:
-    def __init__(self):
-        self.start()
-
-    def start(self) -> None:
-        self.tokens, self.done = Tokens(), 0
-        self.inner = self.first = np.zeros(0, np.uint64)
-        self.slot_inner = self.slot_first = self.ends = np.zeros(0, bool)
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hash, is a placeholder, word number) of each word."""
-        if len(self.tokens) > MEMO:
-            self.start()
-        words = text.split()
-        ids = np.fromiter(map(self.tokens.__getitem__, words), np.int64, len(words))
-        if len(self.tokens.rows) > self.done:
-            new = self.tokens.rows[self.done :]
-            f, i, sf, si, e = zip(*new, strict=True)
-            self.first, self.inner = np.concatenate((self.first, np.array(f, np.uint64))), np.concatenate((self.inner, np.array(i, np.uint64)))
-            self.slot_first, self.slot_inner, self.ends = (np.concatenate((a, np.array(b, bool))) for a, b in ((self.slot_first, sf), (self.slot_inner, si), (self.ends, e)))
-            self.done = len(self.tokens.rows)
-        if not len(ids):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), ids
-        begin = np.concatenate(([True], self.ends[ids[:-1]]))
-        # a line's first word begins a sentence too
-        return np.where(begin, self.first[ids], self.inner[ids]), np.where(begin, self.slot_first[ids], self.slot_inner[ids]), ids
-
-
-def windows(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows with enough literals."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    c = np.concatenate(([0], np.cumsum(~slot)))
-    start = np.flatnonzero(c[width:] - c[:n] >= LITERALS)
-    return start, H.windows(h, start, width)
-
-
-def item_windows(texts: list[tuple[int, str]]):
+UNITS = "km m cm mm mi ft kg g mg lb oz l ml s ms sec min h hr hours hour minutes minute seconds second days day weeks week months month years year meter meters metre metres kilometers miles mile feet foot inches inch kilograms grams gram pounds pound dollars dollar euros euro cents percent degrees degree liters litres kph mph km/h".split()
+#: Marks around a word that aren't part of it; marks that end a sentence; quotes and brackets that may follow them.
+EDGE, STOP, CLOSE = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?\"'()[]{}*#&%$|", b".!?", b"\"')"))
+DIGIT, UPPER = np.zeros(256, bool), np.zeros(256, bool)
+DIGIT[48:58] = UPPER[65:91] = True
+LETTER = UPPER.copy()
+LETTER[97:123] = LETTER[128:] = True
+NAME, NUM, UNIT = np.uint64(0x6E616D65), np.uint64(0x6E756D), np.uint64(0x756E6974)
+
+
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Bytes in lower case: A-Z and the Latin-1 letters."""
+    low = H.LOWER[data]
+    big = np.flatnonzero(data[:-1] == 0xC3) + 1
+    big = big[(data[big] >= 0x80) & (data[big] <= 0x9E) & (data[big] != 0x97)]
+    low[big] += 0x20
+    return low
+
+
+def _hash_of(words: list[str]) -> np.ndarray:
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w.encode()) for w in words])
+    return np.sort(H.spelled(data, np.concatenate(([0], end[:-1])), end))
+
+
+UNIT_HASHES = _hash_of(UNITS)
+
+
+class Template:
+    """Template tokens of a group of documents: hash, whether it is a placeholder, place of the bare word, document."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        start, end, self.first = H.bounds(data, offsets)
+        n = len(start)
+        self.low = low = _plain(data)
+        s, e = start.copy(), end.copy()
+        for _ in range(8):
+            m = (s < e) & EDGE[data[np.minimum(s, e - 1)]]
+            if not m.any():
+                break
+            s += m
+        for _ in range(8):
+            m = (s < e) & EDGE[data[e - 1]]
+            if not m.any():
+                break
+            e -= m
+        h = H.spelled(low, s, e)
+        some = s < e
+        one, two = data[np.minimum(s, len(data) - 1)], data[np.minimum(s + 1, len(data) - 1)]
+        letters = np.concatenate(([0], np.cumsum(LETTER[data])))
+        letters = letters[e] - letters[s]
+        number = some & (DIGIT[one] | (((one == 43) | (one == 45)) & DIGIT[two] & (e - s > 1))) & (letters <= 2)
+        at = np.minimum(np.searchsorted(UNIT_HASHES, h), len(UNIT_HASHES) - 1)
+        unit = some & (UNIT_HASHES[at] == h) & ~number
+        wide = (one == 0xC3) & (two >= 0x80) & (two <= 0x9E)
+        after = data[np.minimum(s + 1 + wide, len(data) - 1)]
+        capital = some & (UPPER[one] | wide) & (e - s > 1 + wide) & LETTER[after] & ~UPPER[after]
+        ends = STOP[data[end - 1]] | (CLOSE[data[end - 1]] & (end - start > 1) & STOP[data[np.maximum(end - 2, 0)]])
+        begin = np.ones(n, bool)
+        begin[1:] = ends[:-1]
+        begin[self.first[:-1][self.first[:-1] < n]] = True
+        name = capital & ~begin & ~number & ~unit
+        self.hash = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
+        self.slot = number | unit | name
+        self.s, self.e = s, e
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of the windows inside a document that have enough literals."""
+        n = len(self.hash) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        c = np.concatenate(([0], np.cumsum(~self.slot)))
+        start = np.flatnonzero((c[width:] - c[:n] >= LITERALS) & (self.doc[:n] == self.doc[width - 1 :]))
+        return start, H.windows(self.hash, start, width)
+
+    def slots(self, start: int, width: int) -> list[str | None]:
+        """The words behind the placeholders of a window, in lower case."""
+        return [bytes(self.low[self.s[j] : self.e[j]]).decode(errors="replace") if self.slot[j] else None for j in range(start, start + width)]
+
+
+def templates(col: pa.Array):
+    """(first row, Template) of each group of a batch's documents."""
+    data, offsets = H.utf8(col)
+    for a, b in H.groups(offsets):
+        lo, hi = offsets[a], offsets[b]
+        if hi > lo:
+            yield a, Template(data[lo:hi], offsets[a : b + 1] - lo)
+
+
+def item_windows(items: pa.Array, texts: pa.Array):
     """Rows (item, n windows, start, width, hash, slot words) of benchmark items."""
-    canon = Canon()
-    for item, text in texts:
-        h, slot, ids = canon(text or "")
-        w = min(WINDOW, len(h))
-        if w < SHORTEST:
-            continue
-        start, key = windows(h, slot, w)
-        for s, k in zip(start.tolist(), key.view(np.int64).tolist(), strict=True):
-            yield item, len(start), s, w, k, [canon.tokens.words[ids[j]] if slot[j] else None for j in range(s, s + w)]
+    items = items.to_pylist()
+    for a, t in templates(texts):
+        size = np.diff(t.first)
+        for w in range(SHORTEST, WINDOW + 1):
+            start, key = t.windows(w)
+            doc = t.doc[start]
+            on = np.minimum(size[doc], WINDOW) == w
+            n = np.bincount(doc[on], minlength=len(size))
+            for s, k, d in zip(start[on].tolist(), key[on].view(np.int64).tolist(), doc[on].tolist(), strict=True):
+                yield items[a + d], int(n[d]), s - int(t.first[d]), w, k, t.slots(s, w)
 
 
 ITEM = "item_id long, n_windows int, item_at int, width int, key long, item_slots array<string>"
@@ -117,7 +134,7 @@ ITEM = "item_id long, n_windows int, item_at int, width int, key long, item_slot
 
 def _items(batches):
     for b in batches:
-        rows = list(item_windows(list(zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True))))
+        rows = list(item_windows(b.column("item_id"), b.column("text")))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "n_windows", "item_at", "width", "key", "item_slots"])
@@ -136,17 +153,16 @@ def _bits(batches):
 def _matches(sent, widths: list[int]):
     def run(batches):
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        canon = Canon()
         for b in batches:
             ident = b.column("id")
             out: list[list] = [[], [], [], [], []]
-            for d, text in enumerate(b.column("text").to_pylist()):
-                h, slot, ids = canon(text or "")
+            for a, t in templates(b.column("text")):
                 for w in widths:
-                    start, key = windows(h, slot, w)
+                    start, key = t.windows(w)
                     on = np.flatnonzero(bits[(key >> np.uint64(64 - FILTER)).astype(np.int64)])
                     for s, k in zip(start[on].tolist(), key[on].view(np.int64).tolist(), strict=True):
-                        for column, v in zip(out, (d, s, w, k, [canon.tokens.words[ids[j]] if slot[j] else None for j in range(s, s + w)]), strict=True):
+                        d = int(t.doc[s])
+                        for column, v in zip(out, (a + d, s - int(t.first[d]), w, k, t.slots(s, w)), strict=True):
                             column.append(v)
             yield pa.RecordBatch.from_arrays([ident.take(pa.array(out[0], pa.int32())), b.column("th").take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.string()))], names=["id", "th", "at", "width", "key", "slots"])
 

@@ -78,11 +78,9 @@ def groups(offsets: np.ndarray, size: int = GROUP) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word and the first word of each document, of one group; offsets start at 0 in data."""
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each word and the first word of each document, of one group; offsets start at 0 in data."""
     n = len(data)
-    if lower:
-        data = LOWER[data]
     dark = ~SPACE[data]
     first, last = dark.copy(), dark.copy()
     first[1:] &= ~dark[:-1]
@@ -91,9 +89,21 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     first[inner] = dark[inner]
     last[inner - 1] = dark[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
+def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from start to end."""
     s = BYTES.prefix(data.astype(U) + U(1))
-    h = mix(BYTES.between(s, start, end) + (end - start).astype(U))
-    return h, start, end, np.searchsorted(start, offsets)
+    return mix(BYTES.between(s, start, end) + (end - start).astype(U))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word and the first word of each document, of one group; offsets start at 0 in data."""
+    if lower:
+        data = LOWER[data]
+    start, end, first = bounds(data, offsets)
+    return spelled(data, start, end), start, end, first
 
 
 def windows(h: np.ndarray, start: np.ndarray, width: int, poly: Poly = WORDS, prefix: np.ndarray | None = None) -> np.ndarray:
