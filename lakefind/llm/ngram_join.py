@@ -229,10 +229,10 @@ class Join:
 
         In each round a few members of every group meet all of it that lies in other components, and leave it. First
         that is the centre, which links most. A group is done when what is left of it is one component. As soon as the
-        pairs that are left are no more than the rows of all groups, they are checked at once.
+        pairs that are left are in proportion to the rows of all groups, those that may be links are checked at once.
         """
         rows = staged(self.groups().withColumn("d", F.lit(None).cast("double")))
-        bound, labels = 2 * self.members.count(), None
+        bound, labels = 100 * self.members.count(), None
         for k in range(ROUNDS):
             if labels is None:
                 at = rows.withColumn("label", F.col("id")).withColumn("lc", F.col("c"))
