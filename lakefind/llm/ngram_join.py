@@ -200,9 +200,13 @@ class Join:
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """(a, b) -> (a, b, inter, size) by exact intersection."""
-        t = self.sets
-        x = pairs.join(t.select(F.col("set").alias("b"), F.col("tokens").alias("tb")), "b")
-        x = x.join(t.select(F.col("set").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+        pairs, t = staged(pairs), self.sets
+        # only the sets that are asked for go through the shuffle
+        for name in ("b", "a"):
+            ids = staged(pairs.select(F.col(name).alias("set")).distinct())
+            some = t.join(_spread(ids, "set"), "set", "left_semi").select(F.col("set").alias(name), F.col("tokens").alias(f"t{name}"))
+            pairs = pairs.join(some, name)
+        x = pairs.select("a", "b", "ta", "tb")
         return staged(x.mapInArrow(_overlaps, "a long, b long, inter long, size long").distinct())
 
     def linked(self, x: DataFrame) -> DataFrame:
