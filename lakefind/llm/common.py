@@ -60,7 +60,10 @@ def plan_bytes(df: DataFrame) -> int:
 
 def parts(df: DataFrame, mb: float = 8.0) -> int:
     """Shuffle partitions that keep what one task gathers near `mb` MB of the input df is read from."""
-    return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(plan_bytes(df) / (mb * 1e6), 2e6)))
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    if size > 1e17:  # rows that aren't read from files have no size
+        return least
+    return int(max(least, min(size / (mb * 1e6), 2e6)))
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 16 << 20) -> bool:

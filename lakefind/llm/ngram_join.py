@@ -250,7 +250,7 @@ class Join:
             groups = staged(groups.filter("x <> y"))
             work = groups.agg(F.sum(F.col("apart").cast("double") * F.col("all"))).first()[0]
             if work is None:
-                break
+                break  # every group is one component
             last = k > 0 and (work <= bound or k == ROUNDS - 1)
             at = at.join(_spread(groups.select("key", "fs"), "key"), "key")
             f = at.filter("label <> lc" if last else "array_contains(fs, id)").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("d").alias("da"), F.col("e").alias("ea"))
@@ -269,7 +269,7 @@ class Join:
                 d = got.select(F.col("a").alias("c"), F.col("b").alias("id"), far.alias("e")).unionByName(got.select(F.col("b").alias("c"), F.col("a").alias("id"), far.alias("e")))
                 rows = rows.drop("d").join(d.withColumnRenamed("e", "d"), ["c", "id"], "left")
             rows = staged(rows)
-        return labels
+        return labels if labels is not None else self.profile.limit(0).selectExpr("set as node", "set as label")
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
