@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import fits_broadcast, parts, staged, table
+from .common import fits_broadcast, lean, parts, staged, table
 from .components import components
 from .repeats import repeated
 
@@ -93,7 +93,7 @@ def _sum_counts(batches):
 def _token_counts(profile: DataFrame) -> np.ndarray:
     """The counters over all documents: 2**SKETCH numbers, whatever the size of the corpus."""
     rows = profile.filter("chunk is not null").select("chunk", "counts")
-    rows = rows.mapInArrow(_sum_counts, "chunk int, counts binary").repartition(1 << CHUNKS, "chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
+    rows = rows.mapInArrow(lean(_sum_counts), "chunk int, counts binary").repartition(1 << CHUNKS, "chunk").mapInArrow(lean(_sum_counts), "chunk int, counts binary")
     out = np.zeros((1 << CHUNKS, 1 << (SKETCH - CHUNKS)), np.uint64)
     for r in rows.collect():
         out[r.chunk] = np.frombuffer(r.counts, np.uint64)
@@ -173,11 +173,11 @@ class Join:
     """Links between the distinct sets of a table of documents."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
-        self.percent, self.width, self.n_parts = percent, width, parts(docs)
+        self.percent, self.width, self.n_parts = percent, width, parts(docs, 4)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         id_type = dict(self.docs.dtypes)["id"]
         arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-        both = staged(self.docs.mapInArrow(_profile(width, arrow_id), f"id {id_type}, n long, set long, chunk int, counts binary"))
+        both = staged(self.docs.mapInArrow(lean(_profile(width, arrow_id)), f"id {id_type}, n long, set long, chunk int, counts binary"))
         counts = _token_counts(both)
         self.profile = both.filter("chunk is null").select("id", "n", "set")
         # frequent: clearly above what chance gives a counter, and in one of 200 documents
@@ -193,7 +193,7 @@ class Join:
         small = fits_broadcast(ids, 64)
         docs = self.docs.join(F.broadcast(ids) if small else ids, "id", "left_semi").select("text")
         unnamed = self.docs.filter("id is null").select("text")
-        return staged(docs.unionByName(unnamed).mapInArrow(_sets(self.width), "set long, tokens binary"))
+        return staged(docs.unionByName(unnamed).mapInArrow(lean(_sets(self.width)), "set long, tokens binary"))
 
     def close(self, size_a: str, size_b: str):
         return (F.least(size_a, size_b) * 100) >= F.greatest(size_a, size_b) * self.percent
@@ -207,7 +207,7 @@ class Join:
             some = t.join(_spread(ids, "set"), "set", "left_semi").select(F.col("set").alias(name), F.col("tokens").alias(f"t{name}"))
             pairs = pairs.join(some, name)
         x = pairs.select("a", "b", "ta", "tb")
-        return staged(x.mapInArrow(_overlaps, "a long, b long, inter long, size long").distinct())
+        return staged(x.mapInArrow(lean(_overlaps), "a long, b long, inter long, size long").distinct())
 
     def linked(self, x: DataFrame) -> DataFrame:
         return x.filter(F.col("inter") * 100 >= F.col("size") * self.percent)

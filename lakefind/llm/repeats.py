@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Rows of a map task that are compared before they go out; bounds its memory.
 BUFFER = 1 << 19
 SCHEMA = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("state", pa.int8())])
@@ -83,4 +85,4 @@ def _reduce(batches):
 
 def repeated(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], partitions: int) -> DataFrame:
     """(key, id, pos) of the rows whose key is also that of another (id, pos)."""
-    return df.mapInArrow(mapper(rows), SPARK).repartition(partitions, "route").mapInArrow(_reduce, "key long, id long, pos long")
+    return df.mapInArrow(lean(mapper(rows)), SPARK).repartition(partitions, "route").mapInArrow(lean(_reduce), "key long, id long, pos long")
