@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, slices, table
 
 #: Pre-tokens a worker remembers, twice: as many again from before.
-MEMO = 150_000
+MEMO = 75_000
 
 
 class PerfectHash:
@@ -154,12 +154,12 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
 
     def run(batches):
         bpe = _worker(sent)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             ids = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())], names=["id", "ids", "decoded"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"id {dict(d.dtypes)['id']}, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return d.mapInArrow(lean(run), f"id {dict(d.dtypes)['id']}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -7,10 +7,14 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hashing as H
+
 
 #: Rows in an Arrow batch, where the session keeps Spark's own number: texts may be long.
 ARROW_ROWS = "1000"
@@ -73,6 +77,13 @@ def lean(run):
     return f
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 20):
+    """The batch in slices of about `size` bytes of text, so that what Python makes of them stays small; a longer text is a slice of its own."""
+    n = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    for a, b in H.groups(np.concatenate(([0], np.cumsum(n, dtype=np.int64))), size):
+        yield batch.slice(a, b - a)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size, from file sizes; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

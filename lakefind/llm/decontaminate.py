@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import fits_broadcast, staged, table
+from .common import fits_broadcast, lean, slices, staged, table
 
 WINDOW, LITERALS, COVER = 8, 5, 0.6
 #: log2 of the filter's bits; the shortest item that is looked for, in tokens.
@@ -153,7 +153,7 @@ def _bits(batches):
 def _matches(sent, widths: list[int]):
     def run(batches):
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1 << 22)):
             ident = b.column("id")
             out: list[list] = [[], [], [], [], []]
             for a, t in templates(b.column("text")):
@@ -177,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     filters = [np.frombuffer(r.bits, np.uint8) for r in items.coalesce(8).mapInArrow(_bits, "bits binary").collect()]
     sent = spark.sparkContext.broadcast(np.bitwise_or.reduce(filters).tobytes() if filters else np.zeros((1 << FILTER) // 8, np.uint8).tobytes())
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
-    hit = d.mapInArrow(_matches(sent, widths), f"id {dict(d.dtypes)['id']}, th long, at int, width int, key long, slots array<string>")
+    hit = d.mapInArrow(lean(_matches(sent, widths)), f"id {dict(d.dtypes)['id']}, th long, at int, width int, key long, slots array<string>")
     small = fits_broadcast(items, 600)
     x = hit.join(F.broadcast(items) if small else items, ["key", "width"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     x = x.select("id", "th", "item_id", "diagonal", "n_windows", "item_at", F.filter(F.arrays_zip("item_slots", "slots"), lambda z: z["item_slots"].isNotNull()).alias("pairs")).distinct()
