@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..operators import near_duplicates
 from ..sources.tables import read
 from ..streaming import progress
 from .registry import query
@@ -47,3 +48,9 @@ def human_sizes(spark, d):
 @query("select event_type, time_bucket(interval 10 minute, ts) as at, arg_max(value, ts) as value, count(*)::bigint as n from events group by all")
 def throttled_states(spark, d):
     return progress.throttled(read(spark, d, "events"), ["event_type"], value="value", every="10 minutes")
+
+
+@query()
+def duplicate_groups_near(spark, d):
+    docs = read(spark, d, "documents").select(F.col("source").alias("library_id"), F.col("doc_id").alias("id"), "text")
+    return near_duplicates.duplicate_groups(docs)
