@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree; for every node the text density is its characters per tag, adjusted by its share of link text (composite text
-density). A node's density sum is that of its children. The threshold is the least density on the path from the node of the greatest sum
+density); on a page without links it is plain characters per tag. A node's density sum is that of its children and of its own text. The threshold is the least density on the path from the node of the greatest sum
 to the body; the subtree that is kept is the outermost node of that path that still has the threshold and whose sum is the greatest.
 Inside it, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes.
 
@@ -116,6 +116,17 @@ def _excluded(x: Node, in_article: bool) -> bool:
     return False
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density; on a page without links the plain one, characters per tag."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    if base <= 1:
+        return chars / max(tags, 1)
+    inner = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * math.log(max(inner, 1.0)) / math.log(base)
+
+
 def measure(root: Node) -> Node:
     """Counts and densities of all nodes, bottom up; the body."""
     order, body, inside = [], None, []
@@ -145,15 +156,17 @@ def measure(root: Node) -> Node:
                 x.link_tags += c.link_tags + (c.name == "a")
     body = body or root
     share = body.link_chars / max(body.chars, 1)
-    for x, _ in order:
-        if x.dropped or not x.chars:
+    for x, link in order:
+        if x.dropped:
             continue
-        plain = max(x.chars - x.link_chars, 1)
-        base = math.log(x.chars / plain * x.link_chars + share * x.chars + math.e)
-        inner = x.chars / max(x.link_chars, 1) * max(x.tags, 1) / max(x.link_tags, 1)
-        x.density = x.chars / max(x.tags, 1) * max(math.log(max(inner, 1.0)) / math.log(base) if base > 1 else 0.0, 0.0)
+        x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, share)
+        for c in x.children:
+            if isinstance(c, str):
+                k = len(WHITE.sub(" ", c).strip())
+                x.sum += _density(k, 0, k if link else 0, 0, share)
     for x, _ in order:
-        x.sum = sum(c.density for c in x.children if isinstance(c, Node) and not c.dropped)
+        if not x.dropped:
+            x.sum += sum(c.density for c in x.children if isinstance(c, Node) and not c.dropped)
     return body
 
 
