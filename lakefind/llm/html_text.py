@@ -1,9 +1,12 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree; for every node the text density is its characters per tag, adjusted by its share of link text (composite text
-density); on a page without links it is plain characters per tag. A node's density sum is that of its children and of its own text. The threshold is the least density on the path from the node of the greatest sum
-to the body; the subtree that is kept is the outermost node of that path that still has the threshold and whose sum is the greatest.
-Inside it, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes.
+density); on a page without links it is plain characters per tag. A node's density sum is that of its children and of its own text.
+The threshold is the least density on the path from the node of the greatest sum to the body. From the body down, every node that has the
+threshold keeps the subtree of the greatest sum in it, and its other children are looked at in the same way. Only then do tag names speak:
+what is kept is widened to the article that holds it, or, if no article holds any of it, to main. Text elements between kept siblings and
+headings right before them stay.
+Inside what is kept, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes.
 
 Defined results: null and empty html give empty text; a page without body is its own body; a page without tags is its text.
 """
@@ -24,6 +27,10 @@ from .common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Blocks that hold a run of text; headings; blocks of text that aren't containers.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | {"p", "li", "blockquote"}
+TEXTS = PARAGRAPHS | frozenset("address caption dd details dl dt figcaption figure hgroup hr ol pre table ul".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 DROPPED = frozenset("head script style noscript template iframe object svg math nav footer aside form button select option input textarea dialog menu".split())
 #: Opening the key closes an open element of the value, up to a boundary.
@@ -170,39 +177,76 @@ def measure(root: Node) -> Node:
     return body
 
 
-def main_node(body: Node) -> Node:
-    best, stack = body, [body]
-    article: list[Node] = []
+def chosen(body: Node) -> set[Node]:
+    """The nodes that density keeps, each widened to its article."""
+    order, stack = [], [body]
     while stack:
         x = stack.pop()
-        if x.sum > best.sum:
-            best = x
-        if x.name in ("article", "main"):
-            article.append(x)
+        order.append(x)
         stack.extend(c for c in x.children if isinstance(c, Node) and not c.dropped)
-    path = [best]
-    while path[-1] is not body and path[-1].up is not None:
-        path.append(path[-1].up)
-    threshold = min((x.density for x in path if x.density > 0), default=0.0)
-    # the article's own element on the path is its natural frame; else the outermost node dense enough that adds sum
-    for x in path:
-        if x.name in ("article", "main"):
-            return x
-    kept = best
-    for x in path[1:]:
-        if x.density >= threshold and x.sum >= best.sum * 0.999:
-            kept = x
-    inline = kept
-    while inline.name not in BLOCK and inline.up is not None and inline is not body:
-        inline = inline.up
-    if inline.name in ("p", "h1", "h2", "h3", "h4", "li", "blockquote") and inline.up is not None and inline is not body:
-        inline = inline.up  # the sum of one long paragraph speaks for what holds it
-    if inline is not body and article and not any(x in article for x in path):
-        return max(article, key=lambda x: x.chars) if max(a.chars for a in article) >= inline.chars else inline
-    return inline
-
-
-def blocks(node: Node) -> list[str]:
+    top: dict[Node, Node] = {}  # the node of the greatest sum in each subtree
+    for x in reversed(order):
+        t = x
+        for c in x.children:
+            if isinstance(c, Node) and not c.dropped and top[c].sum > t.sum:
+                t = top[c]
+        top[x] = t
+
+    def holder(t: Node, x: Node) -> Node:
+        while t is not x and (t.name not in BLOCK or t.name in PARAGRAPHS):
+            t = t.up  # the sum of one long paragraph speaks for what holds it
+        return t
+
+    def path(x: Node) -> list[Node]:
+        out = [x]
+        while out[-1] is not body and out[-1].up is not None:
+            out.append(out[-1].up)
+        return out
+
+    threshold = min((x.density for x in path(holder(top[body], body)) if x.density > 0), default=0.0)
+    kept, stack = set(), [body]
+    while stack:
+        x = stack.pop()
+        if x in kept or x.density < threshold or not x.density:
+            continue
+        t = holder(top[x], x)
+        kept.add(t)
+        if t is not x:
+            stack.extend(c for c in x.children if isinstance(c, Node) and not c.dropped)
+    for name in ("article", "main"):
+        frames = {x: [y for y in path(x) if y.name == name] for x in kept}
+        if any(frames.values()):
+            return {(f or [x])[-1] for x, f in frames.items()}
+    return kept
+
+
+def parts(body: Node) -> list:
+    """What is kept, in the page's order; None ends a block. Text elements between kept siblings and headings right before them stay."""
+    kept = chosen(body)
+    if not kept or body in kept:
+        return [body]
+    holds = set(kept)
+    for x in kept:
+        while x is not body and x.up is not None and x.up not in holds:
+            x = x.up
+            holds.add(x)
+    out: list = []
+    stack: list = [body]
+    while stack:
+        x = stack.pop()
+        if not isinstance(x, Node) or x not in holds or x in kept:
+            out.append(x)
+            continue
+        at = [i for i, c in enumerate(x.children) if isinstance(c, Node) and c in holds]
+        first = at[0]
+        while first and (isinstance(x.children[first - 1], str) and not x.children[first - 1].strip() or isinstance(x.children[first - 1], Node) and x.children[first - 1].name in HEADINGS):
+            first -= 1
+        inner = [c for c in x.children[first : at[-1] + 1] if isinstance(c, str) or c in holds or ((c.name not in BLOCK or c.name in TEXTS) and 2 * c.link_chars <= c.chars)]
+        stack.extend((None, *reversed(inner), None))
+    return out
+
+
+def blocks(nodes: list) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -212,7 +256,7 @@ def blocks(node: Node) -> list[str]:
         if t:
             out.append(t)
 
-    stack: list = [node]
+    stack: list = nodes[::-1]
     while stack:
         x = stack.pop()
         if x is None:
@@ -234,7 +278,7 @@ def blocks(node: Node) -> list[str]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(main_node(measure(parse(page)))))
+    return "\n".join(blocks(parts(measure(parse(page)))))
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -8,3 +8,20 @@ LONG = "A paragraph of the article with enough words in it to be told from what
 def test_density_without_links():
     page = f"<body><div class=qx7>Call us now.</div><div class=k1><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class=qx8><span>All</span> <span>rights</span></div></body>"
     assert html_text.extract(page) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_article_over_siblings():
+    def half(k):
+        return f"<section><h2>Part {k}</h2><p>{k} {LONG}</p><p>{k} {LONG}<a href=x>a link</a></p></section>"
+
+    text = "".join(f"Part {k}\n{k} {LONG.strip()}\n{k} {LONG}a link\n" for k in (1, 2)).strip()
+    page = f"<body><div class=qx7><a href=y>One</a> <a href=z>Two</a></div><div class=k1><h1>Title</h1>{half(1)}<p>Between.</p>{half(2)}</div></body>"
+    assert html_text.extract(page) == f"Title\n{text}".replace("\nPart 2", "\nBetween.\nPart 2")
+
+
+def test_articles_and_density_before_names():
+    one, two = (f"<article><h1>T{k}</h1><p>{k} {LONG}</p><p>{k} {LONG}</p></article>" for k in (1, 2))
+    text = "\n".join(f"T{k}\n{k} {LONG.strip()}\n{k} {LONG.strip()}" for k in (1, 2))
+    assert html_text.extract(f"<body>{one}{two}</body>") == text
+    page = f"<body><article><a href=x>Short</a></article><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert html_text.extract(page) == "\n".join([LONG.strip()] * 3)
