@@ -6,7 +6,8 @@ The threshold is the least density on the path from the node of the greatest sum
 threshold keeps the subtree of the greatest sum in it, and its other children are looked at in the same way. Only then do tag names speak:
 what is kept is widened to the article that holds it, or, if no article holds any of it, to main. Text elements between kept siblings and
 headings right before them stay.
-Inside what is kept, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes.
+Inside what is kept, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes. A whole
+class token of NAMES decides; one word of a longer name, or of an id inside an article, only if links or density confirm it.
 
 Defined results: null and empty html give empty text; a page without body is its own body; a page without tags is its text.
 """
@@ -103,24 +104,48 @@ def parse(page: str) -> Node:
     return root
 
 
-def _excluded(x: Node, in_article: bool) -> bool:
+def _excluded(x: Node, in_article: bool) -> bool | None:
+    """Whether x goes by its tag, role or class; None if a word of its name says so that density and links must confirm."""
     if x.name in DROPPED or (x.name == "header" and not in_article):
         return True
-    if not x.attrs:
-        return False
-    for a in ATTR.finditer(x.attrs):
+    named: bool | None = False
+    for a in ATTR.finditer(x.attrs) if x.attrs else ():
         key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "role" and value.lower() in ROLES:
             return True
         if key in ("class", "id") and x.name not in ("article", "main", "body"):
-            words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
-            if any(w in NAMES for w in words) and not (in_article and "header" in words and x.name == "header"):
-                return True
+            sure = key == "class" or not (in_article or x.name in HEADINGS or x.name in PARAGRAPHS)
+            for token in value.split():
+                words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token)]
+                if in_article and x.name == "header" and "header" in words:
+                    continue
+                if sure and token.lower() in NAMES:
+                    return True
+                if any(w in NAMES for w in words):
+                    named = None
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-    return False
+    return named
+
+
+def _boilerplate(x: Node, frame: Node) -> bool:
+    """Whether links or density confirm that x isn't part of the text of frame (its article, else the body)."""
+    if 2 * x.link_chars > x.chars:
+        return True
+    if x.name in TEXTS:
+        return False
+    stack, paragraphs = [x], False
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node) and not c.dropped:
+                if c.name in HEADINGS and frame.name in ("article", "main"):
+                    return False
+                paragraphs = paragraphs or c.name in PARAGRAPHS
+                stack.append(c)
+    plain = x.chars / max(x.tags, 1)
+    return plain < frame.chars / max(frame.tags, 1) or not paragraphs and frame.name not in ("article", "main")
 
 
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
@@ -134,20 +159,7 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     return chars / max(tags, 1) * math.log(max(inner, 1.0)) / math.log(base)
 
 
-def measure(root: Node) -> Node:
-    """Counts and densities of all nodes, bottom up; the body."""
-    order, body, inside = [], None, []
-    stack = [(root, False, False)]
-    while stack:
-        x, link, article = stack.pop()
-        x.dropped = _excluded(x, article)
-        order.append((x, link or x.name == "a"))
-        if x.name == "body" and body is None:
-            body = x
-        if not x.dropped:
-            for c in x.children:
-                if isinstance(c, Node):
-                    stack.append((c, link or x.name == "a", article or x.name in ("article", "main")))
+def _count(order: list[tuple[Node, bool]]) -> None:
     for x, link in reversed(order):
         if x.dropped:
             continue
@@ -161,7 +173,34 @@ def measure(root: Node) -> Node:
                 x.tags += c.tags + 1
                 x.link_chars += c.link_chars
                 x.link_tags += c.link_tags + (c.name == "a")
+
+
+def measure(root: Node) -> Node:
+    """Counts and densities of all nodes, bottom up; the body."""
+    order, body, suspects = [], None, []
+    stack: list = [(root, False, None)]
+    while stack:
+        x, link, article = stack.pop()
+        excluded = _excluded(x, article is not None)
+        x.dropped = excluded is True
+        if excluded is None:
+            suspects.append((x, article))
+        order.append((x, link or x.name == "a"))
+        if x.name == "body" and body is None:
+            body = x
+        if not x.dropped:
+            frame = x if x.name in ("article", "main") else article
+            stack.extend((c, link or x.name == "a", frame) for c in x.children if isinstance(c, Node))
+    _count(order)
     body = body or root
+    gone = [x for x, article in suspects if _boilerplate(x, article or body)]
+    if gone:
+        for x in gone:
+            x.dropped = True
+        for x, _ in order:
+            x.chars = x.tags = x.link_chars = x.link_tags = 0
+            x.dropped = x.dropped or (x.up is not None and x.up.dropped)
+        _count(order)
     share = body.link_chars / max(body.chars, 1)
     for x, link in order:
         if x.dropped:

@@ -25,3 +25,16 @@ def test_articles_and_density_before_names():
     assert html_text.extract(f"<body>{one}{two}</body>") == text
     page = f"<body><article><a href=x>Short</a></article><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></body>"
     assert html_text.extract(page) == "\n".join([LONG.strip()] * 3)
+
+
+def test_one_word_of_a_name_does_not_decide():
+    def section(k):
+        return f"<section id={k}><h2 id={k}-head>{k}</h2><p>{LONG}</p></section>"
+
+    names = ("related-work", "social-impact", "navigation", "comments-on-the-method")
+    text = "\n".join(f"{k}\n{LONG.strip()}" for k in names)
+    links = "<div class=related-posts><a href=x>More of this</a> <a href=y>and that</a></div><div class=share-bar><span>Tell</span> <span>all</span></div><div class=ad>Buy this.</div>"
+    head = "<div class=entry-header><h1>Title</h1></div>"
+    assert html_text.extract(f"<body><article>{head}{''.join(map(section, names))}{links}</article></body>") == f"Title\n{text}"
+    free = f"<body><div class=k1>{section('related-work')}{section('social-impact')}{links}</div></body>"
+    assert html_text.extract(free) == f"related-work\n{LONG.strip()}\nsocial-impact\n{LONG.strip()}"
