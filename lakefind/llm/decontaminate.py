@@ -2,8 +2,8 @@
 
 Words become template tokens: numbers <num>, units <unit>, names (capitalised inside a sentence) <name>, others themselves in lower case without
 outer punctuation. Windows of WINDOW template tokens of documents and benchmark items are joined by hash; a window counts only if
-LITERALS of its tokens are no placeholders. Matches of a document and an item on one diagonal (document place minus item place) are
-one passage; its slots are consistent if a value of the item's always meets the same value of the document's. A
+LITERALS of its tokens are no placeholders. Matches of a document and an item on one diagonal (document place minus item place), or on a chain of
+diagonals at most DRIFT words apart (words put in or left out), are one passage; its slots are consistent if a value of the item's always meets the same value of the document's. A
 document leaks an item if a passage with consistent slots covers COVER of the item's template.
 
 A filter of fixed size, made from the benchmark's windows, spares the shuffle all windows that can't match.
@@ -16,12 +16,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import hashing as H
 from .common import fits_broadcast, lean, slices, staged, table
 
 WINDOW, LITERALS, COVER = 8, 5, 0.6
+#: Words put in or left out between two diagonals of a chain.
+DRIFT = 3
 #: log2 of the filter's bits; the shortest item that is looked for, in tokens.
 FILTER, SHORTEST = 22, 6
 #: Fixed list of unit words.
@@ -182,12 +185,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     x = hit.join(F.broadcast(items) if small else items, ["key", "width"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     x = x.select("id", "th", "item_id", "diagonal", "n_windows", "item_at", F.filter(F.arrays_zip("item_slots", "slots"), lambda z: z["item_slots"].isNotNull()).alias("pairs")).distinct()
     x = staged(x)
-    group = ["id", "th", "item_id", "diagonal"]
-    cover = x.groupBy(*group, "n_windows").agg(F.count_distinct("item_at").alias("c")).filter(F.col("c") >= F.ceil(F.col("n_windows") * COVER))
+    group = ["id", "th", "item_id"]
+    # neighbouring diagonals, at most DRIFT words apart, are one chain
+    by = W.partitionBy(*group).orderBy("diagonal")
+    chains = x.select(*group, "diagonal").distinct().withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= DRIFT, 0).otherwise(1))
+    chains = chains.select(*group, "diagonal", F.sum("new").over(by).alias("chain"))
+    same = [F.equal_null(F.col(f"x.{c}"), F.col(f"c.{c}")) for c in (*group, "diagonal")]
+    chained = staged(x.alias("x").join(chains.alias("c"), same).select("x.*", "c.chain"))
+    return _covered(chained, [*group, "diagonal"]).unionByName(_covered(chained, [*group, "chain"])).groupBy("id", "th", "item_id").agg(F.max("cover").alias("cover"))
+
+
+def _covered(x: DataFrame, passage: list[str]) -> DataFrame:
+    """(id, th, item_id, cover) of the passages with consistent slots that cover enough of their item."""
+    cover = x.groupBy(*passage, "n_windows").agg(F.count_distinct("item_at").alias("c")).filter(F.col("c") >= F.ceil(F.col("n_windows") * COVER))
     # a value of the item's that meets two values of the document's breaks the passage
-    broken = x.select(*group, F.explode("pairs").alias("p")).groupBy(*group, F.col("p.item_slots").alias("was")).agg(F.min("p.slots").alias("a"), F.max("p.slots").alias("b")).filter("a <> b").select(*group).distinct()
-    good = cover.join(broken, group, "left_anti")
-    return good.groupBy("id", "th", "item_id").agg(F.max(F.col("c") / F.col("n_windows")).alias("cover"))
+    broken = x.select(*passage, F.explode("pairs").alias("p")).groupBy(*passage, F.col("p.item_slots").alias("was")).agg(F.min("p.slots").alias("a"), F.max("p.slots").alias("b")).filter("a <> b").select(*passage).distinct()
+    return cover.join(broken, passage, "left_anti").select("id", "th", "item_id", (F.col("c") / F.col("n_windows")).alias("cover"))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
