@@ -1,18 +1,23 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers <num>, units <unit>, names (capitalised inside a sentence) <name>, others themselves in lower case without
-outer punctuation. Windows of WINDOW template tokens of documents and benchmark items are joined by hash; a window counts only if
-LITERALS of its tokens are no placeholders. Matches of a document and an item on one diagonal (document place minus item place), or on a chain of
-diagonals at most DRIFT words apart (words put in or left out), are one passage; its slots are consistent if a value of the item's always meets the same value of the document's. A
-document leaks an item if a passage with consistent slots covers COVER of the item's template.
+Words become template tokens: numbers (also in words) <num>, units <unit>, names (capitalised inside a sentence) <name>, others themselves in
+lower case without outer punctuation; names and numbers of several words are one token. There are two forms: in the second one capitalised
+words that begin a sentence are names too. Windows of WINDOW template tokens of documents and benchmark items are joined by hash, each form
+with itself; a window counts only if LITERALS of its tokens are no placeholders. Matches of a document and an item on one diagonal (document
+place minus item place), or on a chain of diagonals at most DRIFT words apart (words put in or left out), are one passage; its slots are
+consistent if a value of the item's always meets the same value of the document's. A document leaks an item if a passage with consistent
+slots covers COVER of the item's windows.
 
 A filter of fixed size, made from the benchmark's windows, spares the shuffle all windows that can't match.
-Defined results: null or empty texts leak nothing; an item shorter than WINDOW tokens is one window of its own length, matched if it has
-LITERALS literals; equal items are found by each of their ids; the same document row twice gives two rows.
+Defined results: null or empty texts leak nothing; an item shorter than WINDOW tokens is one window of its own length; an item without a
+window (under SHORTEST tokens, or too few literals) isn't found; equal items are found by each of their
+ids; the same document row twice gives two rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +40,19 @@ DIGIT, UPPER = np.zeros(256, bool), np.zeros(256, bool)
 DIGIT[48:58] = UPPER[65:91] = True
 LETTER = UPPER.copy()
 LETTER[97:123] = LETTER[128:] = True
+#: Bytes that only words outside ASCII and the Latin-1 letters have.
+ODD = np.zeros(256, bool)
+ODD[128:] = True
+ODD[0xC3] = False
+#: Marks that can't be told from bytes, units and numbers for words that have such bytes.
+MARKS = ".,;:!?\"'()[]{}*#&%$|…«»“”„‘’"
+SIGNS = frozenset("€ £ °c °f".split())
+NUMBER = re.compile(r"[-+$€£]*\d[\d.,:/]*(?:st|nd|rd|th|%|e\d+|€|£)?$")
+_ONES = "one two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+#: Fixed list of numbers in words.
+NUMBERS = [*_ONES, *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(), *_TENS, *(f"{t}-{o}" for t in _TENS for o in _ONES)]
+FORMS = np.array([0, 0x9E3779B97F4A7C15], np.uint64)
 NAME, NUM, UNIT = np.uint64(0x6E616D65), np.uint64(0x6E756D), np.uint64(0x756E6974)
 
 
@@ -54,10 +72,37 @@ def _hash_of(words: list[str]) -> np.ndarray:
 
 
 UNIT_HASHES = _hash_of(UNITS)
+NUMBER_HASHES = _hash_of(NUMBERS)
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+class Form:
+    """One reading of the words: hash of each template token, whether it is a placeholder, its first word and the end of its last one."""
+
+    def __init__(self, hashes: np.ndarray, slot: np.ndarray, glued: np.ndarray, doc: np.ndarray, first: np.ndarray):
+        # names and numbers of several words are one slot
+        run = np.zeros(len(hashes), bool)
+        run[1:] = glued[1:] & ((hashes[1:] == NAME) | (hashes[1:] == NUM)) & (hashes[1:] == hashes[:-1])
+        self.word = np.flatnonzero(~run)
+        self.last = np.append(self.word[1:], len(hashes)) - 1
+        self.hash, self.slot, self.doc = hashes[self.word], slot[self.word], doc[self.word]
+        self.size = np.diff(np.searchsorted(self.word, first))
+
+    def windows(self, width: int, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
+        """(token, hash) of the windows inside a document that have enough literals."""
+        n = len(self.hash) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        c = np.concatenate(([0], np.cumsum(~self.slot)))
+        start = np.flatnonzero((c[width:] - c[:n] >= literals) & (self.doc[:n] == self.doc[width - 1 :]))
+        return start, H.windows(self.hash, start, width)
 
 
 class Template:
-    """Template tokens of a group of documents: hash, whether it is a placeholder, place of the bare word, document."""
+    """Words of a group of documents in two forms (a capitalised word that begins a sentence: literal, name) and bare."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         start, end, self.first = H.bounds(data, offsets)
@@ -80,33 +125,61 @@ class Template:
         letters = np.concatenate(([0], np.cumsum(LETTER[data])))
         letters = letters[e] - letters[s]
         number = some & (DIGIT[one] | (((one == 43) | (one == 45)) & DIGIT[two] & (e - s > 1))) & (letters <= 2)
-        at = np.minimum(np.searchsorted(UNIT_HASHES, h), len(UNIT_HASHES) - 1)
-        unit = some & (UNIT_HASHES[at] == h) & ~number
+        number |= some & _among(h, NUMBER_HASHES)
+        unit = some & _among(h, UNIT_HASHES) & ~number
+        unit |= (end - start == 1) & ((data[start] == 37) | (data[start] == 36))
         wide = (one == 0xC3) & (two >= 0x80) & (two <= 0x9E)
         after = data[np.minimum(s + 1 + wide, len(data) - 1)]
         capital = some & (UPPER[one] | wide) & (e - s > 1 + wide) & LETTER[after] & ~UPPER[after]
         ends = STOP[data[end - 1]] | (CLOSE[data[end - 1]] & (end - start > 1) & STOP[data[np.maximum(end - 2, 0)]])
+        odd = np.concatenate(([0], np.cumsum(ODD[data] & ~np.concatenate(([False], data[:-1] == 0xC3)))))
+        odd = np.flatnonzero(odd[end] > odd[start])
+        if len(odd):
+            self._odd(data, odd, start, end, (s, e, h, number, unit, capital, ends))
         begin = np.ones(n, bool)
         begin[1:] = ends[:-1]
         begin[self.first[:-1][self.first[:-1] < n]] = True
-        name = capital & ~begin & ~number & ~unit
-        self.hash = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
-        self.slot = number | unit | name
         self.s, self.e = s, e
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(word, hash) of the windows inside a document that have enough literals."""
-        n = len(self.hash) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        c = np.concatenate(([0], np.cumsum(~self.slot)))
-        start = np.flatnonzero((c[width:] - c[:n] >= LITERALS) & (self.doc[:n] == self.doc[width - 1 :]))
-        return start, H.windows(self.hash, start, width)
-
-    def slots(self, start: int, width: int) -> list[str | None]:
+        glued = np.zeros(n, bool)
+        glued[1:] = (e[:-1] == end[:-1]) & (s[1:] == start[1:]) & (self.doc[1:] == self.doc[:-1])
+        base = np.where(number, NUM, np.where(unit, UNIT, h))
+        self.forms = []
+        for name in (capital & ~begin & ~number & ~unit, capital & ~number & ~unit):
+            self.forms.append(Form(np.where(name, NAME, base), number | unit | name, glued, self.doc, self.first))
+        none = np.zeros(n, bool)
+        self.bare = Form(h, none, none, self.doc, self.first)
+
+    @staticmethod
+    def _odd(data: np.ndarray, odd: np.ndarray, start: np.ndarray, end: np.ndarray, columns: tuple) -> None:
+        """What the bytes can't say about words with other letters and marks, once for each distinct word."""
+        s, e, h, number, unit, capital, ends = columns
+        _, one, which = np.unique(H.spelled(data, start[odd], end[odd]), return_index=True, return_inverse=True)
+        rows, bare = [], []
+        for a, b in zip(start[odd[one]].tolist(), end[odd[one]].tolist(), strict=True):
+            word = data[a:b].tobytes().decode(errors="replace")
+            core = word.strip(MARKS)
+            left = len(word[: len(word) - len(word.lstrip(MARKS))].encode()) if core else 0
+            low = core.lower()
+            bare.append(low)
+            num = bool(NUMBER.match(core))
+            rows.append((left, left + len(core.encode()), num, not num and (low in SIGNS or word in SIGNS or low in UNITS), core[:1].isupper() and core[1:2].islower(), word[-1] in ".!?…" or (len(word) > 1 and word[-1] in "\"')”»’" and word[-2] in ".!?…")))
+        spelt = "".join(bare).encode()
+        to = np.cumsum([len(w.encode()) for w in bare])
+        hashes = H.spelled(np.frombuffer(spelt + b" ", np.uint8), np.concatenate(([0], to[:-1])), to)
+        left, right, num, sign, cap, stop = (np.array(c)[which] for c in zip(*rows, strict=True))
+        s[odd], e[odd], h[odd] = start[odd] + left, start[odd] + right, hashes[which]
+        number[odd], unit[odd], capital[odd], ends[odd] = num | _among(h[odd], NUMBER_HASHES), sign | _among(h[odd], UNIT_HASHES), cap, stop
+
+    def windows(self, width: int):
+        """(number of the form, form, token, hash) of the windows of each form; forms have keys of their own."""
+        for f, form in enumerate(self.forms):
+            start, key = form.windows(width)
+            yield f, form, start, key ^ FORMS[f]
+
+    def slots(self, form: Form, token: int, width: int) -> list[str | None]:
         """The words behind the placeholders of a window, in lower case."""
-        return [bytes(self.low[self.s[j] : self.e[j]]).decode(errors="replace") if self.slot[j] else None for j in range(start, start + width)]
+        return [bytes(self.low[self.s[form.word[j]] : self.e[form.last[j]]]).decode(errors="replace") if form.slot[j] else None for j in range(token, token + width)]
 
 
 def templates(col: pa.Array):
@@ -119,28 +192,31 @@ def templates(col: pa.Array):
 
 
 def item_windows(items: pa.Array, texts: pa.Array):
-    """Rows (item, n windows, start, width, hash, slot words) of benchmark items."""
+    """Rows (item, n windows, form, start, width, hash, slot words) of benchmark items."""
     items = items.to_pylist()
     for a, t in templates(texts):
-        size = np.diff(t.first)
+        rows: list[list] = [[] for _ in range(len(t.first) - 1)]
         for w in range(SHORTEST, WINDOW + 1):
-            start, key = t.windows(w)
-            doc = t.doc[start]
-            on = np.minimum(size[doc], WINDOW) == w
-            n = np.bincount(doc[on], minlength=len(size))
-            for s, k, d in zip(start[on].tolist(), key[on].view(np.int64).tolist(), doc[on].tolist(), strict=True):
-                yield items[a + d], int(n[d]), s - int(t.first[d]), w, k, t.slots(s, w)
+            for f, form, start, key in t.windows(w):
+                doc = form.doc[start]
+                on = np.minimum(form.size[doc], WINDOW) == w
+                for j, k, d in zip(start[on].tolist(), key[on].view(np.int64).tolist(), doc[on].tolist(), strict=True):
+                    rows[d].append((f, int(form.word[j] - t.first[d]), w, k, t.slots(form, j, w)))
+        for d, found in enumerate(rows):
+            n = len({r[1] for r in found})
+            for r in found:
+                yield items[a + d], n, *r
 
 
-ITEM = "item_id long, n_windows int, item_at int, width int, key long, item_slots array<string>"
+ITEM = "item_id long, n_windows int, form int, item_at int, width int, key long, item_slots array<string>"
 
 
 def _items(batches):
     for b in batches:
         rows = list(item_windows(b.column("item_id"), b.column("text")))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "n_windows", "item_at", "width", "key", "item_slots"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "n_windows", "form", "item_at", "width", "key", "item_slots"])
 
 
 def _bits(batches):
@@ -161,12 +237,12 @@ def _matches(sent, widths: list[int]):
             out: list[list] = [[], [], [], [], []]
             for a, t in templates(b.column("text")):
                 for w in widths:
-                    start, key = t.windows(w)
-                    on = np.flatnonzero(bits[(key >> np.uint64(64 - FILTER)).astype(np.int64)])
-                    for s, k in zip(start[on].tolist(), key[on].view(np.int64).tolist(), strict=True):
-                        d = int(t.doc[s])
-                        for column, v in zip(out, (a + d, s - int(t.first[d]), w, k, t.slots(s, w)), strict=True):
-                            column.append(v)
+                    for _, form, start, key in t.windows(w) if w > 0 else ((0, t.bare, *t.bare.windows(-w, 0)),):
+                        on = np.flatnonzero(bits[(key >> np.uint64(64 - FILTER)).astype(np.int64)])
+                        for j, k in zip(start[on].tolist(), key[on].view(np.int64).tolist(), strict=True):
+                            d = int(form.doc[j])
+                            for column, v in zip(out, (a + d, int(form.word[j] - t.first[d]), w, k, t.slots(form, j, w) if w > 0 else []), strict=True):
+                                column.append(v)
             yield pa.RecordBatch.from_arrays([ident.take(pa.array(out[0], pa.int32())), b.column("th").take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.string()))], names=["id", "th", "at", "width", "key", "slots"])
 
     return run
@@ -183,9 +259,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hit = d.mapInArrow(lean(_matches(sent, widths)), f"id {dict(d.dtypes)['id']}, th long, at int, width int, key long, slots array<string>")
     small = fits_broadcast(items, 600)
     x = hit.join(F.broadcast(items) if small else items, ["key", "width"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
-    x = x.select("id", "th", "item_id", "diagonal", "n_windows", "item_at", F.filter(F.arrays_zip("item_slots", "slots"), lambda z: z["item_slots"].isNotNull()).alias("pairs")).distinct()
+    x = x.select("id", "th", "item_id", "form", "diagonal", "n_windows", "item_at", F.filter(F.arrays_zip("item_slots", "slots"), lambda z: z["item_slots"].isNotNull()).alias("pairs")).distinct()
     x = staged(x)
-    group = ["id", "th", "item_id"]
+    group = ["id", "th", "item_id", "form"]
     # neighbouring diagonals, at most DRIFT words apart, are one chain
     by = W.partitionBy(*group).orderBy("diagonal")
     chains = x.select(*group, "diagonal").distinct().withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= DRIFT, 0).otherwise(1))

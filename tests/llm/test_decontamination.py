@@ -1,4 +1,4 @@
-"""Leaks with edits."""
+"""Leaks with edits, other names and numbers, and items without a window."""
 
 from lakefind.llm import decontaminate
 
@@ -16,4 +16,14 @@ def test_edits_in_the_middle(spark):
     one = " ".join([*WORDS[:20], "very", *WORDS[20:]])
     less = " ".join(WORDS[:20] + WORDS[21:])
     other = " ".join(w if i % 6 else "other" for i, w in enumerate(WORDS))
-    assert leaked(spark, [" ".join(WORDS)], [one, less, other]) == [[0], [0], []]
+    slots = "the train that leaves at dawn with {} on board arrives in the city where {} waits for it until noon"
+    long = slots.format("Mary Ann", "1 000")
+    assert leaked(spark, [" ".join(WORDS), slots.format("xx Tom", "5")], [one, less, other, "xx " + long.replace("with Mary", "with xx Mary")]) == [[0], [0], [], [1]]
+
+
+def test_slots(spark):
+    tom = "Tom has 5 red apples in a bag. Tom buys twelve more apples at the shop. Tom eats 2 of them. How many apples are left in the bag?"
+    ann = tom.replace("Tom", "Mary Ann").replace("twelve", "forty-two").replace("5", "€9")
+    ivan = "then the teacher asked Иван to bring “seven” books that cost £5 each… and he did"
+    petr = "then the teacher asked Пётр to bring seven books that cost £8 each and he did"
+    assert leaked(spark, [tom, ivan], [ann, petr, tom.replace("Tom buys", "Eva buys").replace("apples", "pears")]) == [[0], [1], []]
