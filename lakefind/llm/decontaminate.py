@@ -10,7 +10,7 @@ slots covers COVER of the item's windows.
 
 A filter of fixed size, made from the benchmark's windows, spares the shuffle all windows that can't match.
 Defined results: null or empty texts leak nothing; an item shorter than WINDOW tokens is one window of its own length; an item without a
-window (under SHORTEST tokens, or too few literals) isn't found; equal items are found by each of their
+window (under SHORTEST tokens, or too few literals) is matched whole, by all its words in lower case; equal items are found by each of their
 ids; the same document row twice gives two rows.
 """
 
@@ -192,7 +192,7 @@ def templates(col: pa.Array):
 
 
 def item_windows(items: pa.Array, texts: pa.Array):
-    """Rows (item, n windows, form, start, width, hash, slot words) of benchmark items."""
+    """Rows (item, n windows, form, start, width, hash, slot words) of benchmark items; a width below 0: the whole item's bare words, where it has no window."""
     items = items.to_pylist()
     for a, t in templates(texts):
         rows: list[list] = [[] for _ in range(len(t.first) - 1)]
@@ -206,6 +206,10 @@ def item_windows(items: pa.Array, texts: pa.Array):
             n = len({r[1] for r in found})
             for r in found:
                 yield items[a + d], n, *r
+            lo, hi = int(t.first[d]), int(t.first[d + 1])
+            if not found and (t.s[lo:hi] < t.e[lo:hi]).any():
+                key = H.windows(t.bare.hash, np.array([lo]), hi - lo)
+                yield items[a + d], 1, 0, 0, lo - hi, int(key.view(np.int64)[0]), []
 
 
 ITEM = "item_id long, n_windows int, form int, item_at int, width int, key long, item_slots array<string>"

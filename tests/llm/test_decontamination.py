@@ -27,3 +27,8 @@ def test_slots(spark):
     ivan = "then the teacher asked Иван to bring “seven” books that cost £5 each… and he did"
     petr = "then the teacher asked Пётр to bring seven books that cost £8 each and he did"
     assert leaked(spark, [tom, ivan], [ann, petr, tom.replace("Tom buys", "Eva buys").replace("apples", "pears")]) == [[0], [1], []]
+
+
+def test_items_without_a_window(spark):
+    items = ["What is 17 times 23", "Paris Rome 12 km 30 km Oslo 7 8 9", "..."]
+    assert leaked(spark, items, ["So: what is 17 times 23?", "What is 17 times 24", "from Paris Rome 12 km 30 km Oslo 7 8 9.", "..."]) == [[0], [], [1], []]
