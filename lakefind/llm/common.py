@@ -103,5 +103,24 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 16 << 20) -
     return df.limit(most + 1).count() <= most
 
 
+#: The most keys that are sent to every executor because very many rows have them; rows of a key that are never many.
+HOT_KEYS, FEW = 1 << 16, 1000
+
+
+def looked_up(rows: DataFrame, table_: DataFrame, on: list[str], n_parts: int, how: str = "inner", row_bytes: int = 96) -> DataFrame:
+    """rows joined (inner or left) with table_ (staged), which has one row for each key, and c, how many rows have that key (dropped).
+
+    A small table is broadcast. Of a larger one only the keys with more rows than a fair part of them all are: at most
+    HOT_KEYS, as that many parts is the most that are counted. So the shuffle has no hot key left.
+    """
+    if fits_broadcast(table_, row_bytes):
+        return rows.join(F.broadcast(table_.drop("c")), on, how)
+    total = table_.agg(F.sum("c")).first()[0] or 0
+    cut = max(FEW, total // max(1, min(n_parts, HOT_KEYS)))
+    hot = F.broadcast(table_.filter(F.col("c") > cut).drop("c"))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(table_.filter(F.col("c") <= cut).drop("c"), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))

@@ -1,90 +1,172 @@
 """Line deduplication by a suffix array over line ids, built by distributed prefix doubling.
 
-Positions are the non-blank lines of all documents. A position's name at depth m stands for its m lines from there on;
-names at depth 2m come from the names at depth m of the position and of the one m lines on, so each round doubles the
-depth, and only positions whose name occurs again go on (the others are intervals of one suffix). Positions of the same
-name form an interval of the suffix array whose longest common prefix is m lines or more; its earliest position, by
-(document, line), keeps its lines and the others are later copies. Any depth that isn't a power of two is covered by two
-overlapping names. A run of lines is deleted as a later copy if it has `min_lines` lines, or has a line of `min_chars`
-characters: these runs are covered by windows of 1 to min_lines lines, so rounds stop at that depth.
-
-Defined results: lines are split at \\n and compared without the blanks around them; blank lines are never counted
-nor deleted. Null text is empty. Rows with the same id and text are one document; a null id comes before all others.
+Positions are the non-blank lines of all distinct texts. A position's name at level k stands for its 2**k lines from there
+on; names at level k + 1 come from the names at level k of the position and of the one 2**k lines on, so each round
+doubles the depth. Positions of one name are an interval of the suffix array whose longest common prefix is 2**k lines or
+more. Only positions whose name occurs again go on (the others are intervals of one suffix), until no name repeats.
+
+The exact longest common prefixes follow from the levels, deepest first: in an interval of w common lines the first
+positions of its sub-intervals are told apart by the names of the lines behind (w + 2**j of them, j falling to 0), so
+that each position ends in the deepest interval in which it isn't the earliest one. The depth of that interval is the
+length of the longest run that starts there and occurs earlier, by (document, line); runs that can't be extended to the
+left either are the maximal repeated runs. A run is deleted as a later copy if it has `min_lines` lines, or has a line of
+`min_chars` characters.
+
+Copies of a whole text are settled first: all but the row of the least id are later copies from their first line on, so
+large groups of copies never reach the rounds. Names that very many positions share are looked up from a broadcast of
+bounded size, so no task gathers them.
+
+Defined results: lines are split at \\n and compared without the white space around them (0x20, 0x09, 0x0B-0x0D); blank
+lines are never counted nor deleted. Null text is empty. Rows with the same id and text are one document; a null id comes
+before all others. Extra columns stay, but for the names __kept, __n_lines and __n_removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import looked_up, parts, staged, table, text_or_empty
 
 KEY = ["id", "th"]
+PLACE = [*KEY, "pos"]
+NAME = ["n1", "n2"]
+BLANKS = " \t\x0b\x0c\r"
+#: Rows that are told apart by one shuffle on their names, as no task can get more.
+SMALL = 1 << 20
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = text_or_empty(text_col)
-    # the least number stands for a null id
-    ident = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast(dict(docs.dtypes)[id_col]))
-    return docs.withColumns({"__id": ident, "__th": F.xxhash64(text), "__lines": F.split(text, "\n", -1)})
-
-
-def _positions(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, th, pos, at, big, n1, n2): line pos of the non-blank ones, its place, whether it is long, its 128-bit id."""
-    d = _keyed(docs, id_col, text_col).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__lines").alias("lines"))
-    each = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))), lambda s: s["line"] != "")
-    return d.select("id", "th", F.posexplode(each).alias("pos", "s")).select("id", "th", "pos", F.col("s.at").alias("at"), (F.length("s.line") >= min_chars).alias("big"), F.xxhash64("s.line").alias("n1"), F.xxhash64(F.lit(29), "s.line").alias("n2"))
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
 
 
-def _order() -> Column:
-    return F.struct("id", "th", "pos")
+def _place() -> Column:
+    return F.struct(*PLACE)
 
 
-def _intervals(names: DataFrame) -> DataFrame:
-    """names with later: whether an earlier position has the same name; positions of names that occur once are left out."""
-    first = names.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("c"), F.min(_order()).alias("first")).filter("c > 1").drop("c")
-    return names.join(first, ["n1", "n2"]).withColumn("later", _order() > F.col("first")).drop("first")
-
-
-def _deeper(names: DataFrame, step: int) -> DataFrame:
-    """Names of twice the lines (or, with a smaller step, of overlapping ones): a position's with that of the one `step` lines on."""
-    on = names.select("id", "th", (F.col("pos") - step).alias("pos"), F.col("n1").alias("m1"), F.col("n2").alias("m2"), F.col("big").alias("big2"))
-    x = names.join(on, ["id", "th", "pos"])
-    return x.select("id", "th", "pos", F.xxhash64("n1", "n2", "m1", "m2").alias("n1"), F.xxhash64(F.lit(31), "n1", "n2", "m1", "m2").alias("n2"), (F.col("big") | F.col("big2")).alias("big"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_or_empty(text_col)
+    # the least number stands for a null id
+    ident = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast(dict(docs.dtypes)[id_col]))
+    return docs.withColumns({"__id": ident, "__th": F.xxhash64(text), "__th2": F.xxhash64(F.lit(17), text), "__lines": F.split(text, "\n", -1)})
+
+
+class Lines:
+    """The lines of docs: `first` (id, th, pos, at, big, n1, n2), those of one row for each distinct text; `copies` (id, th, whole), the other rows."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int):
+        self.n_parts = parts(docs)
+        each = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("at"), _bare(x).alias("line"))), lambda s: s["line"] != "")
+        hashed = F.transform(each, lambda s: F.struct(s["at"].alias("at"), (F.length(s["line"]) >= min_chars).alias("big"), F.xxhash64(s["line"]).alias("n1"), F.xxhash64(F.lit(29), s["line"]).alias("n2")))
+        d = _keyed(docs, id_col, text_col).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__th2").alias("th2"), hashed.alias("s"))
+        d = staged(d)
+        same = staged(d.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("least")).filter("c > 1"))
+        d = looked_up(d, same, ["th", "th2"], self.n_parts, "left")
+        once = d.filter("least is null").unionByName(d.filter("id = least").dropDuplicates(KEY))
+        self.first = staged(once.select("id", "th", F.posexplode("s").alias("pos", "s")).select("id", "th", "pos", "s.*"))
+        self.copies = d.filter("id > least").select("id", "th", (F.exists("s", lambda x: x["big"]) | (F.size("s") >= min_lines)).alias("whole")).distinct()
+
+
+def _hashed(*cols: str) -> list[Column]:
+    return [F.xxhash64(*cols).alias("n1"), F.xxhash64(F.lit(31), *cols).alias("n2")]
+
+
+def _firsts(names: DataFrame, small: bool, n_parts: int) -> DataFrame:
+    """names with c, how many rows have the name, and first, the earliest place of them; both null or c 1 where the name occurs once."""
+    if small:  # at most SMALL rows: one shuffle, whatever the names
+        by = W.partitionBy(*NAME)
+        return names.withColumn("c", F.count(F.lit(1)).over(by)).withColumn("first", F.min(_place()).over(by))
+    names = staged(names)
+    first = staged(names.groupBy(*NAME).agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("first")).filter("c > 1"))
+    return looked_up(names, first.withColumn("n", F.col("c")), NAME, n_parts, "left").withColumnRenamed("n", "c")
+
+
+def levels(first: DataFrame, n_parts: int) -> list[DataFrame]:
+    """The intervals (place, n1, n2, first) of 1, 2, 4, … lines, up to the deepest that repeat."""
+    out, names, rows = [], first.select(*PLACE, *NAME), first.count()
+    while rows:
+        found = staged(_firsts(names, rows <= SMALL, n_parts).filter("c > 1").select(*PLACE, *NAME, "first"))
+        rows = found.count()
+        if rows:
+            out.append(found)
+        step = 1 << (len(out) - 1 if out else 0)
+        on = F.first(F.struct(*NAME)).over(W.partitionBy(*KEY).orderBy("pos").rangeBetween(step, step))
+        names = found.select(*PLACE, *NAME, on.alias("m")).filter("m is not null").select(*PLACE, *_hashed("n1", "n2", "m.n1", "m.n2"))
+    return out
+
+
+def longest(found: list[DataFrame], n_parts: int) -> DataFrame | None:
+    """(place, w, first): for every position that occurs earlier, the lines of the longest run from there on that does, and its earliest place."""
+    state = None
+    for j in range(len(found) - 1, -1, -1):
+        t = found[j]
+        if state is not None:
+            small = state.count() <= SMALL
+            on = t.select(*KEY, F.col("pos").alias("to"), F.col("n1").alias("m1"), F.col("n2").alias("m2"))
+            x = state.withColumn("to", F.col("pos") + F.col("w")).join(on, [*KEY, "to"], "left").drop("to")
+            x = x.withColumnsRenamed({"n1": "c1", "n2": "c2", "first": "f"}).select("*", *_hashed("c1", "c2", "m1", "m2"))
+            if small:
+                x = _firsts(x, True, n_parts)
+            else:
+                x = staged(x)
+                x = _firsts(x.filter("m1 is not null"), False, n_parts).unionByName(x.filter("m1 is null"), allowMissingColumns=True)
+            shared = F.coalesce(F.col("m1").isNotNull() & (F.col("c") > 1), F.lit(False))
+            deeper = F.struct((F.col("w") + (1 << j)).alias("w"), *NAME, "first")
+            # the first of each sub-interval stands for it
+            same = F.struct("w", F.col("c1").alias("n1"), F.col("c2").alias("n2"), F.col("f").alias("first"))
+            none = F.lit(None)
+            both = F.array(F.when(shared, deeper).otherwise(none), F.when(shared & (_place() > F.col("first")), none).otherwise(same))
+            state = x.select(*PLACE, F.explode(F.filter(both, lambda v: v.isNotNull())).alias("v")).select(*PLACE, "v.*")
+        # positions that are the first of their interval one level deeper
+        enter = t
+        if j + 1 < len(found):
+            enter = t.join(found[j + 1].filter(_place() > F.col("first")).select(*PLACE), PLACE, "left_anti")
+        enter = enter.select(*PLACE, F.lit(1 << j).alias("w"), *NAME, "first")
+        state = staged(enter if state is None else state.unionByName(enter))
+    return None if state is None else state.filter(_place() > F.col("first")).select(*PLACE, "w", "first")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, pos, lines, first): the maximal runs of lines of each distinct text that occur earlier; pos counts non-blank lines."""
+    x = Lines(docs, id_col, text_col, 1, 1)
+    far = longest(levels(x.first, x.n_parts), x.n_parts)
+    if far is None:
+        return x.first.select(*PLACE, F.lit(0).alias("lines"), _place().alias("first")).limit(0)
+    left = F.first("w").over(W.partitionBy(*KEY).orderBy("pos").rangeBetween(-1, -1))
+    return far.withColumn("left", F.coalesce(left, F.lit(0))).filter("left <= w").select(*PLACE, F.col("w").alias("lines"), "first")
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_chars: int = 30) -> DataFrame:
-    """(id, th, gone): places of the lines of each document that are later copies."""
-    names, depth, found = _positions(docs, id_col, text_col, min_chars), 1, []
-    places = None
-    while True:
-        names = staged(_intervals(names)) if depth < min_lines else _intervals(names)
-        if depth == 1:
-            places = names.select("id", "th", "pos", "at")
-        hit = names.filter("later" if depth >= min_lines else "later and big")
-        found.append(hit.select("id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + (depth - 1))).alias("pos")))
-        if depth >= min_lines:
-            break
-        # doubled, or up to min_lines by names that overlap
-        step = min(depth, min_lines - depth)
-        names, depth = _deeper(names.drop("later", "at"), step), depth + step
-    lines = found[0]
-    for f in found[1:]:
-        lines = lines.unionByName(f)
-    # deleted lines occur again, so their places are among those of the first round
-    lines = lines.distinct()
-    return lines.join(places, ["id", "th", "pos"]).groupBy("id", "th").agg(F.collect_set("at").alias("gone"))
+    """(id, th, gone, whole): places of the lines of each document that are later copies; whole: all of its lines are."""
+    x = Lines(docs, id_col, text_col, min_lines, min_chars)
+    found = levels(x.first, x.n_parts)
+    out = x.copies.filter("whole").select("id", "th", F.array().cast("array<int>").alias("gone"), "whole")
+    far = longest(found, x.n_parts)
+    if far is None:
+        return out
+    # lines of a repeated run are repeated themselves, so the first level holds them all
+    rows = x.first.select(*PLACE, "at", "big").join(found[0].select(*PLACE), PLACE, "left_semi").join(far.select(*PLACE, "w"), PLACE, "left")
+    by = W.partitionBy(*KEY)
+    rows = rows.withColumn("next_big", F.min(F.when(F.col("big"), F.col("pos"))).over(by.orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)))
+    end = F.col("pos") + F.col("w")
+    enough = (F.col("w") >= min_lines) | (F.col("next_big") < end)
+    rows = rows.withColumn("to", F.max(F.when(enough, end)).over(by.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    gone = rows.filter("to > pos").groupBy(*KEY).agg(F.collect_set("at").alias("gone"))
+    return out.unionByName(gone.withColumn("whole", F.lit(False)))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_chars: int = 30) -> DataFrame:
     """docs with __kept (the text without later copies), __n_lines and __n_removed (non-blank lines)."""
-    gone = later_copies(docs, id_col, text_col, min_lines, min_chars).select(F.col("id").alias("__gid"), F.col("th").alias("__gth"), F.col("gone").alias("__gone"))
+    gone = later_copies(docs, id_col, text_col, min_lines, min_chars).select(F.col("id").alias("__gid"), F.col("th").alias("__gth"), F.col("gone").alias("__gone"), F.col("whole").alias("__whole"))
     d = _keyed(docs, id_col, text_col)
     d = d.join(gone, (F.col("__id") == F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    places = F.sequence(F.lit(0), F.size("__lines") - 1)
+    full = F.filter(places, lambda i: _bare(F.get("__lines", i)) != "")
+    d = d.withColumn("__gone", F.when(F.col("__whole"), full).otherwise(F.col("__gone")))
+    left = F.array_except(places, "__gone")
     kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
-    n = F.size(F.filter("__lines", lambda x: F.trim(x) != "")).cast("long")
-    return d.withColumns({"__kept": kept, "__n_lines": n, "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop("__id", "__th", "__lines", "__gid", "__gth", "__gone")
+    return d.withColumns({"__kept": kept, "__n_lines": F.size(full).cast("long"), "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop("__id", "__th", "__th2", "__lines", "__gid", "__gth", "__gone", "__whole")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +178,7 @@ ORACLE_SQL = """
 with l as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as idx from documents),
 p as (
-  select doc_id, idx, trim(raw) as line, length(trim(raw)) >= 30 as big, row_number() over (partition by doc_id order by idx) as pos from l where trim(raw) <> ''),
+  select doc_id, idx, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line, length(trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) >= 30 as big, row_number() over (partition by doc_id order by idx) as pos from l where trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 w as (
   select *, lead(line, 1) over d as l1, lead(line, 2) over d as l2, lead(big, 1) over d as b1, lead(idx, 1) over d as ia, lead(idx, 2) over d as ib
   from p window d as (partition by doc_id order by pos)),
