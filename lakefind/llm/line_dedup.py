@@ -33,8 +33,8 @@ KEY = ["id", "th"]
 PLACE = [*KEY, "pos"]
 NAME = ["n1", "n2"]
 BLANKS = " \t\x0b\x0c\r"
-#: Rows that are told apart by one shuffle on their names, as no task can get more.
-SMALL = 1 << 20
+#: Rows whose repeated names, half as many at most, are broadcast without being counted first.
+SMALL = 1 << 17
 
 
 def _bare(line: Column) -> Column:
@@ -73,20 +73,18 @@ def _hashed(*cols: str) -> list[Column]:
 
 
 def _firsts(names: DataFrame, small: bool, n_parts: int) -> DataFrame:
-    """names with c, how many rows have the name, and first, the earliest place of them; both null or c 1 where the name occurs once."""
-    if small:  # at most SMALL rows: one shuffle, whatever the names
-        by = W.partitionBy(*NAME)
-        return names.withColumn("c", F.count(F.lit(1)).over(by)).withColumn("first", F.min(_place()).over(by))
-    names = staged(names)
-    first = staged(names.groupBy(*NAME).agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("first")).filter("c > 1"))
-    return looked_up(names, first.withColumn("n", F.col("c")), NAME, n_parts, "left").withColumnRenamed("n", "c")
+    """names (staged) with c, how many rows have the name, and first, the earliest place of them; null where the name occurs once."""
+    first = names.groupBy(*NAME).agg(F.count(F.lit(1)).alias("c"), F.min(_place()).alias("first")).filter("c > 1")
+    if small:  # at most SMALL / 2 rows
+        return names.join(F.broadcast(first), NAME, "left")
+    return looked_up(names, staged(first.withColumn("n", F.col("c"))), NAME, n_parts, "left").withColumnRenamed("n", "c")
 
 
 def levels(first: DataFrame, n_parts: int) -> list[DataFrame]:
     """The intervals (place, n1, n2, first) of 1, 2, 4, … lines, up to the deepest that repeat."""
     out, names, rows = [], first.select(*PLACE, *NAME), first.count()
     while rows:
-        found = staged(_firsts(names, rows <= SMALL, n_parts).filter("c > 1").select(*PLACE, *NAME, "first"))
+        found = staged(_firsts(staged(names), rows <= SMALL, n_parts).filter("c > 1").select(*PLACE, *NAME, "first"))
         rows = found.count()
         if rows:
             out.append(found)
@@ -106,11 +104,8 @@ def longest(found: list[DataFrame], n_parts: int) -> DataFrame | None:
             on = t.select(*KEY, F.col("pos").alias("to"), F.col("n1").alias("m1"), F.col("n2").alias("m2"))
             x = state.withColumn("to", F.col("pos") + F.col("w")).join(on, [*KEY, "to"], "left").drop("to")
             x = x.withColumnsRenamed({"n1": "c1", "n2": "c2", "first": "f"}).select("*", *_hashed("c1", "c2", "m1", "m2"))
-            if small:
-                x = _firsts(x, True, n_parts)
-            else:
-                x = staged(x)
-                x = _firsts(x.filter("m1 is not null"), False, n_parts).unionByName(x.filter("m1 is null"), allowMissingColumns=True)
+            x = staged(x)
+            x = _firsts(x.filter("m1 is not null"), small, n_parts).unionByName(x.filter("m1 is null"), allowMissingColumns=True)
             shared = F.coalesce(F.col("m1").isNotNull() & (F.col("c") > 1), F.lit(False))
             deeper = F.struct((F.col("w") + (1 << j)).alias("w"), *NAME, "first")
             # the first of each sub-interval stands for it
