@@ -27,16 +27,32 @@ def query_terms(queries: DataFrame, ident: str = "item_id", text: str = "text")
     return queries.select(F.col(ident).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+#: Distinct terms of a batch of queries that are sent to every task; more are joined by a shuffle.
+TERMS = 200_000
+
+
 def bm25(queries: DataFrame, docs: DataFrame, top_k: int) -> DataFrame:
     """(query_id, library_id, id, score, rank): the top_k of each query in each library, ties by id."""
-    p, q, s = postings(docs), query_terms(queries), library_stats(docs)
+    q = query_terms(queries)
+    terms = q.select("term").distinct()
+    small = terms.limit(TERMS + 1).count() <= TERMS
+    sent = F.broadcast if small else lambda d: d
+    # only the queries' terms get as far as the first shuffle
+    t = docs.select("library_id", F.col("doc_id").alias("id"), tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+    each = t.select("library_id", "id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(sent(terms), "term", "left_semi")
+    p = each.groupBy("library_id", "id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return ranked(q, p, library_stats(docs), top_k, sent)
+
+
+def ranked(q: DataFrame, p: DataFrame, s: DataFrame, top_k: int, sent=lambda d: d) -> DataFrame:
+    """bm25 of query terms q over postings p (all those of the queries' terms) and library statistics s."""
     df = p.groupBy("library_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    # only the queries' terms meet the postings; document frequencies are counted over all
-    hit = p.join(q, "term").join(df, ["library_id", "term"]).join(s, "library_id")
+    hit = p.join(df, ["library_id", "term"]).join(F.broadcast(s), "library_id")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - CONF.b + CONF.b * F.col("dl") / F.col("avgdl")
-    part = F.col("qtf") * idf * F.col("tf") * (CONF.k1 + 1) / (F.col("tf") + CONF.k1 * norm)
-    scored = hit.groupBy("query_id", "library_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    # what a posting adds for each time that a query has the term
+    part = hit.select("library_id", "id", "term", (idf * F.col("tf") * (CONF.k1 + 1) / (F.col("tf") + CONF.k1 * norm)).alias("s"))
+    scored = part.join(sent(q), "term").groupBy("query_id", "library_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("s")), 6).alias("score"))
     return top(scored, ["query_id", "library_id"], [F.desc("score"), F.asc("id")], top_k)
 
 
@@ -44,6 +60,13 @@ def top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def fuse(lists: list[DataFrame], keys: list[str], weights: list[float] | None = None, k: int = CONF.rrf_k) -> DataFrame:
+    """rrf of lists with a weight for each, or of equal weight."""
+    if weights is not None and len(weights) != len(lists):
+        raise ValueError(f"{len(lists)} lists, {len(weights)} weights")
+    return rrf(list(zip(lists, weights or [1.0] * len(lists), strict=True)), keys, k)
+
+
 def rrf(ranked: list[tuple[DataFrame, float]], keys: list[str], k: int = CONF.rrf_k) -> DataFrame:
     """keys and the sum of weight / (k + rank) over ranked lists, each with keys and rank."""
     if not ranked:

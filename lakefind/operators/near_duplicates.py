@@ -11,9 +11,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import shared_root
+
 PERMUTATIONS, SHINGLE = 128, 5
 #: Shingles hashed at a time: bounds the matrix of permuted hashes.
 BLOCK = 4096
@@ -66,7 +69,7 @@ def _signatures(batches):
 
 
 def _connected(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, label), label the least id reachable; rounds are checkpoints."""
+    """(a, b) -> (node, label), label the least node reachable; rounds are checkpoints."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")).checkpoint()
     while True:
@@ -79,24 +82,51 @@ def _connected(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def duplicate_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs (library_id, id, text) -> (library_id, id, group_id, similarity): group_id the group's least id, similarity the estimate to it."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
+def _signed(docs: DataFrame) -> DataFrame:
+    """(node, sig): a node is a document of a library."""
+    shared_root(docs.sparkSession)
+    d = docs.select("library_id", "id", F.col("text").cast("string")).filter("id is not null")
+    types = dict(d.dtypes)
+    sigs = d.mapInArrow(_signatures, f"library_id {types['library_id']}, id {types['id']}, sig array<long>")
+    return sigs.select(F.struct("library_id", "id").alias("node"), "sig").dropDuplicates(["node"]).checkpoint()
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lakefind-"))
+
+def _stars(sigs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the members of each band with its least one, of the same library."""
     n, rows = bands(threshold)
-    d = docs.select("library_id", "id", F.col("text").cast("string"))
-    types = dict(d.dtypes)
-    sigs = d.mapInArrow(_signatures, f"library_id {types['library_id']}, id {types['id']}, sig array<long>").checkpoint()
     keys = F.array(*(F.xxhash64(F.lit(k), F.slice("sig", k * rows + 1, rows)) for k in range(n)))
-    each = sigs.select("library_id", "id", F.posexplode(keys).alias("band", "key"))
+    each = sigs.select("node", F.col("node.library_id").alias("library_id"), F.posexplode(keys).alias("band", "key"))
     bucket = ["library_id", "band", "key"]
-    star = each.groupBy(*bucket).agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    labels = _connected(each.join(star, bucket).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    m = labels.select(F.col("node").alias("id"), F.col("label").alias("group_id")).join(sigs, "id")
-    head = sigs.select(F.col("id").alias("group_id"), F.col("sig").alias("head")).join(labels.select(F.col("label").alias("group_id")).distinct(), "group_id")
-    same = F.size(F.filter(F.zip_with("sig", "head", lambda x, y: x == y), lambda x: x)) / PERMUTATIONS
-    return m.join(head, "group_id").select("library_id", "id", "group_id", F.round(same, 6).alias("similarity"))
+    star = each.groupBy(*bucket).agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return each.join(star, bucket).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _similarity(x: str, y: str) -> Column:
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda v: v)) / PERMUTATIONS
+
+
+def duplicate_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs (library_id, id, text) -> (library_id, id, group_id, similarity): group_id the group's least id, similarity the estimate to it.
+
+    Libraries are looked at each for itself. Null ids are left out; of rows with the same id any one counts.
+    """
+    sigs = _signed(docs)
+    labels = _connected(_stars(sigs, threshold))
+    m = labels.join(sigs, "node")
+    head = sigs.select(F.col("node").alias("label"), F.col("sig").alias("head")).join(labels.select("label").distinct(), "label")
+    return m.join(head, "label").select("node.library_id", "node.id", F.col("label.id").alias("group_id"), F.round(_similarity("sig", "head"), 6).alias("similarity"))
+
+
+def duplicate_links(docs: DataFrame, threshold: float = 0.8, verified: bool = False) -> DataFrame:
+    """(library_id, a, b, similarity, rank): links of a < b, most similar first: each document with the least one of a band it shares.
+
+    They connect what all pairs would connect; groups of copies aren't spread into their pairs. Candidates of a band may be less
+    similar than threshold; verified leaves these out.
+    """
+    sigs = _signed(docs)
+    pairs = _stars(sigs, threshold)
+    for side in ("a", "b"):
+        pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sig").alias(f"s{side}")), side)
+    x = pairs.select("a.library_id", F.col("b.id").alias("a"), F.col("a.id").alias("b"), F.round(_similarity("sa", "sb"), 3).alias("similarity"))
+    x = x.filter(F.col("similarity") >= threshold) if verified else x
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("library_id").orderBy(F.desc("similarity"), "a", "b")))

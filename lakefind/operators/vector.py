@@ -4,55 +4,75 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import CONF
 
 
-#: Queries of one batch, which every task gets whole.
-MAX_QUERIES = 20_000
+#: Queries that are sent to the tasks at once; more go in further rounds. Queries times vectors of one matrix product.
+ROUND, TILE = 20_000, 1 << 22
 
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", same_folder: bool = False) -> DataFrame:
-    """(query_id, id, score, rank), exact: each task meets a block of queries with its vectors in numpy and keeps k a query; then k of all.
-
-    queries (query_id, q [, folder]) are sent to every task in a column of one row per block; vectors (id, v [, folder]).
-    """
-    rows = queries.select("query_id", "q", *(["folder"] if same_folder else [])).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"a batch holds at most {MAX_QUERIES} queries; send more batches")
-    qid = np.array([r.query_id for r in rows], np.int64)
-    q = np.array([r.q for r in rows], np.float64).reshape(len(rows), -1)
-    qf = np.array([r.folder for r in rows]) if same_folder else None
-    sent = vectors.sparkSession.sparkContext.broadcast((qid, q, qf))
+def _nearest(sent, k: int, metric: str, same_folder: bool):
+    """A task's k best for each query: products tile by tile, rows that reach a query's k-th score so far are merged."""
 
     def run(batches):
         qid, q, qf = sent.value
-        if not len(qid):
-            return
+        n = len(qid)
+        best, ids_of = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+        norm_q = np.einsum("ij,ij->i", q, q)
         for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            if not len(ids):
+            keep = pa.compute.and_(b.column("id").is_valid(), b.column("v").is_valid())
+            b = b.filter(keep)
+            if not b.num_rows or not n:
                 continue
-            v = np.array(b.column("v").to_pylist(), np.float64)
-            if metric == "l2":
-                s = 1 / (1 + ((q[:, None, :] - v[None]) ** 2).sum(2))
-            else:
-                s = (q @ v.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None], 1e-12)
-            if qf is not None:
-                s = np.where(qf[:, None] == np.array(b.column("folder").to_pylist())[None], s, -np.inf)
-            s = np.round(s, 6)
-            for i in range(len(qid)):
-                o = np.lexsort((ids, -s[i]))[:k]
-                o = o[np.isfinite(s[i][o])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), qid[i])), pa.array(ids[o]), pa.array(s[i][o])], names=["query_id", "id", "score"])
-
-    found = vectors.mapInArrow(run, "query_id long, id long, score double")
+            all_ids, all_v = b.column("id").to_numpy(zero_copy_only=False), np.array(b.column("v").to_pylist(), np.float64)
+            folder = np.array(b.column("folder").to_pylist(), object) if same_folder else None
+            step = max(1, TILE // n)
+            for a in range(0, len(all_ids), step):
+                ids, v = all_ids[a : a + step], all_v[a : a + step]
+                norm_v = np.einsum("ij,ij->i", v, v)
+                s = q @ v.T
+                if metric == "l2":
+                    s = 1 / (1 + np.maximum(norm_q[:, None] + norm_v[None] - 2 * s, 0.0))
+                else:
+                    s /= np.maximum(np.sqrt(norm_q)[:, None] * np.sqrt(norm_v)[None], 1e-12)
+                s = np.round(s, 6)
+                if folder is not None:
+                    s[qf[:, None] != folder[None, a : a + step]] = -np.inf
+                for i in np.flatnonzero(s.max(1) >= np.maximum(best[:, -1], -1e300)):
+                    at = np.flatnonzero(s[i] >= max(best[i, -1], -1e300))
+                    both, of = np.concatenate((best[i], s[i, at])), np.concatenate((ids_of[i], ids[at]))
+                    o = np.lexsort((of, -both))[:k]
+                    best[i], ids_of[i] = both[o], of[o]
+        i, j = np.nonzero(np.isfinite(best))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids_of[i, j]), pa.array(best[i, j])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", same_folder: bool = False) -> DataFrame:
+    """(query_id, id, score, rank), exact: tasks keep k rows a query, then k of all; ties by id.
+
+    queries (query_id, q [, folder]) go in rounds of about ROUND, each sent to every task; vectors (id, v [, folder]). Null
+    ids and null vectors are left out on both sides; of several queries with one id each finds its rows; equal ids are found each.
+    """
+    q = queries.select("query_id", "q", *(["folder"] if same_folder else [])).filter("query_id is not null and q is not null")
+    rounds = max(1, -(-q.count() // ROUND))
+    found = None
+    for r in range(rounds):
+        rows = (q.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) if rounds > 1 else q).collect()
+        m = np.array([x.q for x in rows], np.float64).reshape(len(rows), len(rows[0].q) if rows else 0)
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([x.query_id for x in rows], np.int64), m, np.array([x.folder for x in rows], object) if same_folder else None))
+        part = vectors.mapInArrow(_nearest(sent, k, metric, same_folder), "query_id long, id long, score double")
+        found = part if found is None else found.unionByName(part)
     from .lexical import top
 
     return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)

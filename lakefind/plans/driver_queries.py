@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, delivery, lexical, vector
+from ..operators import advice, archive, catalog, delivery, integrity, lexical, links, selection, vector
 from ..sources.tables import files, read
 from .registry import query
 
@@ -160,35 +160,52 @@ def chunk_id_parsing(spark, d):
     return c.select("chunk_id", a.alias("library_id"), b.alias("path"), i.alias("chunk_index"))
 
 
-@query("""with t as (select doc_id, text, substr(text, 1701, 300) as tail from documents),
-c as (select *, case when length(text) <= 2000 then length(text) when contains(tail, chr(10)) then 1700 + length(tail) - strpos(reverse(tail), chr(10)) when contains(substr(text, 2001), chr(10)) then 2000 + strpos(substr(text, 2001), chr(10)) - 1 else length(text) end as cut from t)
-select doc_id, substr(text, 1, cut) as body, cut < length(text) as truncated from c""")
+@query("""with h as (select doc_id, text, substr(text, 1, 2000) as head, strpos(substr(text, 2001), chr(10)) as nxt from documents),
+b as (select *, case when contains(head, chr(10)) then length(head) - strpos(reverse(head), chr(10)) else -1 end as before from h),
+c as (select *, case when before > 0 and before >= 1700 then before when nxt > 0 and nxt - 1 <= 300 then 2000 + nxt - 1 else 2000 end as cut from b)
+select doc_id, case when length(text) <= 2000 then text else substr(text, 1, cut) || chr(10) || '…' end as body, length(text) > 2000 as truncated from c""")
 def truncate_at_line(spark, d):
-    t = read(spark, d, "documents").select("doc_id", "text", X.truncate_at_line(F.col("text")).alias("body"))
-    return t.select("doc_id", "body", (F.length("body") < F.length("text")).alias("truncated"))
+    return read(spark, d, "documents").select("doc_id", X.truncate_at_line(F.col("text")).alias("body"), (F.length("text") > 2000).alias("truncated"))
 
 
-@query("""with l as (select doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents)
-select doc_id, line, count(*)::bigint as n from l where length(line) >= 4 and not regexp_matches(line, '^(#|\\||>|[-*+] |[0-9]+[.] |```)') group by all having count(*) >= 3""")
+LINES = r"""l as (select doc_id, text, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') as a from documents),
+b as (select doc_id, text, case when a[-1] = '' then a[:len(a) - 1] else a end as ls from l)"""
+REPEATED = LINES + r""", r as (select doc_id, text, unnest(ls) as raw, generate_subscripts(ls, 1) as i from b),
+c as (select *, regexp_replace(raw, '^\s+|\s+$', '', 'g') as s from r),
+m as (select *, length(s) >= 4 and not regexp_matches(s, '^[\s\-*_#>|~`]+$') and not regexp_matches(s, '^[#|>]') and not regexp_matches(raw, '^(\s*)([-*+]|\d+[.)])\s') as may from c),
+n as (select *, may and sum(case when may then 1 else 0 end) over (partition by doc_id, s) >= 3 as gone from m)"""
+
+
+@query(f"with {REPEATED} select distinct doc_id, s as line from n where gone")
 def boilerplate_lines(spark, d):
-    l = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line", F.trim("line"))
-    return l.filter((F.length("line") >= 4) & ~F.col("line").rlike(r"^(#|\||>|[-*+] |[0-9]+[.] |```)")).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return read(spark, d, "documents").select("doc_id", F.explode(X.boilerplate(F.col("text"))).alias("line"))
+
 
+@query(f"with {REPEATED}, k as (select doc_id, count_if(gone) as n, string_agg(raw, chr(10) order by i) filter (not gone) as kept from n group by 1) select d.doc_id, sha256(case when coalesce(k.n, 0) = 0 then d.text else coalesce(kept, '') end) as body from documents d left join k on k.doc_id = d.doc_id")
+def boilerplate_stripped(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2(X.strip_boilerplate(F.col("text")), 256).alias("body"))
 
-@query(r"""with l as (select doc_id, string_split(text, chr(10)) as ls from documents),
-b as (select *, len(list_distinct(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: regexp_matches(x, '^[0-9]{1,4}$')))) as bare from l)
-select doc_id, array_to_string(list_filter(ls, lambda x: not regexp_matches(trim(x), '(?i)^(page\s+[0-9]+(\s+of\s+[0-9]+)?|[-–—]\s*[0-9]+\s*[-–—])$') and not (regexp_matches(trim(x), '^[0-9]{1,4}$') and bare >= 2)), chr(10)) as body from b""")
+
+@query(f"with {LINES}" + r""", c as (select *, len(list_distinct(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^\s*\d{1,4}\s*$')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')))) >= 2 as several from b)
+select doc_id, array_to_string(list_filter(ls, lambda x: not regexp_matches(x, '(?i)^\s*(?:第\s*\d+\s*页|page\s*\d+)\s*$') and not regexp_matches(x, '^\s*[-–—_·•*]+\s*\d{1,4}\s*[-–—_·•*]+\s*$') and not (several and regexp_matches(x, '^\s*\d{1,4}\s*$'))), chr(10)) as body from c""")
 def page_number_lines(spark, d):
     return read(spark, d, "documents").select("doc_id", X.strip_page_numbers(F.col("text")).alias("body"))
 
 
-@query(r"""select doc_id, regexp_replace(regexp_replace(text, '(?i)<img[^>]*\balt="([^"]*)"[^>]*>', '\1', 'g'), '(?i)<img[^>]*>', '', 'g') as body from documents""")
+IMAGES = """case doc_id % 5 when 0 then '![a b](x/y.png) ' when 1 then '![](https://h/i.png) ' when 2 then '<img src=q alt=''one''> ' when 3 then '<IMG ALT=two> <img src=z> ' else '' end || text"""
+
+
+@query(f"with t as (select doc_id, {IMAGES} as text from documents)," + r"""
+a as (select doc_id, regexp_replace(text, '!(\[[^\]]*\]\(\s*(?i:https?://|data:)[^)]+\))', chr(1) || '\1', 'g') as t from t),
+b as (select doc_id, replace(regexp_replace(t, '!\[\s*([^\]]*?)\s*\]\([^)]+\)', '\1', 'g'), chr(1), '!') as t from a),
+c as (select doc_id, regexp_replace(t, '(?i)<img\b[^>]*?alt\s*=\s*(?:"\s*([^">]*?)\s*"|''\s*([^''>]*?)\s*''|([^\s>"'']+))[^>]*>', '\1\2\3', 'g') as t from b)
+select doc_id, regexp_replace(t, '(?i)<img\b[^>]*>', '', 'g') as body from c""")
 def dead_images(spark, d):
-    return read(spark, d, "documents").select("doc_id", X.strip_dead_images(F.col("text")).alias("body"))
+    return read(spark, d, "documents").select("doc_id", X.strip_dead_images(F.expr(IMAGES.replace("''one''", "\\'one\\'"))).alias("body"))
 
 
-@query(r"""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as ls from documents)
-select doc_id, len(ls) > 0 and len(list_filter(ls, lambda x: regexp_matches(x, '(?i)\[TBD|TBD—|\[todo\]|TODO—'))) >= len(ls) * 0.1 as tbd from l""")
+@query(f"with {LINES}" + r""", f as (select doc_id, list_filter(ls, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') as ls from b)
+select doc_id, len(ls) > 0 and len(list_filter(ls, lambda x: regexp_matches(x, '(?i)\[TBD|TBD\s*[—-]|\[todo\]|TODO\s*[—-]'))) >= len(ls) * 0.1 as tbd from f""")
 def tbd_heavy(spark, d):
     return read(spark, d, "documents").select("doc_id", X.tbd_heavy(F.col("text")).alias("tbd"))
 
@@ -229,14 +246,15 @@ def inlink_counts(spark, d):
 
 @query(f"with {LINKS} select node, degree from (select node, count(*)::bigint as degree, row_number() over (order by count(*) desc, node) as r from (select 'p' || page_id as node from e union all select target from e) group by 1) where r <= 5")
 def graph_hubs(spark, d):
-    e = _links(spark, d)
-    ends = e.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node")).unionByName(e.select(F.col("target").alias("node")))
-    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(5)
+    e = _links(spark, d).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source"), "target")
+    return links.hubs(e).select(F.col("node_id").alias("node"), "degree")
 
 
-@query(f"with {LINKS} select (select count(*) from (select page_id from e union select null where false))::bigint as nodes, (select count(*) from e)::bigint as edges")
+@query(f"with {LINKS} select (select count(*) from (select 'p' || page_id from e union select target from e))::bigint as nodes, (select count(*) from e)::bigint as edges")
 def graph_stats(spark, d):
-    return _links(spark, d).agg(F.count_distinct("page_id").alias("nodes"), F.count(F.lit(1)).alias("edges"))
+    e = _links(spark, d).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source"), "target")
+    ends = e.select(F.explode(F.array("source", "target")).alias("node")).distinct().agg(F.count(F.lit(1)).alias("nodes"))
+    return ends.join(e.agg(F.count(F.lit(1)).alias("edges")))  # one row each
 
 
 @query(f"""with s as (select a.vec_id as a, b.vec_id as b, round({COS}, 6) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id),
@@ -266,10 +284,12 @@ def decide_included(spark, d):
     return catalog.decide(files(spark, d).select("library_id", "path"), _rules(spark, d))
 
 
-@query(f"with {FILES} select library_id, case when n_chars % 3 = 0 then '.pdf' else '.docx' end as ext, count(*)::bigint as n from f where n_chars % 2 = 0 group by all")
+@query(f"with {FILES}, x as (select library_id, case doc_id % 3 when 0 then 'pdf' when 1 then 'docx' else 'md' end as ext, library_id = 'src3' as granted from f) select library_id, ext, count(*)::bigint as n from x where ext <> 'md' and not (ext = 'docx' and granted) group by all")
 def pending_formats(spark, d):
-    x = files(spark, d).filter("n_chars % 2 = 0").select("library_id", F.when(F.col("n_chars") % 3 == 0, ".pdf").otherwise(".docx").alias("ext"))
-    return x.groupBy("library_id", "ext").agg(F.count(F.lit(1)).alias("n"))
+    f = files(spark, d)
+    kind = F.when(F.col("doc_id") % 3 == 0, ".PDF").when(F.col("doc_id") % 3 == 1, ".docx").otherwise(".md")
+    rules = f.select("library_id").distinct().withColumn("enabled_extensions", F.array(F.lit(".pdf"), F.lit("docx"))).withColumn("agent_formats", F.when(F.col("library_id") == "src3", F.array(F.lit("docx"))).otherwise(F.array().cast("array<string>")))
+    return selection.pending_formats(f.select("library_id", F.concat("path", kind).alias("path")), rules)
 
 
 SNAP = f"""{FILES},
@@ -304,8 +324,10 @@ def freshness(spark, d):
 
 @query(f"with {FILES}, e as (select library_id, sum(n_chars // 600 + 1)::bigint as expected from f group by 1), a as (select library_id, sum(n_chars // 600 + (case when doc_id % 17 = 0 then 0 else 1 end))::bigint as actual from f group by 1) select library_id, expected, actual, actual < expected as drift from e join a using (library_id)")
 def count_drift(spark, d):
-    f = files(spark, d).groupBy("library_id").agg(F.sum(F.expr("n_chars div 600 + 1")).alias("expected"), F.sum(F.expr("n_chars div 600 + if(doc_id % 17 = 0, 0, 1)")).alias("actual"))
-    return f.withColumn("drift", F.col("actual") < F.col("expected"))
+    f = files(spark, d)
+    manifest = f.select("library_id", "path", F.lit("indexed").alias("status"), F.expr("transform(sequence(0, n_chars div 600), i -> cast(i as string))").alias("chunk_ids"))
+    stored = f.groupBy("library_id").agg(F.sum(F.expr("n_chars div 600 + if(doc_id % 17 = 0, 0, 1)")).alias("actual"))
+    return integrity.drift(manifest, stored)
 
 
 @query(f"with {FILES} select library_id, substr(sha256(string_agg(path || ':' || md5(text), '|' order by path || ':' || md5(text))), 1, 16) as fingerprint from f group by 1")
@@ -370,11 +392,13 @@ def split_page_runs(spark, d):
     return catalog.split_runs(_runs(spark, d), 8)
 
 
-@query(f"with {PAGES} select r.doc, r.first, string_agg(b.page_id::varchar, ',' order by b.page_id) as spliced from r join pages b on b.page_id % 10 = r.doc and b.page_id between r.first and r.last group by all")
+@query(f"with {PAGES}, b as (select page_id % 10 as doc, page_id as page, 't' || page_id || '.' as text, page_id % 7 < 4 as image from pages), j as (select b.*, r.first, r.first % 2 = 0 as ok from b left join r on r.doc = b.doc and b.page between r.first and r.last), k as (select *, case when coalesce(ok, false) then case when page = first then 'run' || first || chr(10) || chr(10) end else text end as t from j) select doc, coalesce(string_agg(t, '' order by page), '') as text, coalesce(array_to_string(list(page order by page) filter (ok), ','), '') as recognised, coalesce(array_to_string(list(page order by page) filter (image and not ok), ','), '') as missing from k group by 1")
 def splice_pages(spark, d):
-    b = read(spark, d, "pages").selectExpr("page_id % 10 as doc", "page_id")
-    j = _runs(spark, d).join(b, "doc").filter("page_id between first and last")
-    return j.groupBy("doc", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("spliced"))
+    b = read(spark, d, "pages").selectExpr("page_id % 10 as doc", "page_id as page", "'t' || page_id || '.' as text", "page_id % 7 < 4 as image")
+    runs = _runs(spark, d).withColumn("text", F.when(F.col("first") % 2 == 0, F.concat(F.lit("run"), F.col("first").cast("string"))))
+    text, missing = catalog.splice(b, runs)
+    shown = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("")).alias(c)
+    return text.join(missing, "doc", "left").select("doc", "text", shown("recognised"), shown("missing"))
 
 
 @query(f"with {FILES}, s as (select library_id, path, 1 as generation, n_chars as v from f where doc_id % 2 = 0 union all select library_id, path, 2, n_chars + 1 from f where doc_id % 3 = 0) select library_id, path, generation::int as generation, v from s qualify row_number() over (partition by library_id, path order by generation desc) = 1")
@@ -385,18 +409,18 @@ def compaction_newest_wins(spark, d):
     return catalog.merged(one, two, ["library_id", "path"])
 
 
-@query(f"with {FILES} select library_id, path, 'orphan' as problem from f where doc_id % 5 = 0 and doc_id % 2 <> 0 union all select library_id, path, 'missing' from f where doc_id % 2 = 0 and doc_id % 5 <> 0")
+@query(f"with {FILES} select library_id || ':' || path || ':0' as id, 'orphan' as problem from f where doc_id % 5 = 0 and doc_id % 2 <> 0 union all select library_id || ':' || path || ':0', 'missing' from f where doc_id % 2 = 0 and doc_id % 5 <> 0")
 def archive_reference_check(spark, d):
-    f = files(spark, d)
-    manifest, vectors = f.filter("doc_id % 2 = 0").select("library_id", "path"), f.filter("doc_id % 5 = 0").select("library_id", "path")
-    keys = ["library_id", "path"]
-    return vectors.join(manifest, keys, "left_anti").withColumn("problem", F.lit("orphan")).unionByName(manifest.join(vectors, keys, "left_anti").withColumn("problem", F.lit("missing")))
+    f = files(spark, d).withColumn("id", X.chunk_id(F.col("library_id"), F.col("path"), F.lit(0)))
+    manifest = f.select(F.when(F.col("doc_id") % 2 == 0, "indexed").otherwise("failed").alias("status"), F.array("id").alias("chunk_ids"))
+    return archive.reference_faults(manifest, f.filter("doc_id % 5 = 0"))
 
 
-@query(f"with {FILES} select 'copy:' || path || ':' || n_chars as new_id, library_id || ':' || path || ':' || n_chars as old_id from f")
+@query(f"with {FILES} select 'copy:' || path || ':' || n_chars as id, n_chars as tf from f where doc_id % 4 <> 0")
 def import_id_remap(spark, d):
-    f = files(spark, d)
-    return f.select(X.chunk_id(F.lit("copy"), F.col("path"), F.col("n_chars")).alias("new_id"), X.chunk_id(F.col("library_id"), F.col("path"), F.col("n_chars")).alias("old_id"))
+    f = files(spark, d).withColumn("id", X.chunk_id(F.col("library_id"), F.col("path"), F.col("n_chars")))
+    ids = archive.id_map(f.filter("doc_id % 4 <> 0").select("id", "path", F.col("n_chars").alias("chunk_index")), "copy")
+    return archive.remapped(f.select("id", F.col("n_chars").alias("tf")), ids)
 
 
 @query("select source as library_id, count(*)::bigint as files, sum(n_chars)::bigint as chars, max(doc_id) as last from documents group by 1")
@@ -404,13 +428,16 @@ def library_rows(spark, d):
     return read(spark, d, "documents").groupBy(F.col("source").alias("library_id")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("last"))
 
 
-@query("select url, case when url like '%/en/%' then 'english' when url like '%/fr/%' then 'french' when contains(lower(url), 'page') then 'paged' else 'other' end as theme from pages")
+@query("select url, case when url like '%/en/%' then 'english' when url like '%/fr/%' then 'french' when contains(lower(url), 'page') or contains(lower(url), 'post') then 'paged' else 'general' end as theme from pages")
 def theme_classifier(spark, d):
-    return read(spark, d, "pages").select("url", X.theme(F.col("url"), [("/en/", "english"), ("/fr/", "french"), ("page", "paged")]).alias("theme"))
+    return read(spark, d, "pages").select("url", X.theme(F.col("url"), [("english", ["/en/"]), ("french", ["/fr/"]), ("paged", ["page", "post"])]).alias("theme"))
 
 
-@query(f"with {BM25_ALL}, r as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from sc qualify rank <= 10), a as (select query_id, count(*) as n, max(score / 100) as top, count_if(score / 100 >= 0.75) as strong from r group by 1) select query_id, case when top < 0.3 then 'below warn' when strong = 1 and n > 1 then 'one strong' when top < 0.75 and strong = 0 then 'no strong' else 'fine' end as advice from a")
+@query(f"with {BM25_ALL}, r as (select query_id, id, score / 100 as c, row_number() over (partition by query_id order by score desc, id) as rank from sc qualify rank <= 10), a as (select query_id, count(*) as n, max(c) as top, count_if(c >= 0.75) as strong from r group by 1) select b.item_id as query_id, case when n is null then 'empty' when top < 0.3 then 'all-weak' when strong = 1 and n > 1 then 'one-strong' when strong = 0 and top < 0.75 then 'no-strong' when strong >= 3 or (strong >= 1 and top >= 0.9 and n >= 10) then 'many-strong' when n <= 2 then 'few' when length(trim(b.text)) <= 12 and not contains(b.text, '?') then 'keywords' end as rule from benchmark b left join a on a.query_id = b.item_id")
 def advice_first_rule(spark, d):
-    r = lexical.bm25(read(spark, d, "benchmark"), _all(spark, d), 10)
-    a = r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("score") / 100).alias("top"), F.count_if(F.col("score") / 100 >= 0.75).alias("strong"))
-    return a.select("query_id", F.when(F.col("top") < 0.3, "below warn").when((F.col("strong") == 1) & (F.col("n") > 1), "one strong").when((F.col("top") < 0.75) & (F.col("strong") == 0), "no strong").otherwise("fine").alias("advice"))
+    b = read(spark, d, "benchmark")
+    r = lexical.bm25(b, _all(spark, d), 10)
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"))
+    res = r.join(docs, "id").select("query_id", "library_id", "path", (F.col("score") / 100).alias("confidence"), F.lit(0).alias("folded"), F.lit(False).alias("capped"), F.lit(False).alias("backfilled"))
+    none = spark.createDataFrame([], "query_id long, reason string")
+    return advice.advise(b.select(F.col("item_id").alias("query_id"), "text"), res, none, 10, most=1).select("query_id", F.get("rules", F.lit(0)).alias("rule"))

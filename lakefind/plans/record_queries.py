@@ -40,9 +40,15 @@ def anchor_contexts(spark, d):
     return read(spark, d, "documents").select("doc_id", R.anchor_context(F.array("lang", F.upper("lang"), F.lit("  "), "source", "source", F.lit(None))).alias("anchor"))
 
 
-@query("select doc_id, case when n_chars < 1024 then n_chars::varchar || ' B' else printf('%.1f', n_chars / 1024.0::double) || ' KB' end as size from documents where n_chars < 1048576")
+def _size_sql(n: str) -> str:
+    scaled = lambda power, unit: f"case when n / {1024.0**power}::double < 10 then printf('%.1f', n / {1024.0**power}::double) else printf('%.0f', n / {1024.0**power}::double) end || ' {unit}'"
+    return f"(select case when n < 1024 then n::bigint || ' B' when n < 1048576 then {scaled(1, 'KB')} when n < 1073741824 then {scaled(2, 'MB')} else {scaled(3, 'GB')} end from (select greatest(coalesce({n}, 0), 0) as n))"
+
+
+@query(f"select doc_id, {_size_sql('n_chars')} as size, {_size_sql('n_chars * 1000')} as size_1000, {_size_sql('n_chars * 1500000')} as size_1500000 from documents")
 def human_sizes(spark, d):
-    return read(spark, d, "documents").filter("n_chars < 1048576").select("doc_id", R.human_bytes(F.col("n_chars")).alias("size"))
+    size = lambda k: R.human_bytes(F.col("n_chars") * k)
+    return read(spark, d, "documents").select("doc_id", size(1).alias("size"), size(1000).alias("size_1000"), size(1500000).alias("size_1500000"))
 
 
 @query("select event_type, time_bucket(interval 10 minute, ts) as at, arg_max(value, ts) as value, count(*)::bigint as n from events group by all")

@@ -25,6 +25,9 @@ def test_groups(spark):
     rows = [("l", 1, BASE), ("l", 2, BASE + " end"), ("l", 3, "nothing like it at all"), ("m", 4, BASE), ("l", 5, None), ("l", 6, "  "), ("l", 7, BASE.replace(" ", "  ")), ("l", 8, "ab"), ("l", 9, "ab")]
     got = N.duplicate_groups(spark.createDataFrame(rows, "library_id string, id long, text string"))
     assert sorted((r.library_id, r.id, r.group_id) for r in got.collect()) == [("l", 1, 1), ("l", 2, 1), ("l", 7, 1), ("l", 8, 8), ("l", 9, 8)]
+    links = N.duplicate_links(spark.createDataFrame(rows + [("m", 1, BASE), ("m", None, BASE)], "library_id string, id long, text string")).collect()
+    assert sorted((r.library_id, r.a, r.b, r.similarity >= 0.9) for r in links) == [("l", 1, 2, True), ("l", 1, 7, True), ("l", 8, 9, True), ("m", 1, 4, True)]
+    assert all(x.similarity >= y.similarity for x, y in zip(sorted((r for r in links if r.library_id == "l"), key=lambda r: r["rank"]), sorted((r for r in links if r.library_id == "l"), key=lambda r: r["rank"])[1:]))
     empty = spark.createDataFrame([], "library_id string, id long, text string")
     assert N.duplicate_groups(empty).collect() == []
 
