@@ -1,13 +1,19 @@
 """Secret scan: pattern spans, and random strings found by a battery of randomness tests.
 
-Every candidate (a run of 20 or more encoded characters with a digit and a letter) gets an inferred encoding: hex, base32
-or base64. Under that encoding three tests ask whether it may be random: chi-squared of the letters' counts against the
-uniform alphabet, the runs test (above and below the alphabet's middle) and the lag-1 serial correlation. Each must
-not reject at level ALPHA. Against the opposite null, text, a z-score of the log-likelihood of uniform letters over the
-letter mix of prose gives a p-value; Benjamini and Hochberg's procedure at level Q within each class of length decides,
-over all candidates of the corpus, which are no text. p-values are counted in bins of fixed number (their upper ends are used).
-
-Defined results: null and empty texts have no spans. Positions are code points, the end exclusive.
+Every candidate (a run of 20 or more encoded characters that no pattern span holds) gets an inferred encoding, the smallest
+alphabet that has all its characters. Under that encoding three tests ask whether it may be random: chi-squared of the
+counts in cells of the alphabet against their uniform shares, the runs test (lower and upper half of the alphabet) and the
+lag-1 serial correlation; the battery's p-value is three times the least of theirs. The same chi-squared statistic is
+measured against the opposite null, prose: with the cells' shares in prose it is noncentral, and the lower tail gives the
+p-value of a string of that length and encoding being so near to uniform by chance.
+
+Both decisions are made by Benjamini and Hochberg's procedure within each encoding and class of length, over all distinct
+candidates of the corpus: strings that the battery rejects at level REJECT aren't random; of the others those are reported
+that the prose null is rejected for at level Q, which bounds the expected share of prose among them. p-values are
+counted in bins of a fixed number (their upper ends are used), so no list of candidates is sorted or gathered.
+
+Defined results: null and empty texts have no spans; rows with equal ids are scanned each; extra columns go. Positions are
+code points, the end exclusive. A random span may hold shorter pattern spans, none lies inside one.
 """
 
 from __future__ import annotations
@@ -18,35 +24,58 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import looked_up, parts, staged, table, text_or_empty
 
 #: Fixed patterns: what each kind matches, which group must be how long.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHA, Q = 1e-4, 0.01
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+REJECT, Q = 0.01, 0.01
 #: Bins of -log10(p), 20 to a decade; lengths in classes by powers of two.
 BINS = 400
-#: Shares of letters in prose, per thousand (lower and upper case alike), and of any other character.
-PROSE = {"a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24, "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1}
-OTHER = 8
+#: Matches whose places are summed at once; keeps the work for a text in proportion to its matches.
+CHUNK = 64
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Fixed cells of letters, from frequent in prose to rare.
+LETTERS = ("etaoin", "shrdlu", "cmwfgypb", "vkjxqz")
+#: Fixed table of encodings: pattern, alphabet in order, cells, shares of the cells in prose (of numbers for digits alone).
+ENCODINGS = {
+    10: (r"^[0-9]+$", DIGITS, ("0", "1", "2345", "6789"), (0.2, 0.2, 0.35, 0.25)),
+    26: (r"^([a-z]+|[A-Z]+)$", LOWER, LETTERS, (0.51, 0.295, 0.172, 0.023)),
+    16: (r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", ("01234", "56789", "abc", "def"), (0.05, 0.05, 0.45, 0.45)),
+    32: (r"^[A-Z2-7]+$", LOWER + "234567", (*LETTERS, "234567"), (0.5, 0.29, 0.17, 0.02, 0.02)),
+    36: (r"^([a-z0-9]+|[A-Z0-9]+)$", LOWER + DIGITS, (*LETTERS, DIGITS), (0.46, 0.265, 0.155, 0.02, 0.1)),
+    52: (r"^[A-Za-z]+$", UPPER + LOWER, (*LETTERS, UPPER), (0.46, 0.265, 0.155, 0.02, 0.1)),
+    62: (r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, (*LETTERS, UPPER, DIGITS), (0.43, 0.25, 0.145, 0.02, 0.08, 0.075)),
+    64: (r"", UPPER + LOWER + DIGITS + "+/", (*LETTERS, UPPER, DIGITS, "+/"), (0.41, 0.235, 0.135, 0.02, 0.07, 0.05, 0.08)),
+}
+SPAN = "struct<s:int,e:int,m:string>"
+#: Candidates are joined by 128 bits of their hash, whatever their length.
+KEY = ["h1", "h2"]
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
 
 
 def _spans(text: str, pattern: str) -> Column:
     """array<struct<s, e, m>> of the leftmost non-overlapping matches: what lies between matches gives their places."""
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(F.col(text), p, F.lit(0))
-    gaps = F.transform(F.split(F.col(text), pattern, -1), F.length)
-    z = F.arrays_zip(found.alias("m"), gaps.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-
-    def step(acc, x):
+    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.transform(F.split(F.col(text), pattern, -1), F.length), F.lit(1), F.size(found))
+    each = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    # in chunks, so that the lists that grow in a fold stay short
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda i: F.slice(each, i * CHUNK + 1, F.lit(CHUNK)))
+    length = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["g"] + F.length(x["m"]))
+    starts = F.aggregate(F.transform(chunks, length), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+
+    def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["g"]
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<s:int,e:int,m:string>>")).otherwise(F.aggregate(F.filter(z, lambda x: x["m"].isNotNull()), start, step, lambda a: a["out"]))
+    inner = F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), _none().alias("out")), step, lambda a: a["out"]))
+    return F.when(F.size(found) == 0, _none()).otherwise(F.flatten(inner))
 
 
 def _normal_sf(z: Column) -> Column:
@@ -57,83 +86,102 @@ def _normal_sf(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _tests(c: DataFrame) -> DataFrame:
-    """c (…, m) with p_uniform, p_runs, p_serial and p_text."""
-    k = F.when(F.col("m").rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(F.col("m").rlike("^[A-Z2-7]+=*$"), 32).otherwise(64)
-    alphabet = F.when(F.col("k") == 16, "0123456789abcdef").when(F.col("k") == 32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
-    body = F.regexp_replace("m", "=+$", "")
-    body = F.when(F.col("k") == 16, F.lower(body)).when(F.col("k") == 64, F.translate(body, "-_", "+/")).otherwise(body)
-    c = c.withColumn("k", k).withColumn("body", body).withColumn("ab", alphabet)
-    c = c.withColumn("ch", F.split("body", "")).withColumn("n", F.length("body").cast("double"))
-    c = c.withColumn("v", F.expr("transform(ch, x -> cast(locate(x, ab) - 1 as double))"))
-    counts = F.expr("transform(sequence(0, k - 1), j -> size(filter(v, x -> x = j)))")
-    chi = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x) * F.col("k") / F.col("n") - F.col("n")
-    # Wilson and Hilferty's cube root makes it normal
-    df = F.col("k") - 1
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    half = (F.col("k") - 1) / 2
-    c = c.withColumn("z_uniform", z_chi).withColumn("up", F.transform("v", lambda x: (x > half).cast("int")))
-    up = F.aggregate("up", F.lit(0.0), lambda a, x: a + x)
-    runs = F.expr("aggregate(zip_with(slice(up, 1, size(up) - 1), slice(up, 2, size(up) - 1), (x, y) -> if(x <> y, 1, 0)), 1D, (a, x) -> a + x)")
-    c = c.withColumn("ups", up).withColumn("runs", runs)
-    down = F.col("n") - F.col("ups")
-    mu = 2 * F.col("ups") * down / F.col("n") + 1
+def _encodings() -> Column:
+    """Map of an encoding's number to its alphabet, the cell and half of each of its characters, the cells' shares, and how far prose is from them."""
+
+    def entry(k: int) -> Column:
+        _, alphabet, cells, prose = ENCODINGS[k]
+        cell = "".join(str(next(i for i, c in enumerate(cells) if x in c)) for x in alphabet)
+        shares = [len(c) / len(alphabet) for c in cells]
+        far = sum((p - u) ** 2 / u for p, u in zip(prose, shares, strict=True))
+        half = "0" * ((len(alphabet) + 1) // 2) + "1" * (len(alphabet) // 2)
+        values = {"ab": alphabet, "cell": cell, "half": half, "far": far, "df": float(len(cells) - 1)}
+        return F.struct(*(F.lit(v).alias(n) for n, v in values.items()), F.array(*map(F.lit, shares)).alias("share"))
+
+    return F.create_map(*(x for k in ENCODINGS for x in (F.lit(k), entry(k))))
+
+
+def tested(c: DataFrame) -> DataFrame:
+    """c (…, m: a candidate) with its encoding k, its length n, p_uniform, p_runs, p_serial, p_battery and p_prose."""
+    k = F.lit(64)
+    for kind in reversed(list(ENCODINGS)):
+        if kind != 64:
+            k = F.when(F.col("body").rlike(ENCODINGS[kind][0]), kind).otherwise(k)
+    c = c.withColumn("body", F.regexp_replace("m", "=+$", "")).withColumn("k", k).withColumn("e", F.element_at(_encodings(), F.col("k")))
+    c = c.withColumn("body", F.when(F.col("k").isin(10, 16, 26, 32, 36), F.lower("body")).when(F.col("k") == 64, F.translate("body", "-_", "+/")).otherwise(F.col("body")))
+    c = c.withColumn("n", F.length("body").cast("double")).withColumn("cells", F.expr("translate(body, e.ab, e.cell)")).withColumn("halves", F.expr("translate(body, e.ab, e.half)"))
+    # chi-squared of the counts in the cells against uniform shares; its tail by Wilson and Hilferty's cube root
+    count = "(n - length(replace(cells, cast(i as string), '')) - n * u)"
+    c = c.withColumn("chi", F.expr(f"aggregate(transform(e.share, (u, i) -> {count} * {count} / (n * u)), 0D, (a, x) -> a + x)"))
+    df = F.col("e.df")
+    uniform = (F.pow(F.col("chi") / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    # the lower tail of the noncentral chi-squared that the cells' shares in prose give, by the cube root of Abdel-Aty
+    lam = F.col("n") * F.col("e.far")
+    v = 2 * (1 + lam / (df + lam)) / (9 * (df + lam))
+    prose = (1 - v - F.pow(F.col("chi") / (df + lam), F.lit(1 / 3))) / F.sqrt(v)
+    up = F.length(F.replace("halves", F.lit("0"), F.lit("")))
+    # no two places where 01 (or 10) stands overlap
+    turns = (2 * F.length("halves") - F.length(F.replace("halves", F.lit("01"), F.lit(""))) - F.length(F.replace("halves", F.lit("10"), F.lit("")))) / 2
+    c = c.withColumn("up", up.cast("double")).withColumn("runs", turns + 1)
+    mu = 2 * F.col("up") * (F.col("n") - F.col("up")) / F.col("n") + 1
     var = (mu - 1) * (mu - 2) / (F.col("n") - 1)
-    c = c.withColumn("z_runs", F.when(var > 0, (F.col("runs") - mu) / F.sqrt(var)).otherwise(F.lit(99.0)))
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("n")
-    c = c.withColumn("mean", mean)
-    ss = F.expr("aggregate(v, 0D, (a, x) -> a + (x - mean) * (x - mean))")
+    runs = F.when(var > 0, (F.col("runs") - mu) / F.sqrt(var)).otherwise(F.lit(99.0))
+    c = c.withColumn("v", F.expr("transform(split(body, ''), x -> cast(locate(x, e.ab) as double))"))
+    c = c.withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
+    c = c.withColumn("ss", F.expr("aggregate(v, 0D, (a, x) -> a + (x - mean) * (x - mean))"))
     lag = F.expr("aggregate(zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v) - 1), (x, y) -> (x - mean) * (y - mean)), 0D, (a, x) -> a + x)")
-    c = c.withColumn("z_serial", F.when(ss > 0, F.abs(lag / ss + 1 / F.col("n")) * F.sqrt(F.col("n"))).otherwise(F.lit(99.0)))
-    # text as the null: mean and variance of log(uniform / prose) for a character of prose
-    total = sum(PROSE.values()) + OTHER
-    logs = {x: math.log(1 / 36) - math.log(p / total) for x, p in PROSE.items()} | {"": math.log(1 / 36) - math.log(OTHER / 38 / total)}
-    shares = [(p / total, logs[x]) for x, p in PROSE.items()] + [(OTHER / total, logs[""])]
-    m1 = sum(p * x for p, x in shares)
-    sd = math.sqrt(sum(p * (x - m1) ** 2 for p, x in shares))
-    table_ = F.create_map(*(F.lit(y) for x in PROSE for y in (x, logs[x])))
-    c = c.withColumn("logs", table_)
-    llr = F.expr(f"aggregate(ch, 0D, (a, x) -> a + coalesce(logs[lower(x)], {logs['']}D))")
-    c = c.withColumn("z_text", (llr - F.col("n") * m1) / (F.sqrt("n") * sd))
-    c = c.withColumns({"p_uniform": _normal_sf(F.col("z_uniform")), "p_runs": 2 * _normal_sf(F.abs("z_runs")), "p_serial": 2 * _normal_sf(F.col("z_serial")), "p_text": _normal_sf(F.col("z_text"))})
-    return c.withColumn("bin", F.least(F.floor(-F.log10(F.greatest("p_text", F.lit(1e-30))) * 20), F.lit(BINS)).cast("int")).withColumn("class", F.floor(F.log2("n")).cast("int"))
+    serial = F.when(F.col("ss") > 0, F.abs(lag / F.col("ss") + 1 / F.col("n")) * F.sqrt("n")).otherwise(F.lit(99.0))
+    c = c.withColumns({"z_uniform": uniform, "z_prose": prose, "z_runs": F.abs(runs), "z_serial": serial})
+    c = c.withColumns({"p_uniform": _normal_sf(F.col("z_uniform")), "p_prose": _normal_sf(F.col("z_prose")), "p_runs": 2 * _normal_sf(F.col("z_runs")), "p_serial": 2 * _normal_sf(F.col("z_serial"))})
+    scratch = ("body", "e", "cells", "halves", "chi", "up", "runs", "v", "mean", "ss", "z_uniform", "z_prose", "z_runs", "z_serial")
+    return c.withColumn("p_battery", F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial"))).drop(*scratch)
+
+
+def _bin(p: str) -> Column:
+    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * 20), F.lit(BINS)).cast("int")
+
+
+def _cut(c: DataFrame, bins: str, level: float) -> DataFrame:
+    """(k, size, cut): the bin from which on Benjamini and Hochberg reject, for each encoding and class of length; a row for each at most."""
+    hist = c.groupBy("k", "size", F.col(bins).alias("bin")).agg(F.sum("one").alias("c"))
+    by = W.partitionBy("k", "size")
+    hist = hist.withColumn("rank", F.sum("c").over(by.orderBy(F.desc("bin")))).withColumn("m", F.sum("c").over(by))
+    return hist.filter(F.pow(F.lit(10.0), -F.col("bin") / 20) * F.col("m") <= level * F.col("rank")).groupBy("k", "size").agg(F.min("bin").alias("cut"))
+
+
+def random_strings(candidates: DataFrame) -> DataFrame:
+    """(h1, h2, c) of the distinct candidates (m, h1, h2, c) that are no prose and that the battery doesn't reject."""
+    t = staged(tested(candidates).select(*KEY, "c", "k", F.floor(F.log2("n")).cast("int").alias("size"), _bin("p_battery").alias("battery"), _bin("p_prose").alias("prose"), F.lit(1).alias("one")))
+    # a few dozen encodings and classes of length
+    good = t.join(F.broadcast(_cut(t, "prose", Q)), ["k", "size"]).filter("prose >= cut").drop("cut")
+    good = good.join(F.broadcast(_cut(t, "battery", REJECT)), ["k", "size"], "left").filter("cut is null or battery < cut")
+    return good.select(*KEY, "c")
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id and arrays of spans (s, e, m): assign, access, hex, random."""
+    """Per row of docs: id and arrays of spans (s, e, m): assign, access, hex and maybe, the candidates."""
     d = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     d = d.select("id", *(_spans("text", p).alias(x) for x, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("maybe", CANDIDATE))))
     value = lambda x: F.regexp_extract(x["m"], ASSIGN, 2)
     d = d.withColumn("assign", F.filter("assign", lambda x: F.length(value(x)) >= 12))
-    d = d.withColumn("maybe", F.filter("maybe", lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")))
-    base = F.concat("assign", "access", "hex")
     # what lies in a base span is found already
-    d = d.withColumn("maybe", F.filter("maybe", lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
+    d = d.withColumn("maybe", F.filter("maybe", lambda x: ~x["m"].rlike(f"^({HEX}|{ACCESS})$")))
+    held = lambda kind: lambda x: ~F.exists(kind, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]))
+    for kind in ("assign", "access", "hex"):
+        d = d.withColumn("maybe", F.when((F.size("maybe") > 0) & (F.size(kind) > 0), F.filter("maybe", held(kind))).otherwise(F.col("maybe")))
     return staged(d)
 
 
-def _random(found: DataFrame) -> DataFrame:
-    """The candidate strings that pass the tests."""
-    tested = _tests(found.filter(F.size("maybe") > 0).select(F.explode("maybe").alias("x")).select(F.col("x.m").alias("m")).distinct())
-    tested = staged(tested.select("m", "class", "bin", ((F.col("p_uniform") > ALPHA) & (F.col("p_runs") > ALPHA) & (F.col("p_serial") > ALPHA)).alias("plain")))
-    # Benjamini and Hochberg: in each class of length the largest p with p * m / rank <= Q; a row for each class and bin
-    hist = tested.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("c"))
-    down = W.partitionBy("class").orderBy(F.desc("bin"))
-    hist = hist.withColumn("rank", F.sum("c").over(down)).withColumn("m", F.sum("c").over(W.partitionBy("class")))
-    cut = hist.filter(F.pow(F.lit(10.0), -F.col("bin") / 20) * F.col("m") <= Q * F.col("rank")).groupBy("class").agg(F.min("bin").alias("cut"))
-    good = tested.filter("plain").join(F.broadcast(cut), "class").filter("bin >= cut").select("m")
-    return good
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, assign, access, hex and random spans (s, e, m)."""
     found = scanned(docs, id_col, text_col)
-    good = _random(found)
     some = found.filter(F.size("maybe") > 0)
-    hits = some.select("id", "maybe", F.explode("maybe").alias("x")).join(good, F.col("x.m") == good["m"], "left_semi").groupBy("id", "maybe").agg(F.collect_set("x").alias("random"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    out = some.join(hits.withColumnRenamed("id", "hid").withColumnRenamed("maybe", "hmaybe"), F.equal_null("id", "hid") & (F.col("maybe") == F.col("hmaybe")), "left").select("id", "assign", "access", "hex", F.coalesce("random", none).alias("random"))
-    out = out.unionByName(found.filter(F.size("maybe") == 0).select("id", "assign", "access", "hex", none.alias("random")))
+    each = some.select("id", "maybe", F.explode("maybe").alias("x")).withColumns({"h1": F.xxhash64("x.m"), "h2": F.xxhash64(F.lit(17), "x.m")})
+    good = staged(random_strings(each.groupBy(*KEY, F.col("x.m").alias("m")).agg(F.count(F.lit(1)).alias("c"))))
+    hits = looked_up(each, good, KEY, parts(docs)).groupBy("id", "maybe").agg(F.collect_set("x").alias("random"))
+    same = F.equal_null("id", "hid") & (F.col("maybe") == F.col("hmaybe"))
+    out = some.join(hits.withColumnRenamed("id", "hid").withColumnRenamed("maybe", "hmaybe"), same, "left").select("id", "assign", "access", "hex", F.coalesce("random", _none()).alias("random"))
+    out = out.unionByName(found.filter(F.size("maybe") == 0).select("id", "assign", "access", "hex", _none().alias("random")))
     return out.withColumnRenamed("id", id_col)
 
 
