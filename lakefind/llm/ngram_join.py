@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing as H
-from .common import fits_broadcast, lean, parts, staged, table
+from .common import fits_broadcast, lean, looked_up, parts, staged, table
 from .components import components
 from .repeats import repeated
 
@@ -55,7 +56,7 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
 
 
 def _profile(width: int, id_type: pa.DataType):
-    """A row (id, n, set) for each document, and a task's token counts in rows (chunk, counts)."""
+    """A row (id, th, n, set) for each document, and a task's token counts in rows (chunk, counts)."""
 
     def run(batches):
         counts, held, n_held, any_rows = np.zeros(1 << SKETCH, np.uint32), [], 0, False
@@ -70,12 +71,12 @@ def _profile(width: int, id_type: pa.DataType):
                     counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts)).astype(np.uint32)
                     held, n_held = [], 0
             k = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ns, pa.int64()), pa.array(np.array(fs, np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["id", "n", "set", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(ns, pa.int64()), pa.array(np.array(fs, np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["id", "th", "n", "set", "chunk", "counts"])
         if held:
             counts += np.bincount(_bucket(np.concatenate(held)), minlength=len(counts)).astype(np.uint32)
         if any_rows:
             k = 1 << CHUNKS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([c.astype(np.uint64).tobytes() for c in np.split(counts, k)], pa.binary())], names=["id", "n", "set", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([c.astype(np.uint64).tobytes() for c in np.split(counts, k)], pa.binary())], names=["id", "th", "n", "set", "chunk", "counts"])
 
     return run
 
@@ -176,10 +177,11 @@ class Join:
         self.percent, self.width, self.n_parts = percent, width, parts(docs, 4)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         id_type = dict(self.docs.dtypes)["id"]
-        arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-        both = staged(self.docs.mapInArrow(lean(_profile(width, arrow_id)), f"id {id_type}, n long, set long, chunk int, counts binary"))
+        arrow_id = to_arrow_type(self.docs.schema["id"].dataType)
+        hashed = self.docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+        both = staged(hashed.mapInArrow(lean(_profile(width, arrow_id)), f"id {id_type}, th long, n long, set long, chunk int, counts binary"))
         counts = _token_counts(both)
-        self.profile = both.filter("chunk is null").select("id", "n", "set")
+        self.profile = both.filter("chunk is null").select("id", "th", "n", "set")
         # frequent: clearly above what chance gives a counter, and in one of 200 documents
         frequent = int(max(4 * counts.mean() + 64, self.profile.count() / 200))
         sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
@@ -277,18 +279,48 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df.select(key), 64) else df
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of docs: id, th (hash of the text), n (size of its set), label (the same for all rows of a component; null if the set is empty)."""
     j = Join(docs, id_col, text_col, width, percent)
     labels = j.labels()
-    p = j.profile.filter("n > 0").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).select("id", "n", "label")
-    p = staged(p)
-    least = p.groupBy("label").agg(F.min("id").alias("component_id"))
-    out = p.join(least, "label").select("id", "n", "component_id")
-    out = out.unionByName(j.profile.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    # equal sets may be very many: how many rows each has decides how it is looked up
+    names = staged(labels.withColumnRenamed("node", "set").join(j.profile.groupBy("set").agg(F.count(F.lit(1)).alias("c")), "set"))
+    p = looked_up(j.profile, names, ["set"], j.n_parts, "left")
+    return staged(p.select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("label", "set")).alias("label")))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id."""
+    p = classes(docs, id_col, text_col, width, percent)
+    some = p.filter("label is not null")
+    least = staged(some.groupBy("label").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("c")))
+    out = looked_up(some, least, ["label"], parts(docs)).select("id", "n", "component_id")
+    out = out.unionByName(p.filter("label is null").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near copies: of each component the row of the least id stays (null ids last, then by the text's hash), once."""
+    p = classes(docs, id_col, text_col, width, percent).filter("label is not null")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    best = staged(p.groupBy("label").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    p = looked_up(p, best, ["label"], parts(docs))
+    gone = staged(p.filter(rank != F.col("best")).select("id", "th").distinct())
+    again = staged(p.filter(rank == F.col("best")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    d = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+    def among(rows: DataFrame):
+        rows = rows.select(F.col("id").alias("__id"), F.col("th").alias("__h"))
+        return (F.broadcast(rows) if fits_broadcast(rows, 64) else rows), F.equal_null(F.col(id_col), F.col("__id")) & (F.col("__th") == F.col("__h"))
+
+    d = d.join(*among(gone), "left_anti")
+    if not again.isEmpty():  # equal rows: one of them
+        same = d.join(*among(again), "left_semi")
+        one = same.groupBy(F.col(id_col).alias("__k"), "__th").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+        return d.join(*among(again), "left_anti").drop("__th").unionByName(one)
+    return d.drop("__th")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"))
 
