@@ -1,20 +1,30 @@
-"""Training rows: a bounded sample of labelled documents, with whole texts."""
+"""Training rows: a sample of labelled documents, bounded in rows and in bytes, with whole texts."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import staged
+
+#: Bytes of text of each class that may reach the driver; rows beyond, in the order of their ids' hashes, are left out.
+SAMPLE_BYTES = 48 << 20
+
 
 def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` usable labelled rows of each class, chosen by a hash of the id. Only they reach the driver."""
+    """Texts and labels of at most `most` usable labelled rows and SAMPLE_BYTES of text of each class, chosen by a hash of the id. Only they reach the driver."""
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).filter(usable).groupBy(id_col).agg(F.max(label).alias("y"))
     few = [chosen.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y in (0, 1)]
     ids = few[0].unionByName(few[1])
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select(id_col, "text", "y").dropDuplicates([id_col]).orderBy(id_col).collect()
+    rows = staged(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select(id_col, "text", "y").dropDuplicates([id_col]))
+    order = W.partitionBy("y").orderBy(F.xxhash64(id_col), id_col)
+    total = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    fit = rows.select(id_col, "y", total.alias("total")).filter(F.col("total") <= SAMPLE_BYTES).select(id_col)
+    rows = rows.join(F.broadcast(fit), id_col).orderBy(id_col).collect()
     return [r.text or "" for r in rows], np.array([r.y for r in rows], np.float32)

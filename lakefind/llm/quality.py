@@ -5,7 +5,8 @@ towards its diagonal; their Cholesky factors are made once. The score is the log
 densities (Mahalanobis distances and determinants) and the log prior odds.
 
 Labels are learnt from at most SAMPLE rows of each class (a documented bound); texts are whole. Defined results: null and
-empty texts have all statistics zero and get a score like any other. One class or no labels: score 1 or 0 for that class, 0.5 without labels.
+empty texts have all statistics zero and get a score like any other. One class or no labels: score 1 or 0 for that class, 0.5
+without labels. Rows with equal or null ids are scored each; a label row of a null id is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, slices, table
 from .labelled import fold, sample
 
 SAMPLE = 4000
@@ -94,12 +95,12 @@ def scored(docs: DataFrame, model: Quadratic, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             x = np.array([statistics(t or "") for t in b.column("text").to_pylist()]).reshape(-1, 19)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sent.value.score(x), pa.float64())], names=["id", "score"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"id {dict(d.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return d.mapInArrow(lean(run), f"id {dict(d.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
