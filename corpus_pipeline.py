@@ -2,7 +2,11 @@
 
 Toxic documents go; later copies of line runs are cut out (a document of which nothing is left goes); one document of
 each group of near duplicates stays (five words, 0.8); documents that hold benchmark items go; the rest is encoded.
-Null and empty texts pass every filter. Extra columns of the input are dropped.
+
+Defined results: rows are judged one by one, not by their id, so a null id is no shelter. Null and empty texts pass every
+filter but a toxicity model that rejects them. The same row twice is one document for line dedup, and one of the two stays
+after near duplicates, as of any group: the row of the least id, null ids last. Extra columns of the input are dropped; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefind.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from lakefind.llm.common import fits_broadcast, staged, table
+from lakefind.llm.common import staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No SQL has a trained classifier's decisions.
@@ -19,10 +23,8 @@ ORACLE_SQL = None
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
     model = toxicity.learnt(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    bad = staged(toxicity.scored(docs, model).filter(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct())
-    return docs.join(F.broadcast(bad) if fits_broadcast(bad, 64) else bad, "doc_id", "left_anti")
+    return toxicity.harmless(docs.select(*COLUMNS), model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    gone = ngram_join.similar(docs, width=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = staged(gone)
-    return docs.join(F.broadcast(gone) if fits_broadcast(gone, 64) else gone, "doc_id", "left_anti")
+    return ngram_join.one_of_each(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
