@@ -6,10 +6,13 @@ The threshold is the least density on the path from the node of the greatest sum
 threshold keeps the subtree of the greatest sum in it, and its other children are looked at in the same way. Only then do tag names speak:
 what is kept is widened to the article that holds it, or, if no article holds any of it, to main. Text elements between kept siblings and
 headings right before them stay.
+A form that holds more than half of the page's text is a frame and stays; only its fields go.
 Inside what is kept, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes. A whole
 class token of NAMES decides; one word of a longer name, or of an id inside an article, only if links or density confirm it.
 
-Defined results: null and empty html give empty text; a page without body is its own body; a page without tags is its text.
+Defined results: null and empty html give empty text; a page without body is its own body; a page without tags is its text. Each
+row is read by itself, whatever its id; an input column called text goes, other extra columns stay. A page is read in time linear in its
+length, but for names that need confirming inside each other.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +44,9 @@ BOUNDARY = frozenset("ul ol dl table article section div body main aside td th f
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: Words of class and id names (split at anything but letters) that mark what is not the article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation navmenu menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget toolbar pagination pager skip login".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quoted values may hold >.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WHITE = re.compile(r"[ \t\n\r\f\v\xa0  -     　\x1c-\x1f\x85]+")
 
@@ -55,52 +61,135 @@ class Node:
         self.dropped = False
 
 
+def _tokens(page: str):
+    """(text, end tag?, name, attributes, place behind the tag) one after another, in time linear in the page; name None ends it."""
+    at, n, last, odd = 0, len(page), page.rfind(">"), False
+    text = at
+    no_cdata = False
+    while True:
+        m = page.find("<", at)
+        if m < 0 or m > last:
+            # an unclosed comment hides the rest, other unclosed marks are text
+            end = page.find("<!--", at) if m >= 0 else -1
+            yield page[text : end if end >= 0 else n], False, None, "", n
+            return
+        if page.startswith("<!--", m):
+            close = page.find("-->", m + 4)
+            yield page[text:m], False, "", "", (at := close + 3 if close >= 0 else n)
+            text = at
+            continue
+        if not no_cdata and page.startswith("<![CDATA[", m):
+            close = page.find("]]>", m)
+            no_cdata = close < 0
+            if close >= 0:
+                yield page[text:m], False, "", "", (at := close + 3)
+                text = at
+                continue
+        tag = TAG.match(page, m)
+        if tag is None:
+            if page[m + 1 : m + 2] in ("!", "?"):
+                close = page.find(">", m)
+                yield page[text:m], False, "", "", (at := close + 1)
+                text = at
+            else:
+                at = m + 1
+            continue
+        rest = None if odd else REST.match(page, tag.end())
+        if rest is None:
+            # quotes that are never closed: from here on a tag ends at the next >
+            odd = True
+            close = page.find(">", tag.end())
+            if close < 0:
+                at = m + 1
+                continue
+        else:
+            close = rest.end() - 1
+        skip = yield page[text:m], bool(tag[1]), tag[2].lower(), page[tag.end() : close], close + 1
+        at = text = skip if skip is not None else close + 1
+
+
+class _Open:
+    """Open elements, with the places of each name, so that looking for one takes no walk."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+        self.bounds: list[int] = []
+        self.row_bounds: list[int] = []
+
+    def push(self, x: Node) -> None:
+        i = len(self.stack)
+        self.places.setdefault(x.name, []).append(i)
+        if x.name in BOUNDARY:
+            self.bounds.append(i)
+            if x.name not in ("td", "th"):
+                self.row_bounds.append(i)
+        self.stack.append(x)
+
+    def cut(self, i: int) -> None:
+        """Close the elements from place i on."""
+        while len(self.stack) > i:
+            x = self.stack.pop()
+            self.places[x.name].pop()
+            if x.name in BOUNDARY:
+                self.bounds.pop()
+                if x.name not in ("td", "th"):
+                    self.row_bounds.pop()
+
+    def near(self, name: str) -> int | None:
+        """The innermost place of an element of that name."""
+        return self.places[name][-1] if self.places.get(name) else None
+
+    def close_paragraph(self) -> None:
+        i = self.near("p")
+        if i is not None and i > (self.bounds[-1] if self.bounds else 0):
+            self.cut(i)
+
+    def close_implied(self, names: set[str]) -> None:
+        low = self.row_bounds[-1] if self.row_bounds else 0
+        first = [p[k] for n in names if (p := self.places.get(n)) and (k := bisect_right(p, low)) < len(p)]
+        if first:
+            self.cut(min(first))
+
+
 def parse(page: str) -> Node:
     """A tree of Nodes and strings; unclosed and misplaced tags are mended the way browsers do in the common cases."""
-    root = top = Node("html", "", None)
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
+    root = Node("html", "", None)
+    held = _Open(root)
+    tokens = _tokens(page)
+    token = next(tokens, None)
+    while token is not None:
+        text, ends, name, attrs, behind = token
+        skip = None
+        top = held.stack[-1]
         if text:
             top.children.append(text)
-        if not m:
+        if name is None:
+            break
+        if name and name != "html":
+            if ends:
+                i = held.near(name)
+                if i is not None:
+                    held.cut(i)
+                elif name == "p":
+                    top.children.append(Node("p", "", top))
+            else:
+                if name in CLOSES_P:
+                    held.close_paragraph()
+                if name in IMPLIED:
+                    held.close_implied(IMPLIED[name])
+                top = held.stack[-1]
+                node = Node(name, attrs, top)
+                top.children.append(node)
+                if name in RAW and not attrs.endswith("/"):
+                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, behind)
+                    node.children.append(page[behind : end.start() if end else len(page)])
+                    skip = end.end() if end else len(page)
+                elif name not in VOID and not attrs.endswith("/"):
+                    held.push(node)
+        try:
+            token = tokens.send(skip)
+        except StopIteration:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name or name == "html":
-            continue
-        if m[1]:
-            x = top
-            while x is not root and x.name != name:
-                x = x.up
-            if x is not root:
-                top = x.up
-            elif name == "p":
-                top.children.append(Node("p", "", top))
-            continue
-        if name in CLOSES_P:
-            x = top
-            while x is not root and x.name not in BOUNDARY and x.name != "p":
-                x = x.up
-            if x.name == "p":
-                top = x.up
-        if name in IMPLIED:
-            x = top
-            while x is not root and x.name not in BOUNDARY - {"td", "th"}:
-                if x.name in IMPLIED[name]:
-                    top = x.up
-                x = x.up
-        node = Node(name, m[3] or "", top)
-        top.children.append(node)
-        if name in VOID or (m[3] or "").endswith("/"):
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-            continue
-        top = node
     return root
 
 
@@ -175,13 +264,29 @@ def _count(order: list[tuple[Node, bool]]) -> None:
                 x.link_tags += c.link_tags + (c.name == "a")
 
 
+def _frames(root: Node) -> set[Node]:
+    """Forms that are the frame of a page: they hold more than half of its text, so what is in them is judged, not they."""
+    order, stack, forms = [], [root], []
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        forms += [x] if x.name == "form" else []
+        stack.extend(c for c in x.children if isinstance(c, Node) and c.name not in RAW)
+    if not forms:
+        return set()
+    size: dict[Node, int] = {}
+    for x in reversed(order):
+        size[x] = sum(len(c.strip()) if isinstance(c, str) else size.get(c, 0) for c in x.children)
+    return {x for x in forms if 2 * size[x] > size[root]}
+
+
 def measure(root: Node) -> Node:
     """Counts and densities of all nodes, bottom up; the body."""
-    order, body, suspects = [], None, []
+    order, body, suspects, frames = [], None, [], _frames(root)
     stack: list = [(root, False, None)]
     while stack:
         x, link, article = stack.pop()
-        excluded = _excluded(x, article is not None)
+        excluded = x not in frames and _excluded(x, article is not None)
         x.dropped = excluded is True
         if excluded is None:
             suspects.append((x, article))
@@ -253,9 +358,11 @@ def chosen(body: Node) -> set[Node]:
         if t is not x:
             stack.extend(c for c in x.children if isinstance(c, Node) and not c.dropped)
     for name in ("article", "main"):
-        frames = {x: [y for y in path(x) if y.name == name] for x in kept}
-        if any(frames.values()):
-            return {(f or [x])[-1] for x, f in frames.items()}
+        outer: dict[Node, Node | None] = {}  # the outermost element of that name around each node
+        for x in order:
+            outer[x] = (outer.get(x.up) if x is not body else None) or (x if x.name == name else None)
+        if any(outer[x] for x in kept):
+            return {outer[x] or x for x in kept}
     return kept
 
 

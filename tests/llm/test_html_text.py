@@ -1,5 +1,9 @@
 """Main text of pages on which density decides."""
 
+import time
+
+import pytest
+
 from lakefind.llm import html_text
 
 LONG = "A paragraph of the article with enough words in it to be told from what stands around it on the page. " * 3
@@ -38,3 +42,31 @@ def test_one_word_of_a_name_does_not_decide():
     assert html_text.extract(f"<body><article>{head}{''.join(map(section, names))}{links}</article></body>") == f"Title\n{text}"
     free = f"<body><div class=k1>{section('related-work')}{section('social-impact')}{links}</div></body>"
     assert html_text.extract(free) == f"related-work\n{LONG.strip()}\nsocial-impact\n{LONG.strip()}"
+
+
+def test_wrappers_of_a_page():
+    art = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+    text = "\n".join(["Title", *[LONG.strip()] * 3])
+    menu = "<ul class=menu><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    for page in (
+        f'<body><div class="site-content no-sidebar">{menu}{art}</div></body>',
+        f"<body><form action=x><input value=q>{menu}<div class=k1>{art}</div><button>Send</button></form></body>",
+        f"<body>{menu}<div class=k1>{art}</div><div class=k2><p>Unrelated blurb.</p></div><form><p>Your name</p><input></form></body>",
+        f"<body><article><div class='entry-header'><h1>Title</h1></div>{art[14:]}</article><div class=comments><p>First!</p></div></body>",
+    ):
+        assert html_text.extract(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 60_000, '<a href="' * 30_000, "<div><p>x</b>" * 8_000, "<table><tr><td>x" * 5_000, "<b><i>" * 20_000 + "<h1>x" * 2_000, "<!-- " * 50_000, "<![CDATA[" * 30_000, "<a '\">" * 20_000, "<script>" * 20_000])
+def test_long_broken_pages(page):
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 10
+
+
+def test_query_rows(spark):
+    rows = [(1, "u", f"<p>{LONG}</p>", "old"), (1, "u", f"<p>{LONG}</p>", "old"), (2, None, None, "old"), (None, "w", "", "old"), (3, "v", "plain &lt;text&gt;", "old")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id or 0, r.url, r.text) for r in html_text.extracted(d).collect()), key=str)
+    assert got == sorted([(1, "u", LONG.strip()), (1, "u", LONG.strip()), (2, None, ""), (0, "w", ""), (3, "v", "plain <text>")], key=str)
+    assert html_text.extracted(d.limit(0)).count() == 0
