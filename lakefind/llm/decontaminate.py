@@ -108,17 +108,11 @@ class Template:
         start, end, self.first = H.bounds(data, offsets)
         n = len(start)
         self.low = low = _plain(data)
-        s, e = start.copy(), end.copy()
-        for _ in range(8):
-            m = (s < e) & EDGE[data[np.minimum(s, e - 1)]]
-            if not m.any():
-                break
-            s += m
-        for _ in range(8):
-            m = (s < e) & EDGE[data[e - 1]]
-            if not m.any():
-                break
-            e -= m
+        # without the marks around it, however many
+        core = np.append(np.flatnonzero(~EDGE[data]), len(data))
+        lo, hi = np.searchsorted(core, start), np.searchsorted(core, end)
+        s = np.minimum(core[lo], end)
+        e = np.where(hi > lo, core[hi - 1] + 1, s)
         h = H.spelled(low, s, e)
         some = s < e
         one, two = data[np.minimum(s, len(data) - 1)], data[np.minimum(s + 1, len(data) - 1)]

@@ -32,3 +32,17 @@ def test_slots(spark):
 def test_items_without_a_window(spark):
     items = ["What is 17 times 23", "Paris Rome 12 km 30 km Oslo 7 8 9", "..."]
     assert leaked(spark, items, ["So: what is 17 times 23?", "What is 17 times 24", "from Paris Rome 12 km 30 km Oslo 7 8 9.", "..."]) == [[0], [], [1], []]
+
+
+def test_marks_without_limit(spark):
+    item = " ".join(WORDS)
+    assert leaked(spark, [item], [item.replace("river", "*" * n + "river" + "!" * n) for n in (1, 9, 300)]) == [[0], [0], [0]]
+
+
+def test_defined_results(spark):
+    b = spark.createDataFrame([(7, " ".join(WORDS)), (8, " ".join(WORDS)), (9, None), (10, "")], "item_id long, text string")
+    rows = [(1, "x " + " ".join(WORDS), "i"), (1, "x " + " ".join(WORDS), "i"), (None, " ".join(WORDS).upper().lower(), "i"), (2, None, "i"), (3, "", "i"), (4, "free of it " * 20_000, "i")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    got = sorted((r.doc_id or 0, r["__items"]) for r in decontaminate.flagged(d, b).collect())
+    assert got == [(0, [7, 8]), (1, [7, 8]), (1, [7, 8]), (2, []), (3, []), (4, [])]
+    assert decontaminate.flagged(d, b.limit(0)).filter("size(__items) > 0").count() == 0 and decontaminate.flagged(d.limit(0), b).count() == 0
