@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_root
 from . import hashing as H
 
 
@@ -31,13 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the session names one."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lakefind-")
-        sc.setCheckpointDir(base)
-    root = f"{base.rstrip('/')}/lakefind-{sc.applicationId}"
+    """A folder of this application in the one that driver and executors share; it goes when the application ends."""
+    root = f"{shared_root(spark)}/lakefind-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(_remove, spark, root)
