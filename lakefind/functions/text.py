@@ -32,7 +32,7 @@ LAYOUT_NOISE = ["header", "footer", "page_number"]
 #: Fixed mark behind a text that was cut.
 CUT_MARK = "…"
 #: Fixed themes, the first whose keyword is in the lower-case path.
-THEMES = [("wemm", ["wemm", "页级", "视觉导航"]), ("mineru", ["mineru", "ocr", "扫描"]), ("chunk", ["切块", "清洗", "chunk", "嵌入", "向量", "检索", "重排", "embedding"]), ("daily", ["journal", "日记", "周会", "会议记录", "meeting"]), ("config", ["设置", "配置", "config", "门禁", "隐私"])]
+THEMES = [("pages", ["页级", "视觉导航"]), ("recognition", ["ocr", "扫描"]), ("chunk", ["切块", "清洗", "chunk", "嵌入", "向量", "检索", "重排", "embedding"]), ("daily", ["journal", "日记", "周会", "会议记录", "meeting"]), ("config", ["设置", "配置", "config", "门禁", "隐私"])]
 
 
 def tokens(text: Column, lexicon: tuple[str, ...] = ()) -> Column:
