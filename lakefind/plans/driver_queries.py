@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import advice, archive, catalog, delivery, integrity, lexical, links, selection, vector
+from ..operators import advice, archive, catalog, delivery, integrity, lexical, links, progress, selection, vector
 from ..sources.tables import files, read
 from .registry import query
 
@@ -365,8 +365,7 @@ def progress_throttle(spark, d):
 
 @query("select user_id, event_id, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as shown from events")
 def monotone_progress(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return read(spark, d, "events").select("user_id", "event_id", F.max("value").over(w).alias("shown"))
+    return progress.monotone(read(spark, d, "events"), "user_id", "value", "ts", "event_id").select("user_id", "event_id", "shown")
 
 
 @query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*)::bigint as files, round(sum(value), 4) as pages from events group by all")

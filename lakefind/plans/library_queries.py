@@ -9,7 +9,7 @@ from ..functions import html_tables, markdown
 from ..functions import records as R
 from ..functions import text as X
 from ..functions.front_matter import front_matter
-from ..operators import archive, catalog, chunking, content_map, conversion, integrity, lexical, links, near_duplicates, search, selection, vector
+from ..operators import archive, chunking, content_map, conversion, integrity, links, near_duplicates, progress, search, selection, vector
 from ..sources import extract
 from ..sources.tables import files, read
 from .driver_queries import BM25_ALL, COS, D2, FILES, SNAP, _snapshots
@@ -398,3 +398,54 @@ def page_index_plan(spark, d):
     now = f.filter("doc_id % 6 <> 0").select("library_id", "path", F.when(F.col("doc_id") % 6 == 4, "h2").otherwise("h").alias("content_hash"), F.when(F.col("doc_id") % 6 == 5, "s2").otherwise("s").alias("signature"))
     old = f.filter("doc_id % 6 <> 1").select("library_id", "path", F.lit("h").alias("content_hash"), F.lit("s").alias("signature"), F.when(F.col("doc_id") % 6 == 3, "partial").otherwise("indexed").alias("status"))
     return conversion.page_plan(now, old).groupBy("library_id", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+# progress: a user's events are a run
+
+RUN = "case event_id % 6 when 0 then 'done' when 1 then 'embedding' when 2 then 'visual' when 3 then 'failed' when 4 then 'writing' else 'extracting' end"
+LATEST = f"with r as (select user_id, max((ts, event_id)) as m from events group by 1), e as (select e.*, {RUN} as stage, (select max(ts) from events) as now from events e join r on r.user_id = e.user_id and r.m = (e.ts, e.event_id))"
+
+
+def _runs_now(spark, d):
+    e = read(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return progress.latest(e.withColumn("stage", F.expr(RUN)), "user_id", "ts", "event_id").join(F.broadcast(now))
+
+
+@query(LATEST + " select user_id, stage, case when stage in ('done', 'failed') then 'healthy' when user_id % 7 = 0 then 'orphaned' when now - ts > interval 6 hour then 'stalled_no_heartbeat' when now - ts > interval 3 hour and user_id % 2 = 0 then 'stalled_no_progress' else 'healthy' end as health from e")
+def run_health(spark, d):
+    r = _runs_now(spark, d)
+    ts, now = F.col("ts"), F.col("now")
+    hours = lambda n: F.expr(f"interval {n} hours")
+    # the heartbeat is three hours younger than the progress; a run of an odd number began just now
+    h = progress.health(F.col("stage"), F.col("user_id") % 7 != 0, now, ts + hours(3), ts, F.when(F.col("user_id") % 2 == 0, ts).otherwise(now), hours(3), hours(1))
+    return r.select("user_id", "stage", h.alias("health"))
+
+
+@query(LATEST + """, p as (select *, case when stage = 'done' then 100 when stage = 'visual' then null when stage = 'embedding' then least(100, floor((event_id % 90) * 100 / 80.0)) else least(100, floor((event_id % 50) * 100 / 60.0)) end::int as percent from e)
+select user_id, percent, case when stage in ('writing', 'extracting', 'visual') and stage <> 'writing' and percent > 0 then round(30.0::double * (100 - percent) / percent, 1) end as seconds from p""")
+def run_percent(spark, d):
+    r = _runs_now(spark, d)
+    p = progress.percent(F.col("stage"), F.col("event_id") % 50, F.lit(60), F.col("event_id") % 90, F.lit(80))
+    r = r.withColumn("percent", p)
+    return r.select("user_id", "percent", progress.seconds_left(F.col("stage"), F.lit(30.0), F.col("percent")).alias("seconds"))
+
+
+@query(LATEST + """, b as (select user_id % 4 as batch_id, 'l' || user_id as library_id, stage, event_id % 50 as done from e)
+select batch_id, sum(done)::bigint as files_done, count(*)::bigint * 60 as files, max(done) as elapsed, coalesce(string_agg(library_id, ', ' order by library_id) filter (stage not in ('done', 'failed')), '') as active, coalesce(string_agg(library_id, ', ' order by library_id) filter (stage = 'failed'), '') as failed,
+ case when count_if(stage not in ('done', 'failed')) > 0 then 'running' when count_if(stage = 'failed') > 0 then 'failed' else 'done' end as stage from b group by 1""")
+def merged_progress(spark, d):
+    r = _runs_now(spark, d).select((F.col("user_id") % 4).alias("batch_id"), F.concat(F.lit("l"), F.col("user_id").cast("string")).alias("library_id"), "stage", (F.col("event_id") % 50).alias("files_done"), F.lit(60).alias("files"), F.lit(0).alias("chunks_done"), F.lit(0).alias("chunks"), (F.col("event_id") % 50).alias("elapsed"))
+    return progress.merged(r).drop("chunks_done", "chunks")
+
+
+@query("select count(*)::bigint as files, sum(n_chars // 600 + 1)::bigint as chunks, case when count_if(source = 'src1') > 0 then 'stale' else 'ok' end as state from documents")
+def snapshot_totals(spark, d):
+    f = files(spark, d).groupBy("library_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.expr("n_chars div 600 + 1")).alias("chunks"))
+    return progress.snapshot(f.withColumn("indexed", F.lit(True)).withColumn("stale", F.col("library_id") == "src1"))
+
+
+@query(f"with {FILES} select library_id, path, (row_number() over (partition by library_id, lang order by doc_id))::int as nth, count(*) over (partition by library_id, lang)::bigint as total from f")
+def chunk_positions(spark, d):
+    c = files(spark, d).select("library_id", F.col("lang").alias("path"), F.col("doc_id").alias("chunk_index"), F.col("path").alias("p"))
+    return progress.positions(c).select("library_id", F.col("p").alias("path"), "nth", "total")
