@@ -3,7 +3,8 @@
 Tier one: a minimal perfect hash over the vocabulary's byte strings resolves a pre-token that is a token as a whole. Tier two: other
 pre-tokens are merged with a heap of ranked pairs over a linked list of bytes. Pre-tokens met before come from a bounded memo.
 
-Defined results: null and empty texts give no ids; decoding gives the text's UTF-8 bytes back.
+Defined results: null and empty texts give no ids; decoding gives the text's UTF-8 bytes back. Rows are encoded each by itself, whatever
+their ids (null and repeated ones too); extra columns go; an empty table gives no rows. Pairs of equal rank are merged from the left.
 """
 
 from __future__ import annotations

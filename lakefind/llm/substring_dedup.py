@@ -3,10 +3,11 @@
 Short windows are hashed only where the word position modulo a period lies in a difference cover. For any two positions
 there is a shift below the period that brings both into the cover, so two equal windows of `width` words share an anchor
 of width - period + 1 words at aligned cover positions. Repeated anchors name candidate windows; those are hashed
-whole (128 bits) and the ones that start anywhere else are what counts.
+whole and the ones whose 64-bit key (mixed from two hashes) also starts anywhere else are what counts; equal keys stand for equal words.
 
 Defined results: null text is empty; a document of fewer than `width` words loses nothing; equal documents are
-copies of each other (both lose everything from `width` words on); the same row twice is two documents.
+copies of each other (both lose everything from `width` words on); the same row twice is two documents, as are rows of null ids.
+Extra columns go; an empty table gives no rows.
 """
 
 from __future__ import annotations
