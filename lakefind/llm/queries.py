@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import line_dedup, mixing, ngram_join, topk_search
+from .alignment import op11_tokenizer_alignment
 from .bpe import op9_byte_level_bpe
 from .decontaminate import op7_decontamination
 from .html_text import op1_html_extraction
@@ -15,7 +16,7 @@ from .substring_dedup import op10_substring_dedup
 from .topk_search import op8_exact_topk_search
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_line_dedup, op6_quality, op7_decontamination, op8_exact_topk_search, op9_byte_level_bpe, op10_substring_dedup, op13_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_line_dedup, op6_quality, op7_decontamination, op8_exact_topk_search, op9_byte_level_bpe, op10_substring_dedup, op11_tokenizer_alignment, op13_mix_sources)}
 
 
 def queries():
