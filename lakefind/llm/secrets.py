@@ -31,11 +31,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "maybe": CANDIDATE}
+#: The last pattern's place: candidates.
+MAYBE = 3
 REJECT, Q = 0.01, 0.01
 #: Bins of -log10(p), 20 to a decade; lengths in classes by powers of two.
 BINS = 400
-#: Matches whose places are summed at once; keeps the work for a text in proportion to its matches.
-CHUNK = 64
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Fixed cells of letters, from frequent in prose to rare.
 LETTERS = ("etaoin", "shrdlu", "cmwfgypb", "vkjxqz")
@@ -59,23 +60,10 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def _spans(text: str, pattern: str) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches: what lies between matches gives their places."""
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.transform(F.split(F.col(text), pattern, -1), F.length), F.lit(1), F.size(found))
-    each = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    # in chunks, so that the lists that grow in a fold stay short
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda i: F.slice(each, i * CHUNK + 1, F.lit(CHUNK)))
-    length = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["g"] + F.length(x["m"]))
-    starts = F.aggregate(F.transform(chunks, length), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
-
-    inner = F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), _none().alias("out")), step, lambda a: a["out"]))
-    return F.when(F.size(found) == 0, _none()).otherwise(F.flatten(inner))
+def _found(text: str, pattern: str) -> Column:
+    """array<struct<g, m>>: how many characters lie before each of the leftmost non-overlapping matches, since the one before, and the match; at last what follows them, without one."""
+    gaps = F.transform(F.split(F.col(text), pattern, -1), F.length)
+    return F.zip_with(gaps, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
 
 
 def _normal_sf(z: Column) -> Column:
@@ -159,29 +147,43 @@ def random_strings(candidates: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id and arrays of spans (s, e, m): assign, access, hex and maybe, the candidates."""
+    """Per row of docs: row (its number), id and what each pattern finds."""
     d = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    d = d.select("id", *(_spans("text", p).alias(x) for x, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("maybe", CANDIDATE))))
-    value = lambda x: F.regexp_extract(x["m"], ASSIGN, 2)
-    d = d.withColumn("assign", F.filter("assign", lambda x: F.length(value(x)) >= 12))
-    # what lies in a base span is found already
-    d = d.withColumn("maybe", F.filter("maybe", lambda x: ~x["m"].rlike(f"^({HEX}|{ACCESS})$")))
-    held = lambda kind: lambda x: ~F.exists(kind, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]))
-    for kind in ("assign", "access", "hex"):
-        d = d.withColumn("maybe", F.when((F.size("maybe") > 0) & (F.size(kind) > 0), F.filter("maybe", held(kind))).otherwise(F.col("maybe")))
-    return staged(d)
+    d = d.select("id", *(_found("text", p).alias(k) for k, p in PATTERNS.items()))
+    return staged(d.withColumn("row", F.monotonically_increasing_id()))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(row, kind, s, e, m) of the matches of scanned rows that count: base spans, and candidates that lie in none of them.
+
+    Places are sums over a text's matches, taken row by row, so the work for a text is in proportion to its matches."""
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(k).alias("found")) for i, k in enumerate(PATTERNS)))
+    each = found.select("row", F.explode(kinds).alias("k")).select("row", "k.kind", F.posexplode("k.found").alias("pos", "x")).filter("x.m is not null").select("row", "kind", "pos", "x.g", "x.m")
+    so_far = W.partitionBy("row", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumn("e", F.sum(F.col("g") + F.length("m")).over(so_far).cast("int")).withColumn("s", F.col("e") - F.length("m"))
+    short = (F.col("kind") == 0) & (F.length(F.regexp_extract("m", ASSIGN, 2)) < 12)
+    # a pattern's own matches are found already
+    plain = (F.col("kind") == MAYBE) & F.col("m").rlike(f"^({HEX}|{ACCESS})$")
+    each = each.filter(~short & ~plain)
+    # a candidate lies in a base span if one that doesn't begin after it has an end as far
+    before = W.partitionBy("row").orderBy("s", "kind").rowsBetween(W.unboundedPreceding, 0)
+    far = F.max(F.when(F.col("kind") < MAYBE, F.col("e"))).over(before)
+    return each.withColumn("far", far).filter((F.col("kind") < MAYBE) | F.col("far").isNull() | (F.col("far") < F.col("e"))).select("row", "kind", "s", "e", "m")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, assign, access, hex and random spans (s, e, m)."""
     found = scanned(docs, id_col, text_col)
-    some = found.filter(F.size("maybe") > 0)
-    each = some.select("id", "maybe", F.explode("maybe").alias("x")).withColumns({"h1": F.xxhash64("x.m"), "h2": F.xxhash64(F.lit(17), "x.m")})
-    good = staged(random_strings(each.groupBy(*KEY, F.col("x.m").alias("m")).agg(F.count(F.lit(1)).alias("c"))))
-    hits = looked_up(each, good, KEY, parts(docs)).groupBy("id", "maybe").agg(F.collect_set("x").alias("random"))
-    same = F.equal_null("id", "hid") & (F.col("maybe") == F.col("hmaybe"))
-    out = some.join(hits.withColumnRenamed("id", "hid").withColumnRenamed("maybe", "hmaybe"), same, "left").select("id", "assign", "access", "hex", F.coalesce("random", _none()).alias("random"))
-    out = out.unionByName(found.filter(F.size("maybe") == 0).select("id", "assign", "access", "hex", _none().alias("random")))
+    empty = ~F.exists(F.array(*(F.size(k) > 1 for k in PATTERNS)), lambda x: x)
+    # rows are known by their number in the scanned table, so a text isn't repeated with each of its matches
+    each = staged(placed(found.filter(~empty)).withColumns({"h1": F.when(F.col("kind") == MAYBE, F.xxhash64("m")), "h2": F.when(F.col("kind") == MAYBE, F.xxhash64(F.lit(17), "m"))}))
+    maybe = each.filter(F.col("kind") == MAYBE)
+    good = staged(random_strings(maybe.groupBy(*KEY, "m").agg(F.count(F.lit(1)).alias("c"))))
+    kept = each.filter(F.col("kind") < MAYBE).drop(*KEY).unionByName(looked_up(maybe, good, KEY, parts(docs)).drop(*KEY))
+    names = ("assign", "access", "hex", "random")
+    spans = [F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.struct("s", "e", "m")))).alias(k) for i, k in enumerate(names)]
+    out = found.filter(~empty).select("row", "id").join(kept.groupBy("row").agg(*spans), "row", "left").select("id", *(F.coalesce(k, _none()).alias(k) for k in names))
+    out = out.unionByName(found.filter(empty).select("id", *(_none().alias(k) for k in names)))
     return out.withColumnRenamed("id", id_col)
 
 
