@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Bytes of text of each class that may reach the driver; rows beyond, in the order of their ids' hashes, are left out.
-SAMPLE_BYTES = 48 << 20
+#: Bytes of text of each class that may reach the driver, and the part of them that one text may take; texts that don't fit, in the order of their ids' hashes, are left out.
+SAMPLE_BYTES, PORTION = 48 << 20, 8
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -23,8 +22,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most:
     few = [chosen.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y in (0, 1)]
     ids = few[0].unionByName(few[1])
     rows = staged(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select(id_col, "text", "y").dropDuplicates([id_col]))
-    order = W.partitionBy("y").orderBy(F.xxhash64(id_col), id_col)
-    total = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    fit = rows.select(id_col, "y", total.alias("total")).filter(F.col("total") <= SAMPLE_BYTES).select(id_col)
+    sizes = rows.select(id_col, "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64(id_col).alias("h")).orderBy("h", id_col).collect()
+    fit = [i for y in (0, 1) for i in fitting([(r[0], r.n) for r in sizes if r.y == y])]
+    if not fit:
+        return [], np.zeros(0, np.float32)
+    fit = docs.sparkSession.createDataFrame([(i,) for i in fit], rows.select(id_col).schema)
     rows = rows.join(F.broadcast(fit), id_col).orderBy(id_col).collect()
     return [r.text or "" for r in rows], np.array([r.y for r in rows], np.float32)
+
+
+def fitting(sizes: list[tuple]) -> list:
+    """Ids of (id, bytes) that fit SAMPLE_BYTES together. A text that takes more than its share is passed over, those behind it aren't; if there is none else, the shortest may."""
+    out, left = [], SAMPLE_BYTES
+    for i, n in sizes:
+        if n <= min(left, SAMPLE_BYTES // PORTION):
+            out.append(i)
+            left -= n
+    if not out and sizes:
+        i, n = min(sizes, key=lambda x: x[1])
+        out = [i] if n <= SAMPLE_BYTES else []
+    return out

@@ -84,3 +84,19 @@ def test_sample_bounds(spark, monkeypatch):
     monkeypatch.setattr(labelled, "SAMPLE_BYTES", 200)
     texts, y = labelled.sample(docs, labels, "toxic", F.lit(True), 1000)
     assert 0 < sum(len(t) for t, v in zip(texts, y) if v) <= 200 and 0 < sum(len(t) for t, v in zip(texts, y) if not v) <= 200
+
+
+def test_a_long_text_takes_no_place_of_others(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 4000)
+    docs = spark.createDataFrame([(i, "x" * (4001 if i % 9 == 0 else 1000 if i % 9 == 1 else 20)) for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 45)) for i in range(90)], "doc_id long, toxic int")
+    texts, y = labelled.sample(docs, labels, "toxic", F.lit(True), 1000)
+    assert len(texts) == 70 and set(map(len, texts)) == {20}
+    assert labelled.fitting([(1, 3000), (2, 5000)]) == [1] and labelled.fitting([(2, 5000)]) == [] and labelled.fitting([]) == []
+
+
+def test_quality_of_very_long_texts(spark):
+    long = "the garden was quiet in the morning. " * 60_000
+    m = quality.Quadratic(np.array([quality.statistics(t) for t in ["a b c d. " * k for k in range(1, 30)] + ["!!!| x\n" * k for k in range(1, 30)]]), np.repeat([1, 0], 29))
+    got = quality.scored(spark.createDataFrame([(1, long), (2, long.replace(" ", ""))], "doc_id long, text string"), m).collect()
+    assert len(got) == 2 and all(0 <= r.score <= 1 for r in got)
