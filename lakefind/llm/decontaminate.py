@@ -9,9 +9,9 @@ consistent if a value of the item's always meets the same value of the document'
 slots covers COVER of the item's windows.
 
 A filter of fixed size, made from the benchmark's windows, spares the shuffle all windows that can't match.
-Defined results: null or empty texts leak nothing; an item shorter than WINDOW tokens is one window of its own length; an item without a
-window (under SHORTEST tokens, or too few literals) is matched whole, by all its words in lower case; equal items are found by each of their
-ids; the same document row twice gives two rows.
+Defined results: null or empty texts leak nothing; an item shorter than WINDOW tokens is one window of its own length; an item none of whose
+windows has LITERALS literals, or of fewer than SHORTEST tokens, is matched by windows with a single literal, and besides by all its words in
+lower case, every one of them (so also where it has no literal at all); equal items are found by each of their ids; the same document row twice gives two rows.
 """
 
 from __future__ import annotations
@@ -52,7 +52,9 @@ _ONES = "one two three four five six seven eight nine".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 #: Fixed list of numbers in words.
 NUMBERS = [*_ONES, *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(), *_TENS, *(f"{t}-{o}" for t in _TENS for o in _ONES)]
-FORMS = np.array([0, 0x9E3779B97F4A7C15], np.uint64)
+#: The third form: words as they are.
+BARE = 2
+FORMS = np.array([0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
 NAME, NUM, UNIT = np.uint64(0x6E616D65), np.uint64(0x6E756D), np.uint64(0x756E6974)
 
 
@@ -165,10 +167,10 @@ class Template:
         s[odd], e[odd], h[odd] = start[odd] + left, start[odd] + right, hashes[which]
         number[odd], unit[odd], capital[odd], ends[odd] = num | _among(h[odd], NUMBER_HASHES), sign | _among(h[odd], UNIT_HASHES), cap, stop
 
-    def windows(self, width: int):
-        """(number of the form, form, token, hash) of the windows of each form; forms have keys of their own."""
-        for f, form in enumerate(self.forms):
-            start, key = form.windows(width)
+    def windows(self, width: int, literals: int):
+        """(number of the form, form, token, hash) of the windows of each form with so many literals; without any, of the bare words. Forms have keys of their own."""
+        for f, form in enumerate(self.forms) if literals else ((BARE, self.bare),):
+            start, key = form.windows(width, literals)
             yield f, form, start, key ^ FORMS[f]
 
     def slots(self, form: Form, token: int, width: int) -> list[str | None]:
@@ -186,35 +188,42 @@ def templates(col: pa.Array):
 
 
 def item_windows(items: pa.Array, texts: pa.Array):
-    """Rows (item, n windows, form, start, width, hash, slot words) of benchmark items; a width below 0: the whole item's bare words, where it has no window."""
+    """Rows (item, n windows, form, start, width, literals asked for, hash, slot words) of benchmark items; form BARE: windows of bare words."""
     items = items.to_pylist()
     for a, t in templates(texts):
         rows: list[list] = [[] for _ in range(len(t.first) - 1)]
-        for w in range(SHORTEST, WINDOW + 1):
-            for f, form, start, key in t.windows(w):
-                doc = form.doc[start]
-                on = np.minimum(form.size[doc], WINDOW) == w
-                for j, k, d in zip(start[on].tolist(), key[on].view(np.int64).tolist(), doc[on].tolist(), strict=True):
-                    rows[d].append((f, int(form.word[j] - t.first[d]), w, k, t.slots(form, j, w)))
+        for least in (LITERALS, 1):
+            # with a single literal only what has no window with more
+            open_ = np.array([not r for r in rows])
+            for w in range(SHORTEST if least == LITERALS else 1, WINDOW + 1):
+                for f, form, start, key in t.windows(w, least):
+                    doc = form.doc[start]
+                    # marks alone are no literal to go by
+                    told = np.concatenate(([0], np.cumsum(~form.slot & (t.s < t.e)[form.word])))
+                    on = (np.minimum(form.size[doc], WINDOW) == w) & open_[doc] & (told[start + w] > told[start])
+                    for j, k, d in zip(start[on].tolist(), key[on].view(np.int64).tolist(), doc[on].tolist(), strict=True):
+                        rows[d].append((f, int(form.word[j] - t.first[d]), w, least, k, t.slots(form, j, w)))
         for d, found in enumerate(rows):
             n = len({r[1] for r in found})
             for r in found:
                 yield items[a + d], n, *r
             lo, hi = int(t.first[d]), int(t.first[d + 1])
-            if not found and (t.s[lo:hi] < t.e[lo:hi]).any():
-                key = H.windows(t.bare.hash, np.array([lo]), hi - lo)
-                yield items[a + d], 1, 0, 0, lo - hi, int(key.view(np.int64)[0]), []
+            if all(r[3] < LITERALS for r in found) and (t.s[lo:hi] < t.e[lo:hi]).any():
+                w = min(hi - lo, WINDOW)
+                keys = (H.windows(t.bare.hash, np.arange(lo, hi - w + 1), w) ^ FORMS[BARE]).view(np.int64).tolist()
+                for j, k in enumerate(keys):
+                    yield items[a + d], len(keys), BARE, j, w, 0, k, []
 
 
-ITEM = "item_id long, n_windows int, form int, item_at int, width int, key long, item_slots array<string>"
+ITEM = "item_id long, n_windows int, form int, item_at int, width int, literals int, key long, item_slots array<string>"
 
 
 def _items(batches):
     for b in batches:
         rows = list(item_windows(b.column("item_id"), b.column("text")))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "n_windows", "form", "item_at", "width", "key", "item_slots"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "n_windows", "form", "item_at", "width", "literals", "key", "item_slots"])
 
 
 def _bits(batches):
@@ -227,19 +236,19 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(f).tobytes()], pa.binary())], names=["bits"])
 
 
-def _matches(sent, widths: list[int]):
+def _matches(sent, widths: list[tuple[int, int]]):
     def run(batches):
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for b in (x for batch in batches for x in slices(batch, 1 << 22)):
             ident = b.column("id")
             out: list[list] = [[], [], [], [], []]
             for a, t in templates(b.column("text")):
-                for w in widths:
-                    for _, form, start, key in t.windows(w) if w > 0 else ((0, t.bare, *t.bare.windows(-w, 0)),):
+                for w, literals in widths:
+                    for _, form, start, key in t.windows(w, literals):
                         on = np.flatnonzero(bits[(key >> np.uint64(64 - FILTER)).astype(np.int64)])
                         for j, k in zip(start[on].tolist(), key[on].view(np.int64).tolist(), strict=True):
                             d = int(form.doc[j])
-                            for column, v in zip(out, (a + d, int(form.word[j] - t.first[d]), w, k, t.slots(form, j, w) if w > 0 else []), strict=True):
+                            for column, v in zip(out, (a + d, int(form.word[j] - t.first[d]), w, k, t.slots(form, j, w)), strict=True):
                                 column.append(v)
             yield pa.RecordBatch.from_arrays([ident.take(pa.array(out[0], pa.int32())), b.column("th").take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.string()))], names=["id", "th", "at", "width", "key", "slots"])
 
@@ -250,7 +259,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id, th, item_id, cover) of the documents (th: hash of the text) that hold a benchmark item."""
     items = staged(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_items, ITEM))
     spark = docs.sparkSession
-    widths = [r.width for r in items.select("width").distinct().orderBy("width").collect()]  # WINDOW - SHORTEST + 1 numbers at most
+    # of each width the least literals that an item asks for, and whether there are bare words: 2 * WINDOW pairs at most
+    kinds = items.groupBy("width", (F.col("form") == BARE).alias("bare")).agg(F.min("literals").alias("literals")).orderBy("width", "bare").collect()
+    widths = [(r.width, r.literals) for r in kinds]
     filters = [np.frombuffer(r.bits, np.uint8) for r in items.coalesce(8).mapInArrow(_bits, "bits binary").collect()]
     sent = spark.sparkContext.broadcast(np.bitwise_or.reduce(filters).tobytes() if filters else np.zeros((1 << FILTER) // 8, np.uint8).tobytes())
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
@@ -271,7 +282,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def _covered(x: DataFrame, passage: list[str]) -> DataFrame:
     """(id, th, item_id, cover) of the passages with consistent slots that cover enough of their item."""
-    cover = x.groupBy(*passage, "n_windows").agg(F.count_distinct("item_at").alias("c")).filter(F.col("c") >= F.ceil(F.col("n_windows") * COVER))
+    cover = x.groupBy(*passage, "n_windows").agg(F.count_distinct("item_at").alias("c")).filter(F.col("c") >= F.ceil(F.col("n_windows") * F.when(F.col("form") == BARE, 1.0).otherwise(COVER)))
     # a value of the item's that meets two values of the document's breaks the passage
     broken = x.select(*passage, F.explode("pairs").alias("p")).groupBy(*passage, F.col("p.item_slots").alias("was")).agg(F.min("p.slots").alias("a"), F.max("p.slots").alias("b")).filter("a <> b").select(*passage).distinct()
     return cover.join(broken, passage, "left_anti").select("id", "th", "item_id", (F.col("c") / F.col("n_windows")).alias("cover"))
