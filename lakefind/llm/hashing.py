@@ -1,7 +1,8 @@
 """Whole Arrow batches of text to word and window hashes in numpy, without a Python object for each word.
 
 A hash is a polynomial over bytes (or over word hashes) modulo 2**64, taken from prefix sums, then
-finished by an avalanche step. Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.
+finished by an avalanche step. A polynomial modulo 2**64 gives equal values to some long regular strings whatever its base (from
+1,024 letters on), so a word of LONG bytes or more gets xxh3 of its bytes instead. Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -19,6 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text hashed at a time; a longer document is a group of its own.
 GROUP = 1 << 20
+#: Bytes from which on a word isn't hashed by the polynomial.
+LONG = 64
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -54,6 +58,7 @@ class Poly:
 
 
 BYTES = Poly(0xD6E8FEB86659FD93)
+BYTES2 = Poly(0x8EBC6AF09C88C6E3)
 WORDS = Poly(0xA0761D6478BD642F)
 WORDS2 = Poly(0xE7037ED1A0B428DB)
 
@@ -92,10 +97,14 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(start, offsets)
 
 
-def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from start to end."""
-    s = BYTES.prefix(data.astype(U) + U(1))
-    return mix(BYTES.between(s, start, end) + (end - start).astype(U))
+def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, poly: Poly = BYTES) -> np.ndarray:
+    """Hash of the bytes from start to end; BYTES2 gives a second one that doesn't depend on the first."""
+    s = poly.prefix(data.astype(U) + U(1))
+    size = end - start
+    h = mix(poly.between(s, start, end) + size.astype(U))
+    for k in np.flatnonzero(size >= LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), poly.base & 0xFFFF)
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -3,7 +3,8 @@
 Short windows are hashed only where the word position modulo a period lies in a difference cover. For any two positions
 there is a shift below the period that brings both into the cover, so two equal windows of `width` words share an anchor
 of width - period + 1 words at aligned cover positions. Repeated anchors name candidate windows; those are hashed
-whole and the ones whose 64-bit key (mixed from two hashes) also starts anywhere else are what counts; equal keys stand for equal words.
+whole and the ones whose 128-bit key also starts anywhere else are what counts. The key's halves come from two independent hashes of
+each word; equal keys stand for equal words.
 
 Defined results: null text is empty; a document of fewer than `width` words loses nothing; equal documents are
 copies of each other (both lose everything from `width` words on); the same row twice is two documents, as are rows of null ids.
@@ -32,13 +33,13 @@ def cover_for(width: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
-def _grouped(batch: pa.RecordBatch):
-    """Hashed words of each group of documents: (first row, hashes, first word of each document)."""
+def _grouped(batch: pa.RecordBatch, second: bool = False):
+    """Hashed words of each group of documents: (first row, row after the last, hashes, second hashes, first word of each document)."""
     data, offsets = H.utf8(batch.column("text"))
     for a, b in H.groups(offsets):
         lo, hi = offsets[a], offsets[b]
-        h, _, _, first = H.words(data[lo:hi], offsets[a : b + 1] - lo)
-        yield a, b, h, first
+        h, start, end, first = H.words(data[lo:hi], offsets[a : b + 1] - lo)
+        yield a, b, h, H.spelled(data[lo:hi], start, end, H.BYTES2) if second else None, first
 
 
 def _anchors(width: int):
@@ -47,7 +48,7 @@ def _anchors(width: int):
 
     def rows(batch):
         ident = batch.column("t1").to_numpy()
-        for a, b, h, first in _grouped(batch):
+        for a, b, h, _, first in _grouped(batch):
             n = np.diff(first)
             doc = np.repeat(np.arange(b - a), n)
             pos = np.arange(len(h)) - first[doc]
@@ -59,13 +60,13 @@ def _anchors(width: int):
 
 
 def _candidates(width: int):
-    """Windows around repeated anchors: key is the first half of their hash, pos their start, id of document and second half follow."""
+    """Windows around repeated anchors: the first half of their hash, id of document, start, the second half."""
     period, _ = cover_for(width)
 
     def rows(batch):
         t1, hits = batch.column("t1").to_numpy(), batch.column("hits")
-        for a, b, h, first in _grouped(batch):
-            s1, s2 = H.WORDS.prefix(h), H.WORDS2.prefix(h)
+        for a, b, h, h2, first in _grouped(batch, second=True):
+            s1, s2 = H.WORDS.prefix(h), H.WORDS2.prefix(h2)
             for d in range(a, b):
                 n = int(first[d - a + 1] - first[d - a])
                 p = hits[d].values.to_numpy()
@@ -76,9 +77,8 @@ def _candidates(width: int):
                 at = np.flatnonzero(np.cumsum(mark)[: max(n - width + 1, 0)] > 0)
                 if len(at):
                     g = at + first[d - a]
-                    one, two = H.windows(h, g, width, H.WORDS, s1), H.windows(h, g, width, H.WORDS2, s2)
-                    # the shuffle key mixes both halves; equality of the 64-bit mix of 128 bits stands for equality of the words
-                    yield H.mix(one ^ H.mix(two, 7), 3).view(np.int64), np.full(len(at), t1[d]), at
+                    one, two = H.windows(h, g, width, H.WORDS, s1), H.windows(h2, g, width, H.WORDS2, s2)
+                    yield one.view(np.int64), np.full(len(at), t1[d]), at, two.view(np.int64)
 
     return rows
 

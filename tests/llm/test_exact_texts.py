@@ -102,3 +102,21 @@ def test_one_of_each(spark):
     want = sorted((min((i for i in g if i is not None), default=None) for g in groups.values()), key=str)
     assert sorted((i for i, t, _ in got.elements() if t), key=str) == want and {80, 81} <= set(ids)
     assert ngram_join.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def thue_morse(n):
+    one, two = "a", "b"
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+@pytest.mark.parametrize("n", [6, 10, 11, 12])
+def test_regular_words_of_unequal_letters_differ(spark, n):
+    """Words that any polynomial modulo 2**64 confuses."""
+    x, y = thue_morse(n)
+    fill = [f"w{k}" for k in range(34)]
+    d = spark.createDataFrame([(1, " ".join([x, *fill])), (2, " ".join([y, *fill])), (3, " ".join(fill))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(d).collect()} == {1: 0, 2: 0, 3: 0}
+    pair = spark.createDataFrame([(1, f"{x} p q r"), (2, f"{y} p q r")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar(pair).collect()} == {1: 1, 2: 2}
