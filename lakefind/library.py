@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .operators import archive, catalog, chunking, conversion, integrity, links, near_duplicates, search, selection
 from .operators.store import LexicalStore
-from .sources import extract
+from .sources import extract, pdf
 from .sources.tables import listing
 
 FILES = "library_id string, path string, size long, mtime_ns long, content_hash string, status string, failure_state string, extractor_id string, chunk_ids array<string>, targets array<string>, signature string"
@@ -38,7 +38,7 @@ class Library:
     def __init__(self, spark: SparkSession, root: str, library_id: str, embed: Embed, providers: list[extract.Provider] | None = None):
         """embed: text to a vector column; a pandas UDF in practice."""
         self.spark, self.root, self.id, self.embed = spark, f"{root.rstrip('/')}/{library_id}", library_id, embed
-        self.providers = providers if providers is not None else [extract.PLAIN, extract.DOCX]
+        self.providers = providers if providers is not None else [extract.PLAIN, extract.DOCX, pdf.PDF]
 
     # storage
 
