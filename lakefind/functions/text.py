@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,16 +36,21 @@ CUT_MARK = "…"
 THEMES = [("pages", ["页级", "视觉导航"]), ("recognition", ["ocr", "扫描"]), ("chunk", ["切块", "清洗", "chunk", "嵌入", "向量", "检索", "重排", "embedding"]), ("daily", ["journal", "日记", "周会", "会议记录", "meeting"]), ("config", ["设置", "配置", "config", "门禁", "隐私"])]
 
 
-def tokens(text: Column, lexicon: tuple[str, ...] = ()) -> Column:
-    """Lower-case Latin tokens, then for every CJK run the lexicon's words (the longest first; single stop characters go) and all two-character grams."""
+def tokens(text: Column, lexicon: tuple[str, ...] = (), words: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-case Latin tokens, then for every CJK run its words (single stop characters go) and all two-character grams.
+
+    Words come from a function of the runs (see operators.segmentation), or from a given lexicon, the longest first."""
     low = F.lower(text)
     latin = F.regexp_extract_all(low, F.lit(LATIN), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
     grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) >= 2, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
-    if not lexicon:
+    if words is not None:
+        cut = words(runs)
+    elif lexicon:
+        any_of = "|".join([*sorted(map(re.escape, lexicon), key=lambda w: (-len(w), w)), "."])
+        cut = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(f"(?:{any_of})"), F.lit(0))))
+    else:
         return F.concat(latin, grams)
-    words = "|".join([*sorted(map(re.escape, lexicon), key=lambda w: (-len(w), w)), "."])
-    cut = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(f"(?:{words})"), F.lit(0))))
     return F.concat(latin, F.filter(cut, lambda w: ~F.contains(F.lit(STOP), w) | (F.length(w) > 1)), grams)
 
 

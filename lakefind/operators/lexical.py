@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,38 +12,42 @@ from ..conf import CONF
 from ..functions.text import tokens
 
 
-def postings(docs: DataFrame, library: str = "library_id", ident: str = "doc_id", text: str = "text") -> DataFrame:
+#: A function from a text to its tokens.
+Tokenise = Callable[[Column], Column]
+
+
+def postings(docs: DataFrame, library: str = "library_id", ident: str = "doc_id", text: str = "text", cut: Tokenise = tokens) -> DataFrame:
     """(library_id, id, term, tf, dl): one row for each term of each document."""
-    t = docs.select(F.col(library).alias("library_id"), F.col(ident).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("ts"))
+    t = docs.select(F.col(library).alias("library_id"), F.col(ident).alias("id"), cut(F.coalesce(text, F.lit(""))).alias("ts"))
     return t.select("library_id", "id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("library_id", "id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def library_stats(docs: DataFrame) -> DataFrame:
+def library_stats(docs: DataFrame, cut: Tokenise = tokens) -> DataFrame:
     """(library_id, n_docs, avgdl); documents without tokens count."""
-    t = docs.select("library_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl"))
+    t = docs.select("library_id", F.size(cut(F.coalesce("text", F.lit("")))).alias("dl"))
     return t.groupBy("library_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def query_terms(queries: DataFrame, ident: str = "item_id", text: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, ident: str = "item_id", text: str = "text", cut: Tokenise = tokens) -> DataFrame:
     """(query_id, term, qtf): a term that is repeated in the query scores as often."""
-    return queries.select(F.col(ident).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return queries.select(F.col(ident).alias("query_id"), F.explode(cut(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 #: Distinct terms of a batch of queries that are sent to every task; more are joined by a shuffle.
 TERMS = 200_000
 
 
-def bm25(queries: DataFrame, docs: DataFrame, top_k: int) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, top_k: int, cut: Tokenise = tokens) -> DataFrame:
     """(query_id, library_id, id, score, rank): the top_k of each query in each library, ties by id."""
-    q = query_terms(queries)
+    q = query_terms(queries, cut=cut)
     terms = q.select("term").distinct()
     small = terms.limit(TERMS + 1).count() <= TERMS
     sent = F.broadcast if small else lambda d: d
     # only the queries' terms get as far as the first shuffle
-    t = docs.select("library_id", F.col("doc_id").alias("id"), tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+    t = docs.select("library_id", F.col("doc_id").alias("id"), cut(F.coalesce("text", F.lit(""))).alias("ts"))
     each = t.select("library_id", "id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(sent(terms), "term", "left_semi")
     p = each.groupBy("library_id", "id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return ranked(q, p, library_stats(docs), top_k, sent)
+    return ranked(q, p, library_stats(docs, cut), top_k, sent)
 
 
 def ranked(q: DataFrame, p: DataFrame, s: DataFrame, top_k: int, sent=lambda d: d) -> DataFrame:

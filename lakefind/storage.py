@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -18,3 +20,25 @@ def shared_root(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+_ROOTS: set[str] = set()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to a table in the shared folder and read back: lineage ends there. The folder goes when the application ends."""
+    spark = df.sparkSession
+    root = f"{shared_root(spark)}/lakefind-tables-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
