@@ -51,14 +51,10 @@ def active(chunks: DataFrame, manifest: DataFrame, formats: DataFrame | None = N
 
 
 def _per_library(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query in each library: a library is a folder that asks for itself."""
-    libraries = vectors.select("library_id").distinct()
-    numbered = libraries.withColumn("n", F.row_number().over(W.orderBy("library_id")) - 1)  # a row for each library
-    n = numbered.count()
-    asked = queries.crossJoin(F.broadcast(numbered)).select((F.col("query_id") * n + F.col("n")).alias("query_id"), "q", F.col("library_id").alias("folder"))
+    """The k nearest vectors of each query in each library."""
     ids = vectors.select("library_id", "id", "v").withColumn("__id", F.xxhash64("library_id", "id"))
-    near = vector.knn(asked, ids.select(F.col("__id").alias("id"), "v", F.col("library_id").alias("folder")), k, "l2", same_folder=True)
-    return near.select((F.floor(F.col("query_id") / n)).alias("query_id"), F.col("id").alias("__id"), "score").join(ids.select("__id", "library_id", "id"), "__id").drop("__id")
+    near = vector.knn_in_each(queries, ids.select(F.col("__id").alias("id"), "v", F.col("library_id").alias("folder")), k)
+    return near.select("query_id", F.col("id").alias("__id"), "score").join(ids.select("__id", "library_id", "id"), "__id").drop("__id")
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, on: DataFrame, o: Options) -> DataFrame:

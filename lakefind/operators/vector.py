@@ -78,6 +78,50 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", same
     return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def _nearest_in_each(sent, k: int):
+    """A task's k best for each query and folder: a folder's rows meet all queries in one product."""
+
+    def run(batches):
+        qid, q = sent.value
+        norm_q, best = np.einsum("ij,ij->i", q, q), {}
+        for b in batches:
+            b = b.filter(pa.compute.and_(b.column("id").is_valid(), b.column("v").is_valid()))
+            if not b.num_rows or not len(qid):
+                continue
+            ids, v = b.column("id").to_numpy(), np.array(b.column("v").to_pylist(), np.float64)
+            folders = np.array(b.column("folder").to_pylist(), object)
+            for f in dict.fromkeys(folders.tolist()):
+                of = np.flatnonzero(folders == f)
+                top = best.setdefault(f, (np.full((len(qid), k), -np.inf), np.zeros((len(qid), k), np.int64)))
+                for a in range(0, len(of), step := max(1, TILE // len(qid))):
+                    at = of[a : a + step]
+                    s = np.round(1 / (1 + np.maximum(norm_q[:, None] + np.einsum("ij,ij->i", v[at], v[at])[None] - 2 * (q @ v[at].T), 0.0)), 6)
+                    both = np.concatenate((top[0], s), axis=1)
+                    of_all = np.concatenate((top[1], np.broadcast_to(ids[at], s.shape)), axis=1)
+                    order = np.lexsort((of_all, -both), axis=1)[:, :k]
+                    top = best[f] = (np.take_along_axis(both, order, 1), np.take_along_axis(of_all, order, 1))
+        for f, (score, ids) in best.items():
+            i, j = np.nonzero(np.isfinite(score))
+            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array([f] * len(i), pa.string()), pa.array(ids[i, j]), pa.array(score[i, j])], names=["query_id", "folder", "id", "score"])
+
+    return run
+
+
+def knn_in_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, folder, id, score, rank): the k nearest of each query in each folder of vectors (id, v, folder), exact, by l2. A folder is one of few; queries go in rounds."""
+    from .lexical import top
+
+    q = queries.select("query_id", "q").filter("query_id is not null and q is not null")
+    rounds, found = max(1, -(-q.count() // ROUND)), None
+    for r in range(rounds):
+        rows = (q.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) if rounds > 1 else q).collect()
+        m = np.array([x.q for x in rows], np.float64).reshape(len(rows), len(rows[0].q) if rows else 0)
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([x.query_id for x in rows], np.int64), m))
+        part = vectors.select("id", "v", "folder").mapInArrow(_nearest_in_each(sent, k), "query_id long, folder string, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    return top(found, ["query_id", "folder"], [F.desc("score"), F.asc("id")], k)
+
+
 def file_means(vectors: DataFrame, file: str) -> DataFrame:
     """(file, vec): L2-normalised mean of a file's vectors."""
     each = vectors.select(file, F.posexplode("v").alias("pos", "x")).groupBy(file, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import lexical, segmentation
+from ..operators import lexical, segmentation, vector_index
 from ..sources.tables import read
-from ..storage import staged
+from ..storage import shared_root, staged
 from .registry import query
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -57,3 +59,41 @@ def cjk_bm25(spark, d):
     docs = spaceless(spark, d).withColumn("library_id", F.lit("all"))
     cut = segmentation.cutter(segmentation.learnt(docs, staged))
     return lexical.bm25(spaceless(spark, d, "benchmark"), docs, 10, cut=lambda t: X.tokens(t, words=cut)).select("query_id", "id", "score", "rank")
+
+
+def _index(spark, d, metric):
+    index = vector_index.VectorIndex(spark, f"{shared_root(spark)}/index-{uuid.uuid4().hex}")
+    index.build(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), metric)
+    return index
+
+
+EXACT = "v as (select vec_id as id, embedding::double[] as v from embeddings)"
+ALL_PAIRS = f"""with {EXACT}, s as (select a.id as query_id, b.id, round(list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 1e-12), 6) as score from v a, v b where a.id <> b.id),
+k as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s qualify rank <= 4)
+select distinct least(query_id, id) as source, greatest(query_id, id) as target, score as similarity from k where score >= 0.3"""
+
+
+@query(ALL_PAIRS)
+def indexed_semantic_edges(spark, d):
+    """Every row asks the index; with all cells probed the edges are those of all pairs."""
+    index = _index(spark, d, "cosine")
+    return vector_index.semantic_edges(index, 0.3, 4, probes=index.about()["cells"])
+
+
+@query(f"""with {EXACT}, s as (select a.id as query_id, b.id, round(1 / (1 + greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 0)), 6) as score from v a, v b where a.id % 50 = 0)
+select query_id, id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 10""")
+def indexed_nearest(spark, d):
+    """Rows of ids divisible by 50 against all rows of the index, all cells probed."""
+    index = _index(spark, d, "l2")
+    q = read(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return index.search(q, 10, probes=index.about()["cells"])
+
+
+@query()
+def indexed_recall(spark, d):
+    """Share of the ten nearest rows that the measured number of probes finds, for all rows; the share of rows that a query reads."""
+    index = _index(spark, d, "cosine")
+    about = index.about()
+    whole, some = (index.neighbours(10, p).select("query_id", "id") for p in (about["cells"], None))
+    found = whole.join(some.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return found.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"), F.lit(about["probes"]).alias("probes"), F.lit(about["cells"]).alias("cells"))
