@@ -1,13 +1,16 @@
 """Libraries of files on shared storage: rounds of indexing, search, duplicates, links, reports, archives.
 
-A library's index is a folder of generations: files (the manifest), chunks, sections, vectors, lexical, texts. A round writes a new
-generation beside the published one and then swaps the pointer, so readers always meet a whole one; unchanged files
-keep their rows. Failures are rows of the manifest and never end a round.
+A round lists the folder without opening a file, opens the files whose size or time differ, and writes a segment: the rows of what it made, and which
+files' older rows don't count any more. Publishing is an entry in a log of generations, made by compare and swap: of two rounds from one state one
+wins and the other begins again. A round without anything to do publishes nothing. Texts are stashed by content as they are extracted, so a round that
+died doesn't cost them again. Failures are rows of the manifest and never end a round.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 
@@ -15,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import archive, catalog, chunking, conversion, integrity, links, near_duplicates, search, selection
-from .operators.store import LexicalStore
-from .sources import extract, pdf
-from .sources.tables import listing
+from .functions.text import tokens
+from .generations import Conflict, Log
+from .segments import KEY, Segments
+from .sources import extract, folder as folders, pdf
 
 FILES = "library_id string, path string, size long, mtime_ns long, content_hash string, status string, failure_state string, extractor_id string, chunk_ids array<string>, targets array<string>, signature string"
 TABLES = {
@@ -25,15 +29,26 @@ TABLES = {
     "texts": "library_id string, path string, text string",
     "chunks": "library_id string, path string, chunk_index int, total_chunks int, section_id string, heading string, id string, text string, embedded string, anchor string",
     "sections": "library_id string, path string, section_id string, heading string, chunk_count long, text string",
-    "vectors": "library_id string, id string, v array<double>",
+    "vectors": "library_id string, path string, id string, v array<double>",
+    "postings": "library_id string, path string, term string, id string, tf long, dl int, bucket int",
+    "lengths": "library_id string, path string, id string, dl int",
 }
+#: Folders that postings lie in by a hash of their terms; files of a wave of extraction; seconds that data no newest entry names is kept for readers.
+BUCKETS, WAVE, RETAIN = 64, 5000, 24 * 3600
+STASH = f"{extract.TEXT_ROW}, route string, written timestamp"
 #: Versions of what makes chunks and texts: another one makes a library anew.
 SIGNATURES = {"chunker": "1", "cleaning": "1"}
-KEY = ["library_id", "path"]
+
+RULES = "library_id string, selection_in array<string>, selection_out array<string>, exclude_dirs array<string>, exclude_files array<string>, exclude_patterns array<string>, enabled_extensions array<string>, new_file_default string"
 
 Embed = Callable[[Column], Column]
 
 
+def bucket(term: str = "term") -> Column:
+    """The folder of a term's postings."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 class Library:
     def __init__(self, spark: SparkSession, root: str, library_id: str, embed: Embed, providers: list[extract.Provider] | None = None):
         """embed: text to a vector column; a pandas UDF in practice."""
@@ -42,90 +57,191 @@ class Library:
 
     # storage
 
-    def _fs(self, *names: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *names)))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    @property
+    def log(self) -> Log:
+        return Log(self.spark, f"{self.root}/log")
+
+    @property
+    def segments(self) -> Segments:
+        return Segments(self.spark, f"{self.root}/segments", TABLES)
 
     def state(self) -> dict:
-        """The published generation and its signatures; empty before the first round."""
-        fs, path = self._fs("pointer")
-        if not fs.exists(path):
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/pointer").limit(100).collect()))
+        """The newest published entry; empty before the first round."""
+        return self.log.newest()
 
     def table(self, name: str, generation: int | None = None) -> DataFrame:
-        n = self.state().get("generation") if generation is None else generation
-        return self.spark.createDataFrame([], TABLES[name]) if n is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{n}/{name}")
-
-    def _publish(self, generation: int) -> None:
-        self.spark.createDataFrame([(json.dumps({"generation": generation, "signatures": self.signatures()}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/next")
-        fs, old = self._fs("pointer")
-        _, new = self._fs("next")
-        fs.delete(old, True)
-        fs.rename(new, old)
-        # the generation before stays for readers that have begun
-        for s in fs.listStatus(self._fs()[1]):
-            name = s.getPath().getName()
-            if name.isdigit() and int(name) < generation - 1:
-                fs.delete(s.getPath(), True)
+        e = self.state() if generation is None else self.log.entry(generation) or {}
+        return self.segments.read(name, e.get("segments", []), records=name == "files")
 
     def signatures(self) -> dict[str, str]:
         return SIGNATURES | {f"extractor:{e}": ",".join(f"{p.name}:{p.version}" for p in self.providers if p.active and e in p.formats) for e in sorted({e for p in self.providers for e in p.formats})}
 
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     # rounds
 
-    def index(self, folder: str, rules: DataFrame, full: bool = False, allowed: list[str] | None = None) -> dict:
+    def index(self, folder: str, rules: DataFrame, full: bool = False, allowed: list[str] | None = None, tries: int = 3) -> dict:
         """One round over the files of a folder; what was done with how many. A folder that is gone is skipped, its index stays."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, path = self._fs(folder)
         if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
             return {"skipped": "missing"}
-        state = self.state()
-        number, drift = state.get("generation", 0) + 1, state.get("signatures", self.signatures()) != self.signatures()
-        base = fs.getFileStatus(path).getPath().toString().rstrip("/") + "/"
-        seen = listing(self.spark, folder).withColumn("library_id", F.lit(self.id)).withColumn("path", F.substr("path", F.lit(len(base) + 1)))
-        chosen = catalog.decide(seen.select(*KEY), rules)
-        seen = seen.join(chosen, KEY).withColumn("signature", F.lit(json.dumps(self.signatures())))
+        base = fs.getFileStatus(path).getPath().toString().rstrip("/")
+        while True:
+            try:
+                return self._round(base, rules, full, allowed)
+            except Conflict:
+                tries -= 1
+                if tries <= 0:
+                    raise
+
+    def _round(self, base: str, rules: DataFrame, full: bool, allowed: list[str] | None) -> dict:
+        parent = self.state()
+        old_segments = parent.get("segments", [])
+        signature = json.dumps(self.signatures())
+        drift = parent.get("signatures", self.signatures()) != self.signatures()
+        name = self.segments.new()
+        work = f"{self.root}/work/{name}"
+        try:
+            seen, actions = self._planned(base, rules, work, parent, full, drift, allowed)
+            todo = self._kept(catalog.needs(actions, force_chunks=full or drift, force_extract=full), f"{work}/actions")
+            done = catalog.report(todo).first()
+            report = (done.asDict() if done else {"library_id": self.id}) | {"generation": parent.get("generation", 0)}
+            # rows of files that are made or go; and records of files whose content is as it was, but not their size or time
+            out = todo.filter("action in ('removed', 'excluded')").select(*KEY).join(self.table("files").select(*KEY), KEY, "left_semi")
+            gone = todo.filter("needs_chunks").select(*KEY).unionByName(out)
+            touched = seen.filter("touched").join(todo.filter("action = 'unchanged' and not needs_chunks").select(*KEY), KEY, "left_semi")
+            if parent and gone.isEmpty() and touched.isEmpty() and not drift:
+                return report | self._statuses()
+            segment = self._made(name, seen, todo, touched, gone, signature, base, old_segments)
+            lasting = [] if full and allowed is None else old_segments
+            stats = self._lexical_stats(parent if lasting else {}, segment, gone)
+            listed = self.segments.merged([*lasting, segment], {"postings": "bucket"}, {"files"})
+            entry = self.log.append(parent, {"segments": listed, "signatures": self.signatures(), "lexical": stats, "folder": base, "rules": [json.loads(x) for x in rules.filter(F.col("library_id") == self.id).toJSON().collect()]})
+        finally:
+            f, p = self._fs(work)
+            f.delete(p, True)
+        self._settle(entry)
+        return report | {"generation": entry["generation"]} | self._statuses()
+
+    def _kept(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _planned(self, base: str, rules: DataFrame, work: str, parent: dict, full: bool, drift: bool, allowed: list[str] | None) -> tuple[DataFrame, DataFrame]:
+        """(listing with hashes, actions). Only files that are chosen and whose size or time differ from their record's are opened; others keep their hash."""
+        seen = folders.listing(self.spark, base).select("path", "size", "mtime_ns").withColumn("library_id", F.lit(self.id))
+        seen = seen.join(catalog.decide(seen.select(*KEY), rules), KEY)
         old = self.table("files")
-        actions = catalog.plan(seen, old, rebuild=F.lit(full or drift), allowed=allowed, rebuild_failed=full)
-        todo = catalog.needs(actions, force_chunks=full or drift, force_extract=full)
-        work = f"{self.root}/{number}"
-        todo.write.mode("overwrite").parquet(f"{work}/actions")
-        todo = self.spark.read.parquet(f"{work}/actions")
-        keep = todo.filter("action in ('unchanged', 'frozen') and not needs_chunks").select(*KEY)
-        fresh = seen.join(todo.filter("needs_source").select(*KEY), KEY, "left_semi")
-        texts = extract.extracted(fresh, self.providers)
+        was = old.select(*KEY, F.col("size").alias("o_size"), F.col("mtime_ns").alias("o_mtime"), F.col("content_hash").alias("o_hash"))
+        same = F.coalesce((F.col("size") == F.col("o_size")) & (F.col("mtime_ns") == F.col("o_mtime")) & F.col("o_hash").isNotNull(), F.lit(False))
+        seen = self._kept(seen.join(was, KEY, "left").withColumn("touched", ~same & F.col("o_size").isNotNull()).withColumn("open", ~same & F.col("included")), f"{work}/seen")
+        found = self._kept(folders.hashes(seen.filter("open"), base), f"{work}/hashes")
+        seen = seen.join(found, "path", "left").withColumn("content_hash", F.when(F.col("open"), F.col("content_hash")).otherwise(F.col("o_hash"))).withColumn("signature", F.lit(json.dumps(self.signatures())))
+        seen = self._kept(seen.select(*KEY, "size", "mtime_ns", "content_hash", "included", "reason", "touched", "signature"), f"{work}/listing")
+        return seen, catalog.plan(seen, old, rebuild=F.lit(full or drift), allowed=allowed, rebuild_failed=full)
+
+    def _texts(self, fresh: DataFrame, base: str, name: str) -> DataFrame:
+        """Texts of files, from the stash where it has them; what is extracted goes there wave by wave."""
+        cache = self._stash()
+        known = cache.filter("text is not null").select("content_hash", "route", "text").dropDuplicates(["content_hash", "route"])
+        waves, out = max(1, -(-fresh.count() // WAVE)), None
+        ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+        routes = F.create_map(*(x for p in self.providers for x in (F.lit(p.name), F.lit(f"{p.name}:{p.version}")))) if self.providers else F.create_map().cast("map<string,string>")
+        lookup = self.spark.createDataFrame([(e, f"{p.name}:{p.version}", p.name, n) for n, p in enumerate(self.providers) if p.active for e in p.formats], "ext string, route string, provider string, n int")
+        have = fresh.withColumn("ext", ext).join(F.broadcast(lookup), "ext").join(known, ["content_hash", "route"])
+        have = have.groupBy(*KEY, "content_hash").agg(F.min_by(F.struct("text", "provider"), "n").alias("t")).select(*KEY, "content_hash", "t.text", F.lit(None).cast("string").alias("failure_state"), "t.provider")
+        rest = fresh.join(have.select(*KEY), KEY, "left_anti")
+        for w in range(waves):
+            part = folders.contents(folders.split(rest, waves, w), base)
+            rows = extract.extracted(part, self.providers).withColumn("route", F.try_element_at(routes, F.col("provider"))).withColumn("written", F.current_timestamp())
+            made = self._kept(rows, f"{self.root}/stash/{name}-{w}").drop("route", "written")
+            out = made if out is None else out.unionByName(made)
+        return have.unionByName(out)
+
+    def _stash(self) -> DataFrame:
+        fs, path = self._fs(f"{self.root}/stash")
+        whole = [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(self._fs(f"{s.getPath()}/_SUCCESS")[1])] if fs.exists(path) else []
+        return self.spark.read.schema(STASH).parquet(*whole) if whole else self.spark.createDataFrame([], STASH)
+
+    def _made(self, name: str, seen: DataFrame, todo: DataFrame, touched: DataFrame, gone: DataFrame, signature: str, base: str, old: list[dict]) -> dict:
+        """The new segment: rows of what is read or cut again, marks of what they replace."""
+        put = lambda kind, rows, *by: self.segments.write(name, kind, rows.select(*[c.split()[0] for c in TABLES[kind].split(", ")]), *by)
+        fresh = seen.select(*KEY, "content_hash").join(todo.filter("needs_source").select(*KEY), KEY, "left_semi")
+        texts = self._texts(fresh, base, name)
         # texts that are only cut again come from the published ones
-        again = self.table("texts").join(todo.filter("needs_chunks and not needs_source").select(*KEY), KEY, "left_semi")
-        known = old.select(*KEY, "content_hash", F.col("extractor_id").alias("provider"))
+        again = self.segments.read("texts", old).join(todo.filter("needs_chunks and not needs_source").select(*KEY), KEY, "left_semi")
+        records = self.segments.read("files", old, records=True)
+        known = records.select(*KEY, "content_hash", F.col("extractor_id").alias("provider"))
         texts = texts.unionByName(again.join(known, KEY).select(*KEY, "content_hash", "text", F.lit(None).cast("string").alias("failure_state"), "provider"))
-        texts.write.mode("overwrite").parquet(f"{work}/extracted")
-        texts = self.spark.read.parquet(f"{work}/extracted")
-        self._write(number, "texts", texts.filter("text is not null").select(*KEY, "text"), keep)
-        clean = chunking.cleaned(texts.filter("text is not null").select(*KEY, "text"))
-        parts = chunking.pieces(clean)
-        c = chunking.anchored(chunking.chunks(parts), clean).withColumnRenamed("chunk_id", "id")
-        self._write(number, "chunks", c.select(*[x.split()[0] for x in TABLES["chunks"].split(", ")]), keep)
-        self._write(number, "sections", chunking.sections(parts), keep)
-        now = self.spark.read.schema(TABLES["chunks"]).parquet(f"{work}/chunks")
-        made = now.join(keep, KEY, "left_anti").select("library_id", "id", self.embed(F.col("embedded")).alias("v"))
-        self._write(number, "vectors", made, None, self.table("vectors").join(now.join(keep, KEY, "left_semi").select("library_id", "id"), ["library_id", "id"], "left_semi"))
-        LexicalStore(self.spark, f"{work}/lexical").save(now.select("library_id", F.col("id").alias("doc_id"), F.col("embedded").alias("text")))
-        ids = now.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "id"))), lambda s: s["id"]).alias("chunk_ids"))
-        out = links.wikilinks(texts.filter("text is not null").select(*KEY, "text")).groupBy(*KEY).agg(F.array_sort(F.collect_set("target")).alias("targets"))
+        texts = self._kept(texts, f"{self.root}/work/{name}/texts")
+        full = texts.filter("text is not null").select(*KEY, "text")
+        put("texts", full)
+        clean = chunking.cleaned(full)
+        parts = self._kept(chunking.pieces(clean), f"{self.root}/work/{name}/parts")
+        chunks = put("chunks", chunking.anchored(chunking.chunks(parts), clean).withColumnRenamed("chunk_id", "id"))
+        put("sections", chunking.sections(parts))
+        put("vectors", chunks.select(*KEY, "id", self.embed(F.col("embedded")).alias("v")))
+        words = self._kept(chunks.select(*KEY, "id", tokens(F.coalesce("embedded", F.lit(""))).alias("ts")).withColumn("dl", F.size("ts")), f"{self.root}/work/{name}/tokens")
+        put("lengths", words)
+        post = words.select(*KEY, "id", "dl", F.explode("ts").alias("term")).groupBy(*KEY, "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket())
+        put("postings", post.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), "bucket")
+        ids = chunks.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "id"))), lambda s: s["id"]).alias("chunk_ids"))
+        out = links.wikilinks(full).groupBy(*KEY).agg(F.array_sort(F.collect_set("target")).alias("targets"))
         f = texts.select(*KEY, "failure_state", F.col("provider").alias("extractor_id"), (F.col("text").isNotNull()).alias("ok")).join(seen.select(*KEY, "size", "mtime_ns", "content_hash", "signature"), KEY).join(ids, KEY, "left").join(out, KEY, "left")
         none = F.array().cast("array<string>")
         f = f.withColumn("status", F.when(F.col("ok"), "indexed").otherwise("failed")).withColumn("chunk_ids", F.coalesce("chunk_ids", none)).withColumn("targets", F.coalesce("targets", none))
-        self._write(number, "files", f.select(*[x.split()[0] for x in FILES.split(", ")]), keep)
-        self._publish(number)
-        r = catalog.report(todo).first()
-        done = self.table("files", number).groupBy("status").count().collect()
-        return (r.asDict() if r else {"library_id": self.id}) | {"generation": number} | {x.status: x["count"] for x in done}
-
-    def _write(self, number: int, name: str, new: DataFrame, keep: DataFrame | None, old: DataFrame | None = None) -> None:
-        kept = old if old is not None else self.table(name).join(keep, KEY, "left_semi")
-        columns = [x.split()[0] for x in TABLES[name].split(", ")]
-        kept.select(*columns).unionByName(new.select(*columns)).write.mode("overwrite").parquet(f"{self.root}/{number}/{name}")
+        now = touched.select(*KEY, "size", "mtime_ns", "content_hash")
+        moved = records.drop("size", "mtime_ns", "content_hash").join(now, KEY)
+        columns = [c.split()[0] for c in FILES.split(", ")]
+        put("files", f.select(*columns).unionByName(moved.select(*columns)))
+        marks = gone.withColumn("record", F.lit(False)).unionByName(touched.select(*KEY).withColumn("record", F.lit(True)))
+        n = self.segments.write(name, "gone", marks).count()
+        return {"name": name, "gone": n, "rows": chunks.count()}
+
+    def _lexical_stats(self, parent: dict, segment: dict, gone: DataFrame) -> dict:
+        """Chunks and tokens of the library: what was there, without what goes, with what comes. Postings aren't read."""
+        total = lambda d: tuple(x or 0 for x in d.agg(F.count(F.lit(1)), F.sum("dl")).first())
+        was = parent.get("lexical", {"n": 0, "dl": 0})
+        less = total(self.segments.read("lengths", parent.get("segments", [])).join(gone, KEY, "left_semi")) if parent else (0, 0)
+        more = total(self.segments.one(segment["name"], "lengths"))
+        return {"n": was["n"] - less[0] + more[0], "dl": was["dl"] - less[1] + more[1]}
+
+    def _settle(self, entry: dict) -> None:
+        """Stashed texts of published files go; so does data that neither the newest entry nor the one before names, once it is old."""
+        stash, fs = self._stash(), self._fs(self.root)[0]
+        left = extract.pruned(stash.select("content_hash", "route", "text", "written", *KEY, "failure_state", "provider"), self.table("files", entry["generation"]), F.current_timestamp())
+        path = self._fs(f"{self.root}/stash")[1]
+        before = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        if before:
+            if not left.filter("text is not null").isEmpty():
+                self._kept(left.filter("text is not null").select(*[c.split()[0] for c in STASH.split(", ")]), f"{self.root}/stash/left-{uuid.uuid4().hex}")
+            for p in before:
+                fs.delete(p, True)
+        named = {s["name"] for n in self.log.numbers()[-2:] for s in (self.log.entry(n) or {}).get("segments", [])}
+        for p in self.segments.unused(named, int((time.time() - RETAIN) * 1000)):
+            fs.delete(p, True)
+
+    def _statuses(self) -> dict:
+        return {x.status: x["count"] for x in self.table("files").groupBy("status").count().collect()}
+
+    def sync(self) -> dict:
+        """A round over the folder and with the rules of the published one; skipped where none is known or the folder is suddenly empty."""
+        e = self.state()
+        if "folder" not in e:
+            return {"skipped": "never-indexed"}
+        if folders.listing(self.spark, e["folder"]).isEmpty() and not self.table("files").isEmpty():
+            return {"skipped": "emptied"}
+        return self.index(e["folder"], self.spark.createDataFrame([[r.get(c.split()[0]) for c in RULES.split(", ")] for r in e["rules"]], RULES))
+
+    def postings(self) -> DataFrame:
+        return self.table("postings")
+
+    def lexical_stats(self) -> DataFrame:
+        """(library_id, n_docs, avgdl) from the published entry."""
+        s = self.state().get("lexical", {"n": 0, "dl": 0})
+        return self.spark.createDataFrame([(self.id, s["n"], s["dl"] / s["n"] if s["n"] else 0.0)], "library_id string, n_docs long, avgdl double")
 
     # questions
 
@@ -157,9 +273,8 @@ class Library:
         return conversion.entries(f.select(*KEY), f.select(*KEY, "status", "failure_state", "extractor_id", *(F.lit(None).cast(t).alias(c) for c, t in more.items())), cache, pages)
 
     def export(self, root: str) -> dict:
-        store = LexicalStore(self.spark, f"{self.root}/{self.state().get('generation')}/lexical")
-        v = self.table("vectors").join(self.table("chunks").select("id", "path", "chunk_index", "text"), "id")
-        return archive.export({"vectors": v, "postings": store.postings(), "files": self.table("files"), "extracted": self.table("texts")}, {"library_id": self.id, "name": self.id}, root)
+        v = self.table("vectors").drop("path").join(self.table("chunks").select("id", "path", "chunk_index", "text"), "id")
+        return archive.export({"vectors": v, "postings": self.postings().drop("path", "bucket"), "files": self.table("files"), "extracted": self.table("texts")}, {"library_id": self.id, "name": self.id}, root)
 
 
 class Catalogue:
@@ -187,11 +302,38 @@ class Catalogue:
             out = out.unionByName(p)
         return out
 
-    def search(self, queries: DataFrame, names: str = "", exclude: str = "", options: search.Options = search.Options(), formats: DataFrame | None = None, reranker: search.Reranker | None = None) -> DataFrame:
-        """Results of queries (query_id, text) over libraries."""
+    def sync(self, names: str = "", exclude: str = "") -> dict[str, dict]:
+        """Rounds of libraries whose folders have changed; a library that fails doesn't stop the others."""
+        out = {}
+        for x in self.chosen(names, exclude):
+            try:
+                out[x.id] = x.sync()
+            except Exception as e:  # reported, so that the search goes on with what is published
+                out[x.id] = {"error": f"{type(e).__name__}: {e}"}
+        return out
+
+    def search(self, queries: DataFrame, names: str = "", exclude: str = "", options: search.Options = search.Options(), formats: DataFrame | None = None, reranker: search.Reranker | None = None, sync: bool = False, rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Results of queries (query_id, text) over libraries, from their stored postings.
+
+        sync: folders that have changed are indexed first. rewrite: queries that find nothing good are asked again in these words."""
+        if sync:
+            self.sync(names, exclude)
         ls = self.chosen(names, exclude)
-        q = queries.select("query_id", "text", ls[0].embed(F.col("text")).alias("q"))
-        return search.search(q, self._all("chunks", ls), self._all("vectors", ls), self._all("sections", ls), self._all("files", ls), options, formats, reranker)
+        stored = search.Stored(self._all("postings", ls), self._stats(ls), bucket)
+        tables = [self._all(n, ls) for n in ("chunks", "vectors", "sections", "files")]
+
+        def asked(q: DataFrame) -> DataFrame:
+            q = q.select("query_id", "text", ls[0].embed(F.col("text")).alias("q"))
+            return search.search(q, tables[0], tables[1].drop("path"), *tables[2:], options, formats, reranker, stored)
+
+        first = asked(queries)
+        return search.second_pass(first, lambda q: asked(q.withColumn("text", rewrite(F.col("text")))), queries) if rewrite else first
+
+    def _stats(self, ls: list[Library]) -> DataFrame:
+        out = ls[0].lexical_stats()
+        for x in ls[1:]:
+            out = out.unionByName(x.lexical_stats())
+        return out
 
     def index(self, folders: dict[str, str], rules: DataFrame, **options) -> dict[str, dict]:
         """Rounds of libraries one after another; one that fails doesn't stop the next."""

@@ -57,13 +57,35 @@ def _per_library(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return near.select("query_id", F.col("id").alias("__id"), "score").join(ids.select("__id", "library_id", "id"), "__id").drop("__id")
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, on: DataFrame, o: Options) -> DataFrame:
+@dataclass(frozen=True)
+class Stored:
+    """Postings (library_id, term, id, tf, dl, bucket) and statistics (library_id, n_docs, avgdl) of an index; bucket: the folder of a term's postings."""
+
+    postings: DataFrame
+    stats: DataFrame
+    bucket: Callable[[str], Column]
+
+    def search(self, queries: DataFrame, top_k: int) -> DataFrame:
+        """As lexical.bm25 of queries (query_id, text): only the folders of their terms are read, and postings aren't shuffled before terms have met them."""
+        q = lexical.query_terms(queries, "query_id")
+        terms = q.select("term").distinct()
+        buckets = [r[0] for r in terms.select(self.bucket("term")).distinct().collect()]
+        small = terms.limit(lexical.TERMS + 1).count() <= lexical.TERMS
+        sent = F.broadcast if small else lambda d: d
+        p = self.postings.filter(F.col("bucket").isin(buckets)).join(sent(terms), "term", "left_semi")
+        return lexical.ranked(q, p, self.stats, top_k, sent)
+
+
+def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, on: DataFrame, o: Options, stored: Stored | None = None) -> DataFrame:
     """(query_id, library_id, id, score, rank): both lists fused in each library, best first.
 
     Words take their best before inactive chunks go, vectors after; folders are looked at after both.
     """
-    docs = chunks.select("library_id", F.col("id").alias("doc_id"), F.col("embedded").alias("text"))
-    lex = lexical.bm25(queries.select(F.col("query_id").alias("item_id"), "text"), docs, o.pool)
+    if stored is not None:
+        lex = stored.search(queries.select("query_id", "text"), o.pool)
+    else:
+        docs = chunks.select("library_id", F.col("id").alias("doc_id"), F.col("embedded").alias("text"))
+        lex = lexical.bm25(queries.select(F.col("query_id").alias("item_id"), "text"), docs, o.pool)
     near = _per_library(queries.select("query_id", "q"), vectors.join(on, ["library_id", "id"], "left_semi"), o.pool)
     where = chunks.select("library_id", "id", "path")
     lists = []
@@ -127,9 +149,9 @@ def delivered(s: DataFrame, chunks: DataFrame, sections: DataFrame, o: Options)
     return r.select("query_id", "position", "library_id", "path", "id", "chunk_index", "total_chunks", "section_id", "heading", "confidence", X.confidence_tier(F.col("confidence")).alias("tier"), "backfilled", cut.alias("truncated"), shown.alias("text"), F.col("folded").cast("int").alias("folded"), "capped")
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, sections: DataFrame, manifest: DataFrame, o: Options = Options(), formats: DataFrame | None = None, reranker: Reranker | None = None) -> DataFrame:
-    """Results of a batch of queries, best first; a query without any gives no row (see empty_reasons)."""
-    found = candidates(queries, chunks, vectors, active(chunks, manifest, formats), o)
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, sections: DataFrame, manifest: DataFrame, o: Options = Options(), formats: DataFrame | None = None, reranker: Reranker | None = None, stored: Stored | None = None) -> DataFrame:
+    """Results of a batch of queries, best first; a query without any gives no row (see empty_reasons). stored: the index' postings, else chunks are tokenised."""
+    found = candidates(queries, chunks, vectors, active(chunks, manifest, formats), o, stored)
     return delivered(scored(found, queries, chunks, o, reranker), chunks, sections, o)
 
 

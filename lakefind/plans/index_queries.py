@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import lexical, segmentation, vector_index
-from ..sources.tables import read
+from ..library import TABLES, bucket
+from ..operators import lexical, search, segmentation, vector_index
+from ..segments import KEY, Segments
+from ..sources.tables import files, read
 from ..storage import shared_root, staged
+from .driver_queries import BM25
 from .registry import query
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -97,3 +100,28 @@ def indexed_recall(spark, d):
     whole, some = (index.neighbours(10, p).select("query_id", "id") for p in (about["cells"], None))
     found = whole.join(some.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
     return found.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"), F.lit(about["probes"]).alias("probes"), F.lit(about["cells"]).alias("cells"))
+
+
+def _written(store, docs, marks):
+    """A segment of the postings of docs that hides older rows of the files in marks."""
+    name = store.new()
+    words = staged(docs.select(*KEY, F.col("doc_id").alias("id"), X.tokens(F.coalesce("text", F.lit(""))).alias("ts")).withColumn("dl", F.size("ts")))
+    store.write(name, "lengths", words.select(*KEY, "id", "dl"))
+    post = words.select(*KEY, "id", "dl", F.explode("ts").alias("term")).groupBy(*KEY, "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket())
+    store.write(name, "postings", post.select(*KEY, "term", "id", "tf", "dl", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term", "id"), "bucket")
+    store.write(name, "gone", marks.select(*KEY, F.lit(False).alias("record")))
+    return {"name": name, "gone": marks.count(), "rows": words.count()}
+
+
+@query(f"with {BM25} select query_id, library_id, id, score, rank::int as rank from (select *, row_number() over (partition by query_id, library_id order by score desc, id) as rank from sc) where rank <= 10")
+def stored_bm25(spark, d):
+    """BM25 over segments: all documents, half of them with words that aren't theirs; then those made anew; then merged or not, as sizes say."""
+    schemas = {k: TABLES[k].replace("id string, tf", "id long, tf").replace("id string, dl", "id long, dl") for k in ("lengths", "postings")}
+    store = Segments(spark, f"{shared_root(spark)}/segments-{uuid.uuid4().hex}", schemas)
+    docs = files(spark, d)
+    later = docs.filter("doc_id % 2 = 0")
+    first = _written(store, docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("before "), F.reverse("text"))).otherwise(F.col("text"))), later.limit(0))
+    listed = store.merged([first, _written(store, later, later)], {"postings": "bucket"}, set())
+    n = store.read("lengths", listed).groupBy("library_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    stored = search.Stored(store.read("postings", listed), n, bucket)
+    return stored.search(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
