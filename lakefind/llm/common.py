@@ -57,6 +57,14 @@ def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Memory that isn't used any more goes back to the system: in a worker when a task ends, in the driver after a model is trained or counters were gathered."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(run):
     """A function for mapInArrow that gives its memory back when a task ends: workers are used again by later stages."""
 
@@ -64,10 +72,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return f
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing as H
-from .common import fits_broadcast, lean, looked_up, parts, staged, table
+from .common import fits_broadcast, give_back, lean, looked_up, parts, staged, table
 from .components import components
 from .repeats import repeated
 
@@ -98,6 +98,7 @@ def _token_counts(profile: DataFrame) -> np.ndarray:
     out = np.zeros((1 << CHUNKS, 1 << (SKETCH - CHUNKS)), np.uint64)
     for r in rows.collect():
         out[r.chunk] = np.frombuffer(r.counts, np.uint64)
+    give_back()
     return out.ravel()
 
 
