@@ -3,11 +3,13 @@
 The page becomes a tree; for every node the text density is its characters per tag, adjusted by its share of link text (composite text
 density); on a page without links it is plain characters per tag. A node's density sum is that of its children and of its own text.
 The threshold is the least density on the path from the node of the greatest sum to the body. From the body down, every node that has the
-threshold keeps the subtree of the greatest sum in it, and its other children are looked at in the same way. Only then do tag names speak:
+threshold keeps the subtree of the greatest sum in it, and its other children are looked at in the same way.
+Densities are counted twice: first over all that a page shows, whatever its names, and what falls short there is out; then over the page without what
+names mark, where the subtrees are chosen among those the first count has left (all of them if it has left none). Then
 what is kept is widened to the article that holds it, or, if no article holds any of it, to main. Text elements between kept siblings and
 headings right before them stay.
 A form that holds more than half of the page's text is a frame and stays; only its fields go.
-Inside what is kept, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes. A whole
+By names, what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its tag, role or class goes. A whole
 class token of NAMES decides; one word of a longer name, or of an id inside an article, only if links or density confirm it.
 
 Defined results: null and empty html give empty text; a page without body is its own body; a page without tags is its text. Each
@@ -280,8 +282,46 @@ def _frames(root: Node) -> set[Node]:
     return {x for x in forms if 2 * size[x] > size[root]}
 
 
+def _weighed(order: list[tuple[Node, bool]], body: Node) -> None:
+    """Densities and their sums of nodes that have been counted."""
+    share = body.link_chars / max(body.chars, 1)
+    for x, link in order:
+        x.sum = 0.0
+        if x.dropped:
+            continue
+        x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, share)
+        for c in x.children:
+            if isinstance(c, str):
+                k = len(WHITE.sub(" ", c).strip())
+                x.sum += _density(k, 0, k if link else 0, 0, share)
+    for x, _ in order:
+        if not x.dropped:
+            x.sum += sum(c.density for c in x.children if isinstance(c, Node) and not c.dropped)
+
+
+def first_count(root: Node) -> set[Node]:
+    """What density alone keeps of all that a page shows: only what is no text at all is left out."""
+    order, body, stack = [], None, [(root, False)]
+    while stack:
+        x, link = stack.pop()
+        x.dropped = x.name in RAW or x.name == "head"
+        order.append((x, link or x.name == "a"))
+        if x.name == "body" and body is None:
+            body = x
+        if not x.dropped:
+            stack.extend((c, link or x.name == "a") for c in x.children if isinstance(c, Node))
+    body = body or root
+    _count(order)
+    _weighed(order, body)
+    kept = dense(body)
+    for x, _ in order:
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
+        x.density, x.dropped = 0.0, False
+    return kept
+
+
 def measure(root: Node) -> Node:
-    """Counts and densities of all nodes, bottom up; the body."""
+    """Counts and densities of all nodes without what names mark, bottom up; the body."""
     order, body, suspects, frames = [], None, [], _frames(root)
     stack: list = [(root, False, None)]
     while stack:
@@ -306,28 +346,22 @@ def measure(root: Node) -> Node:
             x.chars = x.tags = x.link_chars = x.link_tags = 0
             x.dropped = x.dropped or (x.up is not None and x.up.dropped)
         _count(order)
-    share = body.link_chars / max(body.chars, 1)
-    for x, link in order:
-        if x.dropped:
-            continue
-        x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, share)
-        for c in x.children:
-            if isinstance(c, str):
-                k = len(WHITE.sub(" ", c).strip())
-                x.sum += _density(k, 0, k if link else 0, 0, share)
-    for x, _ in order:
-        if not x.dropped:
-            x.sum += sum(c.density for c in x.children if isinstance(c, Node) and not c.dropped)
+    _weighed(order, body)
     return body
 
 
-def chosen(body: Node) -> set[Node]:
-    """The nodes that density keeps, each widened to its article."""
+def _below(body: Node) -> list[Node]:
     order, stack = [], [body]
     while stack:
         x = stack.pop()
         order.append(x)
         stack.extend(c for c in x.children if isinstance(c, Node) and not c.dropped)
+    return order
+
+
+def dense(body: Node) -> set[Node]:
+    """The nodes that density keeps."""
+    order = _below(body)
     top: dict[Node, Node] = {}  # the node of the greatest sum in each subtree
     for x in reversed(order):
         t = x
@@ -357,6 +391,29 @@ def chosen(body: Node) -> set[Node]:
         kept.add(t)
         if t is not x:
             stack.extend(c for c in x.children if isinstance(c, Node) and not c.dropped)
+    return kept
+
+
+def among(kept: set[Node], first: set[Node]) -> set[Node]:
+    """Those of kept that lie in, or hold, a node of first; all of them if there is none."""
+    above = set()
+    for x in first:
+        while x is not None and x not in above:
+            above.add(x)
+            x = x.up
+    out = set()
+    for x in kept:
+        y = x
+        while y is not None and y not in first:
+            y = y.up
+        if y is not None or x in above:
+            out.add(x)
+    return out or kept
+
+
+def chosen(body: Node, first: set[Node]) -> set[Node]:
+    """The nodes that density keeps both times, each widened to its article."""
+    kept, order = among(dense(body), first), _below(body)
     for name in ("article", "main"):
         outer: dict[Node, Node | None] = {}  # the outermost element of that name around each node
         for x in order:
@@ -366,9 +423,9 @@ def chosen(body: Node) -> set[Node]:
     return kept
 
 
-def parts(body: Node) -> list:
+def parts(body: Node, first: set[Node]) -> list:
     """What is kept, in the page's order; None ends a block. Text elements between kept siblings and headings right before them stay."""
-    kept = chosen(body)
+    kept = chosen(body, first)
     if not kept or body in kept:
         return [body]
     holds = set(kept)
@@ -397,7 +454,7 @@ def blocks(nodes: list) -> list[str]:
     held: list[str] = []
 
     def end() -> None:
-        t = WHITE.sub(" ", _html.unescape("".join(held))).strip()
+        t = WHITE.sub(" ", "".join(held)).strip()
         held.clear()
         if t:
             out.append(t)
@@ -408,7 +465,7 @@ def blocks(nodes: list) -> list[str]:
         if x is None:
             end()
         elif isinstance(x, str):
-            held.append(x)
+            held.append(_html.unescape(x))  # by itself: what markup parts is no reference
         elif not x.dropped:
             if x.name == "br":
                 held.append(" ")
@@ -424,7 +481,9 @@ def blocks(nodes: list) -> list[str]:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(parts(measure(parse(page)))))
+    root = parse(page)
+    first = first_count(root)
+    return "\n".join(blocks(parts(measure(root), first)))
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:

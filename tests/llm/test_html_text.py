@@ -70,3 +70,22 @@ def test_query_rows(spark):
     got = sorted(((r.page_id or 0, r.url, r.text) for r in html_text.extracted(d).collect()), key=str)
     assert got == sorted([(1, "u", LONG.strip()), (1, "u", LONG.strip()), (2, None, ""), (0, "w", ""), (3, "v", "plain <text>")], key=str)
     assert html_text.extracted(d.limit(0)).count() == 0
+
+
+def test_references_are_decoded_string_by_string():
+    assert html_text.extract("<body><p>a &am<b>p;</b> b &lt<i>;</i>x &amp; &copy;<!-- c --> d</p></body>") == "a &amp; b <;x & © d"
+
+
+def test_density_is_counted_before_names():
+    """Of two places with the same names, the one that density leaves out goes, and what names drop counts for the first choice."""
+    prose = "".join(f"<p>Sentence {i} of the long story goes on and on for a while here.</p>" for i in range(12))
+    links = "".join(f"<div><a href=x>{i}</a></div>" for i in range(60))
+    page = f"<body><div class=x>{links}</div><div class=x>{prose}</div><div class=x>{links}</div></body>"
+    root = html_text.parse(page)
+    first = html_text.first_count(root)
+    assert first and all("Sentence" in str(t) for x in first for t in html_text.blocks([x]))
+    text = html_text.extract(page)
+    assert text.startswith("Sentence 0") and text.endswith("here.") and len(text.split("\n")) == 12
+    # names may drop all that density kept: then the page without them is looked at
+    comments = "".join(f"<p>Comment {i} says a lot of things about the story.</p>" for i in range(40))
+    assert html_text.extract(f"<body><div>{prose}</div><div class=comments>{comments}</div></body>").count("Comment") == 0
