@@ -1,7 +1,6 @@
 """Content map of files: an order in which like files are neighbours, gaps, looseness, groups, samples.
 
-The map is drawn for people, so its input is one mean vector for each file of the chosen libraries; MOST bounds how many
-reach the driver, and more raise an error. Gaps, looseness and samples are windows over any number of rows.
+Its input is one mean vector for each file of the chosen libraries, of any number. Gaps, looseness and samples are windows over any number of rows.
 """
 
 from __future__ import annotations
@@ -9,15 +8,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import staged
+from .running import running
 from .vector import dot
 
 #: Dimensions, rounds of power iteration, groups, samples of a group, rounds of k-means, seed.
 DIM, POWER, GROUPS, SAMPLES, ROUNDS, SEED = 64, 12, 16, 3, 25, 0x5EED
-MOST = 200_000
+#: Files of a segment that is put in order in one task; files that first centres come from.
+LOCAL, SAMPLE = 20_000, 20_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -95,22 +99,123 @@ def groups(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
     return np.argsort(order)[label], centre[order]
 
 
+def _partial(batches):
+    """A task's count, sum and products of each segment's rows."""
+    held: dict[tuple, list] = {}
+    for b in batches:
+        x = np.array(b.column("p").to_pylist(), np.float64)
+        for key in dict.fromkeys(keys := list(zip(b.column("b").to_pylist(), b.column("seg").to_pylist(), strict=True))):
+            v = x[[k == key for k in keys]]
+            n, s, o = held.get(key, (0, 0.0, 0.0))
+            held[key] = n + len(v), s + v.sum(0), o + v.T @ v
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int64()), *(pa.array([np.asarray(h[j], np.float64).tobytes() for h in held.values()], pa.binary()) for j in range(3))], names=["b", "seg", "n", "s", "o"])
+
+
+def _axis(rows: pd.DataFrame) -> pd.DataFrame:
+    """The mean of a segment and the direction in which its rows differ most, from its tasks' sums."""
+    n, s, o = (sum(np.frombuffer(x) for x in rows[c]) for c in ("n", "s", "o"))
+    mean = s / n[0]
+    u = np.linalg.eigh(o.reshape(len(s), -1) / n[0] - np.outer(mean, mean))[1][:, -1]
+    return pd.DataFrame({"b": rows["b"].iloc[:1], "seg": rows["seg"].iloc[:1], "mean": [mean.tolist()], "u": [(u * np.sign(u[np.abs(u).argmax()])).tolist()]})
+
+
+def _halved(x: DataFrame, large: DataFrame, b_type: str) -> DataFrame:
+    """Rows of large segments (b, seg) in halves along their main direction: seg 2 k and 2 k + 1, the right one turned round. Rows that don't differ stay together, flat."""
+    some = x.join(F.broadcast(large), ["b", "seg"])
+    axes = some.select("b", "seg", "p").mapInArrow(_partial, f"b {b_type}, seg long, n binary, s binary, o binary").groupBy("b", "seg").applyInPandas(_axis, f"b {b_type}, seg long, mean array<double>, u array<double>")
+    along = F.aggregate(F.zip_with("p", F.zip_with("mean", "u", lambda m, u: F.struct(m.alias("m"), u.alias("u"))), lambda y, z: (y.cast("double") - z["m"]) * z["u"]), F.lit(0.0), lambda a, y: a + y)
+    t = staged(some.join(F.broadcast(staged(axes)), ["b", "seg"]).withColumn("t", F.round(along, 9)).drop("mean", "u"))
+    cut = t.groupBy("b", "seg").agg(F.percentile_approx("t", 0.5, 10_000).alias("cut"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    t = t.join(F.broadcast(cut.withColumn("cut", F.when(F.col("cut") == F.col("hi"), (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("cut")))), ["b", "seg"])
+    right = F.col("t") > F.col("cut")
+    flat = F.col("lo") == F.col("hi")
+    t = t.withColumn("odd", F.col("odd") != (right & ~flat)).withColumn("seg", F.when(flat, F.col("seg") * 2).otherwise(F.col("seg") * 2 + right.cast("long"))).withColumn("flat", F.col("flat") | flat)
+    rest = x.join(F.broadcast(large), ["b", "seg"], "left_anti").withColumn("seg", F.col("seg") * 2)
+    return staged(rest.unionByName(t.select(rest.columns)))
+
+
+def _grouped(x: DataFrame, n: int) -> np.ndarray:
+    """Centres by spherical k-means, larger groups first: starts from a bounded sample, steps over all rows."""
+    rows = x.orderBy(F.xxhash64("b", "path"), "b", "path").limit(SAMPLE).collect() if n > SAMPLE else x.orderBy("b", "path").collect()
+    _, centre = groups(np.array([r.p for r in rows], np.float32).reshape(len(rows), -1), group_count(n))
+    for _ in range(ROUNDS if n > SAMPLE else 0):
+        sums = _sums(x, centre)
+        new = centre.copy()
+        some = [k for k in sums if sums[k][0]]
+        new[some] = unit(np.array([sums[k][1] for k in some])).astype(np.float32)
+        if np.allclose(new, centre, atol=1e-6):
+            break
+        centre = new
+    sizes = _sums(x, centre)
+    return centre[np.argsort([-sizes[k][0] if k in sizes else 0 for k in range(len(centre))], kind="stable")] if len(centre) else centre
+
+
+def _sums(x: DataFrame, centre: np.ndarray) -> dict[int, tuple[int, np.ndarray]]:
+    """Rows and their sum for each centre; a few rows from each of a bounded number of tasks reach the driver."""
+
+    def run(batches):
+        n, s = np.zeros(len(centre), np.int64), np.zeros(centre.shape)
+        for b in batches:
+            p = np.array(b.column("p").to_pylist(), np.float32)
+            own = np.argmax(p @ centre.T, axis=1)
+            n += np.bincount(own, minlength=len(centre))
+            np.add.at(s, own, p)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centre)), pa.int32()), pa.array(n), pa.array(s.tolist(), pa.list_(pa.float64()))], names=["g", "n", "s"])
+
+    def add(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for g, n, s in zip(b.column("g").to_pylist(), b.column("n").to_pylist(), b.column("s").to_pylist(), strict=True):
+                held[g] = [held[g][0] + n, held[g][1] + np.array(s)] if g in held else [n, np.array(s)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([h[0] for h in held.values()]), pa.array([h[1].tolist() for h in held.values()], pa.list_(pa.float64()))], names=["g", "n", "s"])
+
+    kind = "g int, n long, s array<double>"
+    return {r.g: (r.n, np.array(r.s)) for r in x.select("p").mapInArrow(run, kind).repartition(16, "g").mapInArrow(add, kind).collect()}
+
+
 def ordered(files: DataFrame, by: str = "library_id") -> DataFrame:
-    """files (by, path, v) with place (0, 1, … within `by`) and group_no (over all). At most MOST files."""
-    rows = files.select(by, "path", "v").orderBy(by, "path").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"a map has at most {MOST} files; choose fewer libraries")
-    x = project(np.array([r.v for r in rows], np.float32)) if rows else np.zeros((0, DIM), np.float32)
-    label, _ = groups(x, group_count(len(rows)))
-    place = np.zeros(len(rows), np.int64)
-    names = np.array([r[0] for r in rows], object)
-    for b in dict.fromkeys(names):
-        at = np.flatnonzero(names == b)
-        place[at[seriate(x[at])]] = np.arange(len(at))
-    out = [(r[0], r.path, int(p), int(g)) for r, p, g in zip(rows, place, label, strict=True)]
-    kinds = dict(files.dtypes)
-    placed = files.sparkSession.createDataFrame(out, f"{by} {kinds[by]}, path {kinds['path']}, place long, group_no int")
-    return files.join(F.broadcast(placed), [by, "path"])
+    """files (by, path, v) with place (0, 1, … within `by`) and group_no (over all), for any number of files.
+
+    Segments of more than LOCAL files are halved level by level, each level a pass over the rows; smaller ones are put in order in one task each."""
+    b_type = dict(files.dtypes)[by]
+
+    def projected(batches):
+        for b in batches:
+            if b.num_rows:
+                p = project(np.array(b.column("v").to_pylist(), np.float32))
+                yield pa.RecordBatch.from_arrays([b.column("b"), b.column("path"), pa.array(p.tolist(), pa.list_(pa.float32()))], names=["b", "path", "p"])
+
+    x = files.select(F.col(by).alias("b"), "path", F.col("v").cast("array<float>").alias("v")).mapInArrow(projected, f"b {b_type}, path string, p array<float>")
+    x = staged(x.withColumn("seg", F.lit(0).cast("long")).withColumn("odd", F.lit(False)).withColumn("flat", F.lit(False)))
+    n = x.count()
+    centre = _grouped(x, n)
+    runs = {r.b: max(3, round(r["n"] * 0.002)) for r in x.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each library
+    while True:
+        large = staged(x.filter("not flat").groupBy("b", "seg").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LOCAL).select("b", "seg"))
+        if large.isEmpty():
+            break
+        x = _halved(x, large, b_type)
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("path", ascending=not rows["odd"].iloc[0])
+        p = np.array(rows["p"].tolist(), np.float32)
+        order = seriate(p, runs[rows["b"].iloc[0]])
+        at = np.zeros(len(rows), np.int64)
+        at[order] = np.arange(len(rows))
+        return pd.DataFrame({"b": rows["b"], "path": rows["path"], "seg": rows["seg"], "at": at, "group_no": np.argmax(p @ centre.T, axis=1).astype(np.int32)})
+
+    small = x.filter("not flat").groupBy("b", "seg").applyInPandas(inside, f"b {b_type}, path string, seg long, at long, group_no int")
+    # rows that don't differ are in order whatever theirs is
+    flat = running(x.filter("flat"), ["b", "seg"], ["path"], 1, "at")
+    dots = F.array(*(F.aggregate(F.zip_with("p", F.lit([float(y) for y in c]), lambda a, z: a * z), F.lit(0.0), lambda s, y: s + y) for c in centre)) if len(centre) else F.array(F.lit(0.0))
+    flat = flat.select("b", "path", "seg", "at", (F.array_position(dots, F.array_max(dots)) - 1).cast("int").alias("group_no"))
+    put = staged(small.unionByName(flat))
+    counts = put.groupBy("b", "seg").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("b").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    placed = put.join(F.broadcast(counts), ["b", "seg"]).select(F.col("b").alias(by), "path", (F.col("before") + F.col("at")).alias("place"), "group_no")
+    return files.join(placed, [by, "path"])
 
 
 def _cosine(a: str, b: str) -> Column:
@@ -159,15 +264,16 @@ def samples(files: DataFrame, key: list[str], group: str = "group_no", most: int
 def farthest(vectors: DataFrame, k: int = 20, ident: str = "id") -> list:
     """Ids of k rows by farthest-point sampling: the least id first, then always the row that is farthest from all chosen (squared distance, the least id of several), until none is left.
 
-    Every step is one distributed pass over the vectors; k of them reach the driver.
+    Every step is one pass that only measures the distance to the row chosen last and keeps the least so far; k rows reach the driver.
     """
     first = vectors.orderBy(ident).limit(1).collect()
     if not first or k <= 0:
         return []
-    chosen, d = [first[0]], vectors.select(ident, "v")
+    chosen, d = [first[0]], vectors.select(ident, "v", F.lit(float("inf")).alias("far"))
     while len(chosen) < k:
-        far = F.least(*(_square(F.array(*(F.lit(float(y)) for y in c["v"]))) for c in chosen), F.lit(float("inf")))
-        best = d.select(ident, "v", far.alias("far")).orderBy(F.desc("far"), ident).limit(1).collect()[0]
+        last = F.array(*(F.lit(float(y)) for y in chosen[-1]["v"]))
+        d = staged(d.withColumn("far", F.least("far", _square(last))))
+        best = d.orderBy(F.desc("far"), ident).limit(1).collect()[0]
         if best[ident] in {c[ident] for c in chosen}:
             break
         chosen.append(best)

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import needs_conversion
+from ..operators.running import running
+from ..storage import staged
 from .tables import text_documents
 
 TEXT_ROW = "library_id string, path string, content_hash string, text string, failure_state string, provider string"
@@ -157,20 +159,37 @@ def missing_reason(states: Column) -> Column:
 def batches(files: DataFrame, most_files: int, most_pages: int, by: str = "library_id", order: str = "path") -> DataFrame:
     """files (by, order, pages) with batch: in order, up to most_files files and most_pages pages; files of unknown or larger size alone.
 
-    The files of one library in one round are one row of this plan: a list of paths and page counts.
+    Where the batch that begins at a file ends follows from running sums of pages; the files at which batches really begin are those that the first one
+    leads to, found by doubling the step: after k rounds 2**k batches are known. No library's files come together in one task.
     """
-    row = F.struct(F.col(order).alias("k"), F.col("pages").cast("long").alias("p"))
-    lists = files.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("fs"))
-    start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(True).alias("shut"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, f: Column) -> Column:
-        alone = F.lit(most_files <= 1) | f["p"].isNull() | (f["p"] > most_pages)
-        new = alone | a["shut"] | (a["n"] >= most_files) | (a["s"] + f["p"] > most_pages)
-        b = a["b"] + new.cast("int")
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.when(new, F.coalesce(f["p"], F.lit(0))).otherwise(a["s"] + f["p"]).alias("s"), alone.alias("shut"), F.array_append(a["out"], b).alias("out"))
-
-    x = lists.withColumn("bs", F.aggregate("fs", start, step, lambda a: a["out"])).select(by, F.explode(F.arrays_zip("fs", "bs")).alias("z"))
-    return x.select(by, F.col("z.fs.k").alias(order), F.col("z.fs.p").alias("pages"), F.col("z.bs").alias("batch"))
+    f = files.select(by, F.col(order).alias("k"), F.col("pages").cast("long").alias("p"))
+    alone = F.lit(most_files <= 1) | F.col("p").isNull() | (F.col("p") > most_pages)
+    f = running(f.withColumn("alone", alone), [by], ["k"], 1, "i")
+    f = staged(running(f, [by], ["i"], F.when(F.col("alone"), 0).otherwise(F.col("p")), "before"))
+    # a batch is full at the first file that stands alone, that is one too many, or whose pages are: sums that lie beyond what its first file may reach
+    ends = f.select(by, "i", (F.col("before") + F.when(F.col("alone"), 0).otherwise(F.col("p"))).alias("s"), F.lit(0).alias("kind"))
+    asks = f.filter("not alone").select(by, "i", (F.col("before") + most_pages).alias("s"), F.lit(1).alias("kind"))
+    full = running(ends.unionByName(asks), [by], ["s", "kind", "i"], F.when(F.col("kind") == 0, 1).otherwise(0), "fit").filter("kind = 1").select(by, "i", F.col("fit").alias("full"))
+    blocks = f.filter("alone").select(by, F.col("i").alias("a"))
+    n_before = running(f.select(by, "i", "alone"), [by], ["i"], F.col("alone").cast("int"), "m")
+    numbered = running(blocks, [by], ["a"], 1, "m")
+    shut = n_before.filter("not alone").join(numbered, [by, "m"], "left").select(by, "i", F.col("a").alias("shut"))
+    nxt = f.select(by, "i", "alone").join(full, [by, "i"], "left").join(shut, [by, "i"], "left")
+    nxt = nxt.select(by, "i", F.when(F.col("alone"), F.col("i") + 1).otherwise(F.least(F.col("i") + most_files, F.greatest("full", F.col("i") + 1), F.coalesce("shut", F.lit(2**62)))).alias("to"))
+    jump, reached = staged(nxt), staged(f.filter("i = 0").select(by, "i"))
+    count = reached.count()
+    while count:
+        more = reached.join(jump, [by, "i"]).select(by, F.col("to").alias("i")).join(f.select(by, "i"), [by, "i"], "left_semi")
+        reached = staged(reached.unionByName(more).distinct())
+        now = reached.count()
+        if now == count:
+            break
+        count = now
+        far = jump.select(by, F.col("i").alias("to"), F.col("to").alias("far"))
+        jump = staged(jump.join(far, [by, "to"]).select(by, "i", F.col("far").alias("to")))
+    begins = f.join(reached.withColumn("first", F.lit(1)), [by, "i"], "left")
+    out = running(begins.withColumn("first", F.coalesce("first", F.lit(0))), [by], ["i"], F.col("first"), "b")
+    return out.select(by, F.col("k").alias(order), F.col("p").alias("pages"), (F.col("b") + F.col("first") - 1).cast("int").alias("batch"))
 
 
 def found_document(listing: DataFrame, library: str, path: str) -> str:
