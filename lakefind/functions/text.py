@@ -32,8 +32,6 @@ FENCED = r"(?ms)^[ ]{0,3}(?:`{3,}|~{3,})[^\n]*(?:\n.*?^[ ]{0,3}(?:`{3,}|~{3,})[^
 LAYOUT_NOISE = ["header", "footer", "page_number"]
 #: Fixed mark behind a text that was cut.
 CUT_MARK = "…"
-#: Fixed themes, the first whose keyword is in the lower-case path.
-THEMES = [("pages", ["页级", "视觉导航"]), ("recognition", ["ocr", "扫描"]), ("chunk", ["切块", "清洗", "chunk", "嵌入", "向量", "检索", "重排", "embedding"]), ("daily", ["journal", "日记", "周会", "会议记录", "meeting"]), ("config", ["设置", "配置", "config", "门禁", "隐私"])]
 
 
 def tokens(text: Column, lexicon: tuple[str, ...] = (), words: Callable[[Column], Column] | None = None) -> Column:
@@ -202,10 +200,10 @@ def parse_chunk_id(c: Column) -> tuple[Column, Column, Column]:
     return F.regexp_extract(c, r"^([^:]*):", 1), F.regexp_extract(c, r"^[^:]*:(.*):[^:]*$", 1), F.regexp_extract(c, r":([^:]*)$", 1).cast("int")
 
 
-def theme(path: Column, rules: list | None = None, default: str = "general") -> Column:
-    """First rule (name, keywords) one of whose keywords is in the lower-case path."""
+def theme(path: Column, rules: list[tuple[str, list[str]]], default: str = "general") -> Column:
+    """First rule (name, keywords) one of whose keywords is in the lower-case path. The rules are the caller's."""
     out = F.lit(default)
-    for name, words in reversed(THEMES if rules is None else rules):
+    for name, words in reversed(rules):
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(F.lower(path), F.lit(w.lower()))

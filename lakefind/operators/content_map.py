@@ -179,7 +179,7 @@ def ordered(files: DataFrame, by: str = "library_id") -> DataFrame:
     """files (by, path, v) with place (0, 1, … within `by`) and group_no (over all), for any number of files.
 
     Segments of more than LOCAL files are halved level by level, each level a pass over the rows; smaller ones are put in order in one task each."""
-    b_type = dict(files.dtypes)[by]
+    b_type, p_type = dict(files.dtypes)[by], dict(files.dtypes)["path"]
 
     def projected(batches):
         for b in batches:
@@ -187,7 +187,7 @@ def ordered(files: DataFrame, by: str = "library_id") -> DataFrame:
                 p = project(np.array(b.column("v").to_pylist(), np.float32))
                 yield pa.RecordBatch.from_arrays([b.column("b"), b.column("path"), pa.array(p.tolist(), pa.list_(pa.float32()))], names=["b", "path", "p"])
 
-    x = files.select(F.col(by).alias("b"), "path", F.col("v").cast("array<float>").alias("v")).mapInArrow(projected, f"b {b_type}, path string, p array<float>")
+    x = files.select(F.col(by).alias("b"), "path", F.col("v").cast("array<float>").alias("v")).mapInArrow(projected, f"b {b_type}, path {p_type}, p array<float>")
     x = staged(x.withColumn("seg", F.lit(0).cast("long")).withColumn("odd", F.lit(False)).withColumn("flat", F.lit(False)))
     n = x.count()
     centre = _grouped(x, n)
@@ -206,7 +206,7 @@ def ordered(files: DataFrame, by: str = "library_id") -> DataFrame:
         at[order] = np.arange(len(rows))
         return pd.DataFrame({"b": rows["b"], "path": rows["path"], "seg": rows["seg"], "at": at, "group_no": np.argmax(p @ centre.T, axis=1).astype(np.int32)})
 
-    small = x.filter("not flat").groupBy("b", "seg").applyInPandas(inside, f"b {b_type}, path string, seg long, at long, group_no int")
+    small = x.filter("not flat").groupBy("b", "seg").applyInPandas(inside, f"b {b_type}, path {p_type}, seg long, at long, group_no int")
     # rows that don't differ are in order whatever theirs is
     flat = running(x.filter("flat"), ["b", "seg"], ["path"], 1, "at")
     dots = F.array(*(F.aggregate(F.zip_with("p", F.lit([float(y) for y in c]), lambda a, z: a * z), F.lit(0.0), lambda s, y: s + y) for c in centre)) if len(centre) else F.array(F.lit(0.0))

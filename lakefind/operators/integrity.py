@@ -82,3 +82,10 @@ def to_sync(fresh: DataFrame) -> DataFrame:
 def retries(manifest: DataFrame, current: Column) -> DataFrame:
     """manifest with retry; current: the signature of what can be extracted now."""
     return manifest.withColumn("retry", R.will_retry(F.col("status"), F.coalesce("failure_state", "failure_reason"), F.col("signature"), current, F.col("missing_pages"), F.col("missing_reason")))
+
+
+def library_rows(files: DataFrame, at: str = "mtime_ns") -> DataFrame:
+    """A row for each library of its records (library_id, status, chunk_ids, at): files, those indexed and failed, chunks, the newest time, and whether it has anything to search."""
+    ok = F.col("status") == "indexed"
+    g = files.groupBy("library_id").agg(F.count(F.lit(1)).alias("files"), F.count_if(ok).alias("indexed"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(ok, F.greatest(F.size("chunk_ids"), F.lit(0)))), F.lit(0)).alias("chunks"), F.max(at).alias("newest"))
+    return g.withColumn("searchable", F.col("chunks") > 0)

@@ -53,14 +53,14 @@ def node_id(library: Column, path: Column) -> Column:
     return F.concat_ws("|", library, path)
 
 
-def document_nodes(included: DataFrame, manifest: DataFrame) -> DataFrame:
+def document_nodes(included: DataFrame, manifest: DataFrame, themes: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Nodes of included files (library_id, path). manifest (library_id, path, status, failure_state, failure_reason, chunks, mtime_ns): files without a record are nodes only if they are PDFs."""
     x = included.select("library_id", "path").distinct().join(manifest.withColumn("__known", F.lit(True)), ["library_id", "path"], "left")
     kind = F.coalesce(F.nullif(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)), F.lit("")), F.lit("md"))
     state = F.when(F.col("__known").isNull(), "none").when(F.col("status") == "indexed", "done").when(F.col("failure_state").isin("scanned", "deferred"), "queued").otherwise("failed")
     x = x.filter(F.col("__known").isNotNull() | F.lower("path").endswith(".pdf")).withColumn("kind", kind).withColumn("state", state)
     chunks = F.when((F.col("kind") == "pdf") & (F.col("state") != "done"), 0).otherwise(F.coalesce("chunks", F.lit(0)))
-    return x.select(node_id(F.col("library_id"), F.col("path")).alias("node_id"), "library_id", "path", "kind", theme(F.col("path")).alias("theme"), "state", chunks.cast("int").alias("chunks"), F.col("mtime_ns").alias("updated_ns"), "failure_reason")
+    return x.select(node_id(F.col("library_id"), F.col("path")).alias("node_id"), "library_id", "path", "kind", theme(F.col("path"), themes or []).alias("theme"), "state", chunks.cast("int").alias("chunks"), F.col("mtime_ns").alias("updated_ns"), "failure_reason")
 
 
 def page_nodes(nodes: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,9 +96,9 @@ def hubs(e: DataFrame, most: int = CONF.hubs) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node_id").limit(most)
 
 
-def graph(included: DataFrame, manifest: DataFrame, links: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph(included: DataFrame, manifest: DataFrame, links: DataFrame, pages: DataFrame, themes: list[tuple[str, list[str]]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes with is_hub, edges, stats: nodes and edges counted)."""
-    nodes, page_edges = page_nodes(document_nodes(included, manifest), pages)
+    nodes, page_edges = page_nodes(document_nodes(included, manifest, themes), pages)
     e = link_edges(links, included).unionByName(page_edges)
     top = hubs(e).select("node_id", F.lit(True).alias("is_hub"))
     nodes = nodes.join(F.broadcast(top), "node_id", "left").withColumn("is_hub", F.coalesce("is_hub", F.lit(False)))

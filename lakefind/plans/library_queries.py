@@ -371,7 +371,11 @@ def image_page_routes(spark, d):
     return big.select(F.col("path").cast("bigint").alias("doc"), "route", "n")
 
 
-@query()
+@query(f"""with recursive {FILES}, n as (select library_id, path, n_chars % 90 as pages, row_number() over (partition by library_id order by path) as i from f),
+b as (select library_id, path, pages, i, 0 as batch, 1 as n, pages as s from n where i = 1
+  union all select n.library_id, n.path, n.pages, n.i, b.batch + (b.n >= 20 or b.s + n.pages > 200)::int, case when b.n >= 20 or b.s + n.pages > 200 then 1 else b.n + 1 end, case when b.n >= 20 or b.s + n.pages > 200 then n.pages else b.s + n.pages end
+  from b join n on n.library_id = b.library_id and n.i = b.i + 1)
+select library_id, path, pages, batch::int as batch from b""")
 def recognition_batches(spark, d):
     f = files(spark, d).select("library_id", "path", (F.col("n_chars") % 90).alias("pages"))
     return extract.batches(f, 20, 200)

@@ -24,7 +24,7 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 def _load() -> None:
-    from . import driver_queries, index_queries, library_queries, record_queries  # noqa: F401
+    from . import driver_queries, index_queries, library_queries, record_queries, whole_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
