@@ -17,10 +17,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import archive, catalog, chunking, conversion, integrity, links, near_duplicates, search, selection
+from .operators import advice, archive, catalog, chunking, conversion, integrity, links, near_duplicates, search, selection
 from .functions.text import tokens
 from .generations import Conflict, Log
 from .segments import KEY, Segments
+from .storage import staged
 from .sources import extract, folder as folders, pdf
 
 FILES = "library_id string, path string, size long, mtime_ns long, content_hash string, status string, failure_state string, extractor_id string, chunk_ids array<string>, targets array<string>, signature string"
@@ -226,6 +227,15 @@ class Library:
     def _statuses(self) -> dict:
         return {x.status: x["count"] for x in self.table("files").groupBy("status").count().collect()}
 
+    def preview(self, files: dict[str, str], only: str = "") -> DataFrame:
+        """What the providers make of files anywhere ({name: folder it lies in}), without touching the index (see extract.preview)."""
+        out = None
+        for name, folder in files.items():
+            one = self.spark.createDataFrame([(self.id, name, None)], "library_id string, path string, content_hash string")
+            got = extract.preview(folders.contents(one, folder), self.providers, only)
+            out = got if out is None else out.unionByName(got)
+        return out
+
     def sync(self) -> dict:
         """A round over the folder and with the rules of the published one; skipped where none is known or the folder is suddenly empty."""
         e = self.state()
@@ -250,8 +260,8 @@ class Library:
         return self.table("files").filter("status <> 'indexed'").groupBy("library_id", "failure_state").agg(F.count(F.lit(1)).alias("files"))
 
     def stats(self) -> DataFrame:
-        """(library_id, files, indexed, chunks) of the published generation."""
-        return self.table("files").groupBy("library_id").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "indexed").alias("indexed"), F.sum(F.size("chunk_ids")).alias("chunks"))
+        """(library_id, files, indexed, failed, chunks, newest, searchable) of the published generation."""
+        return integrity.library_rows(self.table("files"))
 
     def drift(self) -> DataFrame:
         have = self.table("vectors").groupBy("library_id").agg(F.count(F.lit(1)).alias("actual"))
@@ -329,6 +339,17 @@ class Catalogue:
         first = asked(queries)
         return search.second_pass(first, lambda q: asked(q.withColumn("text", rewrite(F.col("text")))), queries) if rewrite else first
 
+    def ask(self, queries: DataFrame, names: str = "", exclude: str = "", options: search.Options | None = None, **how) -> tuple[DataFrame, DataFrame]:
+        """(results, advice) of queries: what search finds, folders that have changed indexed first, and what to make of it (query_id, rules, lines)."""
+        options = options or search.Options()
+        results = staged(self.search(queries, names, exclude, options, **({"sync": True} | how)))
+        everything = replace(options, drop=0.0, top_k=1)
+        none = queries.join(results.select("query_id").distinct(), "query_id", "left_anti")
+        # of queries without results: whether anything was found below the limit
+        seen = self.search(none, names, exclude, everything).select("query_id").distinct().withColumn("n", F.lit(1)) if options.drop > 0 else none.limit(0).select("query_id").withColumn("n", F.lit(1))
+        empty = none.select("query_id").join(seen, "query_id", "left").select("query_id", F.when(F.col("n") > 0, "all-below-drop-threshold").otherwise("no-score").alias("reason"))
+        return results, advice.advise(queries, results, empty, options.top_k, options.body)
+
     def _stats(self, ls: list[Library]) -> DataFrame:
         out = ls[0].lexical_stats()
         for x in ls[1:]:

@@ -115,7 +115,12 @@ def _written(store, docs, marks):
 
 @query(f"with {BM25} select query_id, library_id, id, score, rank::int as rank from (select *, row_number() over (partition by query_id, library_id order by score desc, id) as rank from sc) where rank <= 10")
 def stored_bm25(spark, d):
-    """BM25 over segments: all documents, half of them with words that aren't theirs; then those made anew; then merged or not, as sizes say."""
+    """BM25 over stored segments (see stored)."""
+    return stored(spark, d).search(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+def stored(spark, d) -> search.Stored:
+    """Segments of postings: all documents, half of them with words that aren't theirs; then those made anew; then merged or not, as sizes say."""
     schemas = {k: TABLES[k].replace("id string, tf", "id long, tf").replace("id string, dl", "id long, dl") for k in ("lengths", "postings")}
     store = Segments(spark, f"{shared_root(spark)}/segments-{uuid.uuid4().hex}", schemas)
     docs = files(spark, d)
@@ -123,5 +128,4 @@ def stored_bm25(spark, d):
     first = _written(store, docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("before "), F.reverse("text"))).otherwise(F.col("text"))), later.limit(0))
     listed = store.merged([first, _written(store, later, later)], {"postings": "bucket"}, set())
     n = store.read("lengths", listed).groupBy("library_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    stored = search.Stored(store.read("postings", listed), n, bucket)
-    return stored.search(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return search.Stored(store.read("postings", listed), staged(n), bucket)

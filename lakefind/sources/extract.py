@@ -6,7 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -136,6 +136,19 @@ def extracted(files: DataFrame, providers: list[Provider], cache: DataFrame | No
     return hit.unionByName(chained(rest, attempted(rest, providers)))
 
 
+def preview(files: DataFrame, providers: list[Provider], only: str = "") -> DataFrame:
+    """Files (library_id, path, content_hash, content) tried without any index: ok, text, chars, reason and route of each.
+
+    The chain is that of a round; only names a provider that is tried alone, active or not. Nothing is read from a cache or written."""
+    if only:
+        providers = [replace(p, active=True) for p in providers if p.name == only]
+    x = extracted(files, providers)
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    known = ext.isin(sorted({f for p in providers if p.active for f in p.formats}))
+    reason = F.when(~known, F.concat(F.lit("no provider for ."), ext)).otherwise(F.col("failure_state"))
+    return x.select("library_id", "path", F.col("text").isNotNull().alias("ok"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), reason.alias("reason"), F.coalesce("provider", F.lit("-")).alias("route"))
+
+
 def pruned(cache: DataFrame, settled: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """The cache rows (content_hash, route, text, written) that stay: not settled by a published index, and younger than `days`."""
     return cache.join(settled.select("content_hash").distinct(), "content_hash", "left_anti").filter(F.col("written") >= now - F.make_interval(days=F.lit(days)))

@@ -208,3 +208,20 @@ def test_sync_before_search(spark, tmp_path):
     assert cat.sync()["l"] == {"skipped": "emptied"} and best() == ["b.md"]
     odd = spark.createDataFrame([(1, "zzz")], "query_id long, text string")
     assert cat.search(odd, rewrite=lambda t: F.lit("engine")).count() > 0
+
+
+def test_ask_and_preview(spark, tmp_path):
+    src = str(tmp_path / "src")
+    write(src, "a.md", "the engine of the boat")
+    write(src, "x.docx", "broken")
+    lib = Library(spark, str(tmp_path / "index"), "l", counted)
+    tried = {r.path: (r.ok, r.chars, r.reason, r.route) for r in lib.preview({"a.md": src, "x.docx": src, "none.md": src, "b.zip": src}).collect()}
+    assert tried == {"a.md": (True, 22, None, "text"), "x.docx": (False, 0, "extract-failed", "docx"), "none.md": (False, 0, "unreadable", "text"), "b.zip": (False, 0, "no provider for .zip", "-")}
+    assert lib.preview({"a.md": src}, only="docx").first().reason == "no provider for .md" and lib.state() == {}
+    lib.index(src, rules(spark))
+    write(src, "b.md", "a garden of stones")
+    q = spark.createDataFrame([(1, "garden"), (2, "")], "query_id long, text string")
+    results, advice = Catalogue([lib]).ask(q, options=search.Options(top_k=2))
+    assert "b.md" in {r.path for r in results.collect()} and {r.query_id for r in advice.collect()} == {1, 2}
+    nothing = Catalogue([lib]).ask(q, options=search.Options(top_k=2, drop=1.1))
+    assert nothing[0].count() == 0 and {r.query_id: r.rules[0] for r in nothing[1].collect()}[1] == "empty-dropped"
