@@ -20,7 +20,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text hashed at a time; a longer document is a group of its own.
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Bytes from which on a word isn't hashed by the polynomial.
 LONG = 64
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import lean
 
 #: Rows of a map task that are compared before they go out; bounds its memory.
-BUFFER = 1 << 19
+BUFFER = 1 << 18
 SCHEMA = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("more", pa.int64()), ("state", pa.int8())])
 SPARK = "route long, key long, id long, pos long, more long, state byte"
 #: state: alone in its task; known to repeat, stands for its key; settled, only passes through.
