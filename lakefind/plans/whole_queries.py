@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import html_tables
 from ..functions import text as X
-from ..operators import chunking, comparison, embedding, integrity, lexical, links
+from ..operators import chunking, comparison, embedding, integrity, lexical, links, search
 from ..sources.tables import files, read
-from .driver_queries import BM25_ALL, FILES, _all
+from .driver_queries import BM25, BM25_ALL, FILES, _all
 from .registry import query
 
 # notes: each whole text with a link to the next document of its library before it, by name, and one to the one after that behind it, by folder
@@ -141,3 +141,34 @@ def library_overview(spark, d):
     f = files(spark, d).withColumn("status", F.when(F.col("doc_id") % 9 == 0, "failed").otherwise("indexed"))
     ids = F.transform(F.sequence(F.lit(0), F.expr("int(n_chars div 600)")), lambda i: i.cast("string"))
     return integrity.library_rows(f.withColumn("chunk_ids", ids), "doc_id")
+
+
+# a search over two libraries whose files have sections of two chunks each; a chunk is a whole text
+
+BOTH = BM25.replace("source as library_id", "'l' || (doc_id % 2) as library_id")
+D2 = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::double - b.embedding[i]::double) * (a.embedding[i]::double - b.embedding[i]::double)))"
+SECTIONS = f"""with {BOTH},
+lex as (select query_id, library_id, id, row_number() over (partition by query_id, library_id order by score desc, id::varchar) as rank from sc qualify rank <= 200),
+dense as (select a.vec_id as query_id, 'l' || (b.vec_id % 2) as library_id, b.vec_id as id, row_number() over (partition by a.vec_id, b.vec_id % 2 order by round(1 / (1 + {D2}), 6) desc, b.vec_id::varchar) as rank
+  from embeddings a join benchmark m on a.vec_id = m.item_id join embeddings b on b.vec_id in (select doc_id from documents) qualify rank <= 200),
+fused as (select query_id, library_id, id, round(sum(s), 9) as score from (select query_id, library_id, id, 1.0::double / (2 + rank) as s from lex union all select query_id, library_id, id, 0.5::double / (2 + rank) from dense) group by all),
+ranked as (select *, row_number() over (partition by query_id, library_id order by score desc, id::varchar) as rank, score / max(score) over (partition by query_id, library_id) as norm from fused),
+placed as (select *, row_number() over (partition by query_id order by norm desc, library_id, rank, id::varchar) as place from ranked),
+nth as (select *, id // 32 as path, row_number() over (partition by query_id, library_id, id // 4 order by place) as nth from placed where place <= 40 and rank <= 50),
+filed as (select *, count_if(nth = 1) over (partition by query_id, library_id, path order by place) as in_file from nth),
+told as (select *, coalesce(count_if(nth = 1 and in_file <= 3) over (partition by query_id order by place rows between unbounded preceding and 1 preceding), 0) as before from filed)"""
+
+
+@query(f"""{SECTIONS} select query_id, (before + 1)::int as position, library_id, id::varchar as id, round(least(1.0, score / (1.5 / 3)), 6) as confidence, true as backfilled, length('section ' || (id // 4)) * 40 as n_chars
+from told where nth = 1 and in_file <= 3 and before < 10""")
+def hybrid_sections(spark, d):
+    """Both lists in both libraries, fused and merged; later chunks of a section that is given whole fold into it, and a file gives three at most."""
+    doc = read(spark, d, "documents")
+    library = F.concat(F.lit("l"), (F.col("doc_id") % 2).cast("string"))
+    c = doc.select(library.alias("library_id"), F.expr("cast(doc_id div 32 as string)").alias("path"), F.expr("cast(doc_id % 32 as int)").alias("chunk_index"), F.lit(16).alias("total_chunks"), F.expr("cast(doc_id div 4 as string)").alias("section_id"), F.lit("").alias("heading"), F.col("doc_id").cast("string").alias("id"), "text", F.col("text").alias("embedded"), F.lit("").alias("anchor"))
+    sections = c.groupBy("library_id", "path", "section_id").agg(F.lit(2).cast("long").alias("chunk_count")).withColumn("text", F.repeat(F.concat(F.lit("section "), "section_id"), F.lit(40)))
+    e = read(spark, d, "embeddings")
+    v = e.select(F.concat(F.lit("l"), (F.col("vec_id") % 2).cast("string")).alias("library_id"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("v")).join(c.select("id"), "id", "left_semi")
+    q = read(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("q"))
+    r = search.search(q, c, v, sections, c.select("library_id", "path", F.lit("indexed").alias("status")).distinct(), search.Options(top_k=10, vector_weight=0.5, cap=3))
+    return r.select("query_id", "position", "library_id", "id", F.round("confidence", 6).alias("confidence"), "backfilled", F.length("text").cast("long").alias("n_chars"))
