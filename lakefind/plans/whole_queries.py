@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html_tables
 from ..functions import text as X
 from ..operators import chunking, comparison, embedding, integrity, lexical, links, search
+from ..sources import extract, pdf
 from ..sources.tables import files, read
 from .driver_queries import BM25, BM25_ALL, FILES, _all
 from .registry import query
@@ -172,3 +173,61 @@ def hybrid_sections(spark, d):
     q = read(spark, d, "benchmark").join(e, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("q"))
     r = search.search(q, c, v, sections, c.select("library_id", "path", F.lit("indexed").alias("status")).distinct(), search.Options(top_k=10, vector_weight=0.5, cap=3))
     return r.select("query_id", "position", "library_id", "id", F.round("confidence", 6).alias("confidence"), "backfilled", F.length("text").cast("long").alias("n_chars"))
+
+
+# PDF files written from whole texts, a page for each PAGE characters, and read again
+
+PAGE = 2000
+DARK = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]+"
+
+
+def _pdf(text: str, pictures: int = 0) -> bytes:
+    """A file with the text's pages; every `pictures`-th page shows a picture instead of its text."""
+    import zlib
+
+    pages = [text[k : k + PAGE] for k in range(0, max(len(text), 1), PAGE)]
+    codes = {c: k + 1 for k, c in enumerate(dict.fromkeys(text))}
+    chars = "".join(f"<{k:04x}> <{c.encode('utf-16-be', 'surrogatepass').hex()}>\n" for c, k in codes.items())
+    stream = lambda about, b: f"<< {about} /Filter /FlateDecode /Length {len(z := zlib.compress(b))} >>\nstream\n".encode() + z + b"\nendstream"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R /DescendantFonts [5 0 R] >>", 4: stream("", f"1 begincodespacerange <0000> <ffff> endcodespacerange {len(codes)} beginbfchar\n{chars}endbfchar".encode()), 5: b"<< /Type /Font /Subtype /CIDFontType2 /DW 500 >>", 6: stream("/Type /XObject /Subtype /Image /Width 1 /Height 1", b"\0")}
+    for n, page in enumerate(pages):
+        lines = [page[k : k + 80] for k in range(0, len(page), 80)]
+        shown = "BT /F 9 Tf 11 TL 40 780 Td " + " ".join(f"<{''.join(f'{codes[c]:04x}' for c in line)}> Tj T*" for line in lines) + " ET"
+        if pictures and (n + 1) % pictures == 0:
+            shown = "q 600 0 0 800 0 0 cm /I Do Q"
+        objects[10 + 2 * n] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * n} 0 R >>".encode()
+        objects[11 + 2 * n] = stream("", shown.encode())
+    kids = " ".join(f"{10 + 2 * n} 0 R" for n in range(len(pages)))
+    objects[2] = f"<< /Type /Pages /MediaBox [0 0 600 800] /Resources << /Font << /F 3 0 R >> /XObject << /I 6 0 R >> >> /Count {len(pages)} /Kids [{kids}] >>".encode()
+    data, at = b"%PDF-1.5\n", {}
+    for n in sorted(objects):
+        at[n] = len(data)
+        data += f"{n} 0 obj\n".encode() + objects[n] + b"\nendobj\n"
+    rows = "".join(f"{at[n]:010d} 00000 n \n" if n in at else "0000000000 65535 f \n" for n in range(max(objects) + 1))
+    return data + f"xref\n0 {max(objects) + 1}\n{rows}trailer\n<< /Size {max(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(data)}\n%%EOF".encode()
+
+
+def _pdf_pages(spark, d, pictures=0):
+    def run(batches):
+        for b in batches:
+            yield b.assign(content=[_pdf(t or "", pictures) for t in b["text"]])[["library_id", "path", "content_hash", "content"]]
+
+    f = files(spark, d).select("library_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.lit("").alias("content_hash"), "text")
+    return pdf.classified(pdf.pages(f.mapInPandas(run, "library_id string, path string, content_hash string, content binary")))
+
+
+@query(f"select doc_id || '.pdf' as path, greatest(1, ceil(length(coalesce(text, '')) / {PAGE}.0))::int as pages, sha256(regexp_replace(coalesce(text, ''), '{DARK}', '', 'g')) as chars from documents")
+def pdf_text_layer(spark, d):
+    """Whole texts as PDF files, read back page by page: the same characters but for white space."""
+    p = _pdf_pages(spark, d)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
+    g = p.groupBy("path").agg(F.max("pages").alias("pages"), text.alias("text"))
+    return g.select("path", "pages", F.sha2(F.regexp_replace("text", r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]+", ""), 256).alias("chars"))
+
+
+@query(f"""with p as (select source as library_id, doc_id || '.pdf' as path, greatest(1, ceil(length(coalesce(text, '')) / {PAGE}.0))::int // 3 as n from documents)
+select library_id, path, case when n = 0 then 'text' when n <= 5 then 'ocr' else 'text' end as route, case when n > 5 then 'too-many-pages' end as missing_reason, n::bigint as n from p""")
+def pdf_page_routes(spark, d):
+    """Where the picture pages of files go that show a picture on every third page."""
+    p = _pdf_pages(spark, d, pictures=3).filter("page is not null")
+    return extract.routed(p.select("library_id", "path", "page", "kind"), 5)
