@@ -24,7 +24,7 @@ from .segments import KEY, Segments
 from .storage import staged
 from .sources import extract, folder as folders, pdf
 
-FILES = "library_id string, path string, size long, mtime_ns long, content_hash string, status string, failure_state string, extractor_id string, chunk_ids array<string>, targets array<string>, signature string"
+FILES = "library_id string, path string, size long, mtime_ns long, content_hash string, status string, failure_state string, extractor_id string, chunk_ids array<string>, targets array<string>, signature string, missing_pages array<int>, missing_reason string"
 TABLES = {
     "files": FILES,
     "texts": "library_id string, path string, text string",
@@ -36,7 +36,7 @@ TABLES = {
 }
 #: Folders that postings lie in by a hash of their terms; files of a wave of extraction; seconds that data no newest entry names is kept for readers.
 BUCKETS, WAVE, RETAIN = 64, 5000, 24 * 3600
-STASH = f"{extract.TEXT_ROW}, route string, written timestamp"
+STASH = f"{extract.TEXT_ROW}, image_pages array<int>, route string, written timestamp"
 #: Versions of what makes chunks and texts: another one makes a library anew.
 SIGNATURES = {"chunker": "1", "cleaning": "1"}
 
@@ -146,21 +146,35 @@ class Library:
     def _texts(self, fresh: DataFrame, base: str, name: str) -> DataFrame:
         """Texts of files, from the stash where it has them; what is extracted goes there wave by wave."""
         cache = self._stash()
-        known = cache.filter("text is not null").select("content_hash", "route", "text").dropDuplicates(["content_hash", "route"])
+        known = cache.filter("text is not null").select("content_hash", "route", "text", "image_pages").dropDuplicates(["content_hash", "route"])
         waves, out = max(1, -(-fresh.count() // WAVE)), None
         ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
         routes = F.create_map(*(x for p in self.providers for x in (F.lit(p.name), F.lit(f"{p.name}:{p.version}")))) if self.providers else F.create_map().cast("map<string,string>")
         lookup = self.spark.createDataFrame([(e, f"{p.name}:{p.version}", p.name, n) for n, p in enumerate(self.providers) if p.active for e in p.formats], "ext string, route string, provider string, n int")
         have = fresh.withColumn("ext", ext).join(F.broadcast(lookup), "ext").join(known, ["content_hash", "route"])
-        have = have.groupBy(*KEY, "content_hash").agg(F.min_by(F.struct("text", "provider"), "n").alias("t")).select(*KEY, "content_hash", "t.text", F.lit(None).cast("string").alias("failure_state"), "t.provider")
+        have = have.groupBy(*KEY, "content_hash").agg(F.min_by(F.struct("text", "provider", "image_pages"), "n").alias("t")).select(*KEY, "content_hash", "t.text", F.lit(None).cast("string").alias("failure_state"), "t.provider", "t.image_pages")
         rest = fresh.join(have.select(*KEY), KEY, "left_anti")
         for w in range(waves):
             part = folders.contents(folders.split(rest, waves, w), base)
-            rows = extract.extracted(part, self.providers).withColumn("route", F.try_element_at(routes, F.col("provider"))).withColumn("written", F.current_timestamp())
+            rows = self._extracted(part).withColumn("route", F.try_element_at(routes, F.col("provider"))).withColumn("written", F.current_timestamp())
             made = self._kept(rows, f"{self.root}/stash/{name}-{w}").drop("route", "written")
             out = made if out is None else out.unionByName(made)
         return have.unionByName(out)
 
+    def _extracted(self, files: DataFrame) -> DataFrame:
+        """Texts of files, and of PDF files whose text layer is read first the pages that are pictures. Files that have none are left to other providers, if there are any."""
+        none = F.lit(None).cast("array<int>").alias("image_pages")
+        active = [p for p in self.providers if p.active and "pdf" in p.formats]
+        if not active or active[0] is not pdf.PDF:
+            return extract.extracted(files, self.providers).select("*", none)
+        is_pdf = F.lower("path").endswith(".pdf")
+        read = pdf.documents(pdf.classified(pdf.pages(files))).select(*KEY, "content_hash", "text", "failure_state", F.lit(pdf.PDF.name).alias("provider"), "image_pages")
+        out = extract.extracted(files.filter(~is_pdf), self.providers).select("*", none)
+        if len(active) > 1:
+            left = files.join(read.filter("text is null").select(*KEY), KEY, "left_semi")
+            read = read.filter("text is not null").unionByName(extract.extracted(left, [p for p in self.providers if p is not pdf.PDF]).select("*", none))
+        return out.unionByName(read)
+
     def _stash(self) -> DataFrame:
         fs, path = self._fs(f"{self.root}/stash")
         whole = [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(self._fs(f"{s.getPath()}/_SUCCESS")[1])] if fs.exists(path) else []
@@ -174,8 +188,8 @@ class Library:
         # texts that are only cut again come from the published ones
         again = self.segments.read("texts", old).join(todo.filter("needs_chunks and not needs_source").select(*KEY), KEY, "left_semi")
         records = self.segments.read("files", old, records=True)
-        known = records.select(*KEY, "content_hash", F.col("extractor_id").alias("provider"))
-        texts = texts.unionByName(again.join(known, KEY).select(*KEY, "content_hash", "text", F.lit(None).cast("string").alias("failure_state"), "provider"))
+        known = records.select(*KEY, "content_hash", F.col("extractor_id").alias("provider"), "missing_pages")
+        texts = texts.unionByName(again.join(known, KEY).select(*KEY, "content_hash", "text", F.lit(None).cast("string").alias("failure_state"), "provider", F.col("missing_pages").alias("image_pages")))
         texts = self._kept(texts, f"{self.root}/work/{name}/texts")
         full = texts.filter("text is not null").select(*KEY, "text")
         put("texts", full)
@@ -190,7 +204,10 @@ class Library:
         put("postings", post.repartition("bucket").sortWithinPartitions("bucket", "term", "id"), "bucket")
         ids = chunks.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "id"))), lambda s: s["id"]).alias("chunk_ids"))
         out = links.wikilinks(full).groupBy(*KEY).agg(F.array_sort(F.collect_set("target")).alias("targets"))
-        f = texts.select(*KEY, "failure_state", F.col("provider").alias("extractor_id"), (F.col("text").isNotNull()).alias("ok")).join(seen.select(*KEY, "size", "mtime_ns", "content_hash", "signature"), KEY).join(ids, KEY, "left").join(out, KEY, "left")
+        # no provider here recognises pictures, so their pages wait for what can
+        pictured = F.size("image_pages") > 0
+        lacks = (F.when(pictured, F.col("image_pages")).alias("missing_pages"), F.when(pictured, F.lit("ocr-off")).alias("missing_reason"))
+        f = texts.select(*KEY, "failure_state", F.col("provider").alias("extractor_id"), (F.col("text").isNotNull()).alias("ok"), *lacks).join(seen.select(*KEY, "size", "mtime_ns", "content_hash", "signature"), KEY).join(ids, KEY, "left").join(out, KEY, "left")
         none = F.array().cast("array<string>")
         f = f.withColumn("status", F.when(F.col("ok"), "indexed").otherwise("failed")).withColumn("chunk_ids", F.coalesce("chunk_ids", none)).withColumn("targets", F.coalesce("targets", none))
         now = touched.select(*KEY, "size", "mtime_ns", "content_hash")
@@ -212,7 +229,7 @@ class Library:
     def _settle(self, entry: dict) -> None:
         """Stashed texts of published files go; so does data that neither the newest entry nor the one before names, once it is old."""
         stash, fs = self._stash(), self._fs(self.root)[0]
-        left = extract.pruned(stash.select("content_hash", "route", "text", "written", *KEY, "failure_state", "provider"), self.table("files", entry["generation"]), F.current_timestamp())
+        left = extract.pruned(stash.select("content_hash", "route", "text", "written", *KEY, "failure_state", "provider", "image_pages"), self.table("files", entry["generation"]), F.current_timestamp())
         path = self._fs(f"{self.root}/stash")[1]
         before = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
         if before:
@@ -278,9 +295,9 @@ class Library:
 
     def conversions(self, pages: DataFrame) -> DataFrame:
         f = self.table("files")
-        more = {"failure_reason": "string", "failure_detail": "string", "missing_pages": "array<int>", "missing_reason": "string", "ocr_pages": "array<int>", "ocr_by": "string"}
+        more = {"failure_reason": "string", "failure_detail": "string", "ocr_pages": "array<int>", "ocr_by": "string"}
         cache = self.table("texts").select(*KEY, F.col("path").alias("text_file"), F.octet_length("text").alias("text_bytes"), F.lit(None).cast("timestamp").alias("text_updated"))
-        return conversion.entries(f.select(*KEY), f.select(*KEY, "status", "failure_state", "extractor_id", *(F.lit(None).cast(t).alias(c) for c, t in more.items())), cache, pages)
+        return conversion.entries(f.select(*KEY), f.select(*KEY, "status", "failure_state", "extractor_id", "missing_pages", "missing_reason", *(F.lit(None).cast(t).alias(c) for c, t in more.items())), cache, pages)
 
     def export(self, root: str) -> dict:
         v = self.table("vectors").drop("path").join(self.table("chunks").select("id", "path", "chunk_index", "text"), "id")

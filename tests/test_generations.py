@@ -225,3 +225,28 @@ def test_ask_and_preview(spark, tmp_path):
     assert "b.md" in {r.path for r in results.collect()} and {r.query_id for r in advice.collect()} == {1, 2}
     nothing = Catalogue([lib]).ask(q, options=search.Options(top_k=2, drop=1.1))
     assert nothing[0].count() == 0 and {r.query_id: r.rules[0] for r in nothing[1].collect()}[1] == "empty-dropped"
+
+
+def test_pages_that_are_pictures_are_recorded(spark, tmp_path):
+    from test_pdf import LINES, content, objects, plain_file, stream
+
+    src = tmp_path / "src"
+    src.mkdir()
+    picture = {8: stream("/Type /XObject /Subtype /Image /Width 1 /Height 1", b"\0")}
+    shown = b"q 600 0 0 800 0 0 cm /Im Do Q"
+    file = lambda pages: plain_file(objects(pages, more=picture, xobjects="/Im 8 0 R"))
+    (src / "mixed.pdf").write_bytes(file([content(LINES[0]), shown, content(LINES[1])]))
+    (src / "scan.pdf").write_bytes(file([shown, shown]))
+    (src / "bad.pdf").write_bytes(b"%PDF-1.4 nothing")
+    (src / "a.md").write_text("the engine")
+    some = spark.createDataFrame([("l", [], [], [], [], [], [".md", ".pdf"], "follow")], RULES)
+    lib = Library(spark, str(tmp_path / "index"), "l", counted)
+    r = lib.index(str(src), some)
+    assert (r["indexed"], r["failed"]) == (2, 2)
+    got = {x.path: (x.status, x.failure_state, x.missing_pages, x.missing_reason, x.extractor_id) for x in lib.table("files").collect()}
+    assert got == {"mixed.pdf": ("indexed", None, [2], "ocr-off", "pdf-text"), "scan.pdf": ("failed", "scanned", [1, 2], "ocr-off", "pdf-text"), "bad.pdf": ("failed", "extract-failed", None, None, "pdf-text"), "a.md": ("indexed", None, None, None, "text")}
+    assert lib.index(str(src), some)["generation"] == 1, "what can be done is the same, so nothing is tried again"
+    seen = extract.Provider("pictures", ("pdf",), lambda data: "recognised text")
+    more = Library(spark, str(tmp_path / "index"), "l", counted, [*lib.providers, seen])
+    assert more.index(str(src), some)["indexed"] == 4
+    assert {x.path: x.extractor_id for x in more.table("files").collect()} == {"mixed.pdf": "pdf-text", "scan.pdf": "pictures", "bad.pdf": "pictures", "a.md": "text"}
