@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, parts, slices, staged, table
+from .common import kept, lean, parts, slices, staged, table
 
 #: Pairs that are sent to every task, at most; distinct pairs that a map task adds up before it sends them on.
 HOT, HELD = 1 << 20, 1 << 20
@@ -164,15 +164,9 @@ class Aligned:
         return [hashlib.sha256(b"".join(words[x:y])[:-1]).hexdigest() if y > x else "" for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-_LOADED: dict[str, Worker] = {}
-
-
 def _worker(sent) -> Worker:
     a, b, name = sent.value
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = Worker(a, b)
-    return _LOADED[name]
+    return kept(f"alignment {name}", lambda: Worker(a, b))
 
 
 #: pairs: the document's distinct keys in order; often: how many links have each; both little-endian.
@@ -295,7 +289,7 @@ def aligned(docs: DataFrame, a: ByteLevel, b: Pieces, id_col: str = "doc_id", te
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(d.dtypes)["id"]
     tokenizers = spark.sparkContext.broadcast((a, b, hashlib.md5(repr((a.tokens, b.tokens)).encode()).hexdigest()))
-    linked = staged(d.mapInArrow(lean(_aligner(tokenizers)), DOC.format(kind)), compression="zstd")
+    linked = staged(d.mapInArrow(lean(_aligner(tokenizers), keeps=True), DOC.format(kind)), compression="zstd")
     counts = pair_counts(linked)
     *sent, whole = hot_pairs(counts, hot)
     out = linked.mapInArrow(lean(_settled(spark.sparkContext.broadcast(tuple(sent)))), f"row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, pair array<long>, often array<long>")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, slices, table
+from .common import kept, lean, slices, table
 
 #: Pre-tokens a worker remembers, twice: as many again from before.
 MEMO = 75_000
@@ -138,15 +138,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def _worker(sent) -> Bpe:
     ranks, pattern, name = sent.value
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = Bpe(ranks, pattern)
-    return _LOADED[name]
+    return kept(f"bpe {name}", lambda: Bpe(ranks, pattern))
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +154,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())], names=["id", "ids", "decoded"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(lean(run), f"id {dict(d.dtypes)['id']}, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return d.mapInArrow(lean(run, keeps=True), f"id {dict(d.dtypes)['id']}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

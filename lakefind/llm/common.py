@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +66,24 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run):
-    """A function for mapInArrow that gives its memory back when a task ends: workers are used again by later stages."""
+#: What a worker keeps from task to task, one thing at a time: what is dear to make.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """The thing of that name, made unless the worker still has it; another one goes."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def lean(run, keeps: bool = False):
+    """A function for mapInArrow that gives its memory back when a task ends: workers are used again by later stages. What a worker has kept goes before a task that keeps nothing."""
 
     def f(batches):
+        if not keeps:
+            _KEPT.clear()
         try:
             yield from run(batches)
         finally:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean, parts, staged, table
+from .common import kept, lean, parts, staged, table
 
 #: Rows of the sample that cells and first floors come from; rows of a block; bytes of anchors in a round; rows of leaves of the anchors' and of a block's tree.
 SAMPLE, BLOCK, ROUND, LEAVES = 4096, 8192, 16 << 20, (64, 128)
@@ -213,17 +213,15 @@ def _columns(b: pa.RecordBatch, dim: int, exact: bool) -> tuple:
     return b.column("uid").to_numpy(), b.column("id").fill_null(NO_ID).to_numpy(), b.column("label").to_numpy(), _matrix(b.column("v"), dim, exact)
 
 
-_TREES: dict[str, Anchors] = {}
+def _grown(a: Anchors) -> Anchors:
+    a.trees()
+    return a
 
 
 def _searcher(sent, per: int, dim: int, exact: bool):
     def run(batches):
         a = sent.value
-        if a.name not in _TREES:
-            _TREES.clear()
-            a.trees()
-            _TREES[a.name] = a
-        search, held, n = Search(_TREES[a.name], per), [], 0
+        search, held, n = Search(kept(f"anchors {a.name}", lambda: _grown(a)), per), [], 0
         for b in batches:
             held.append(b)
             n += b.num_rows
@@ -320,7 +318,7 @@ def _floors(a: Anchors, sample: tuple, per: int) -> None:
 
 def _round(index: DataFrame, a: Anchors, sample: tuple, per: int, low: int, high: int, dim: int, exact: bool) -> DataFrame:
     sc = index.sparkSession.sparkContext
-    run = lambda: _best(index.select("uid", "id", "label", "v").mapInArrow(lean(_searcher(sc.broadcast(a), per, dim, exact)), FOUND), per)
+    run = lambda: _best(index.select("uid", "id", "label", "v").mapInArrow(lean(_searcher(sc.broadcast(a), per, dim, exact), keeps=True), FOUND), per)
     _floors(a, sample, per)
     found = run().collect()  # `per` rows for each anchor of the round
     score = np.full((len(a.uid), per), -1, object)
