@@ -66,6 +66,12 @@ def give_back() -> None:
         trim(0)
 
 
+def swept(spark: SparkSession) -> None:
+    """Between rounds: the driver collects its garbage, so that what Spark holds for tables and broadcasts of finished rounds goes, on executors too."""
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 #: What a worker keeps from task to task, one thing at a time: what is dear to make.
 _KEPT: dict[str, object] = {}
 

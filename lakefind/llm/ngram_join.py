@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing as H
-from .common import fits_broadcast, give_back, lean, looked_up, parts, staged, table
+from .common import fits_broadcast, lean, looked_up, parts, staged, swept, table
 from .components import components
 from .repeats import repeated
 
@@ -91,15 +91,17 @@ def _sum_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def _token_counts(profile: DataFrame) -> np.ndarray:
-    """The counters over all documents: 2**SKETCH numbers, whatever the size of the corpus."""
+def _token_counts(profile: DataFrame) -> tuple[np.ndarray, float]:
+    """The counters over all documents, up to what 32 bits hold: 2**SKETCH numbers, whatever the size of the corpus; and their mean."""
     rows = profile.filter("chunk is not null").select("chunk", "counts")
     rows = rows.mapInArrow(lean(_sum_counts), "chunk int, counts binary").repartition(1 << CHUNKS, "chunk").mapInArrow(lean(_sum_counts), "chunk int, counts binary")
-    out = np.zeros((1 << CHUNKS, 1 << (SKETCH - CHUNKS)), np.uint64)
+    out, total = np.zeros((1 << CHUNKS, 1 << (SKETCH - CHUNKS)), np.uint32), 0
     for r in rows.collect():
-        out[r.chunk] = np.frombuffer(r.counts, np.uint64)
-    give_back()
-    return out.ravel()
+        c = np.frombuffer(r.counts, np.uint64)
+        total += int(c.sum())
+        out[r.chunk] = np.minimum(c, np.iinfo(np.uint32).max)
+    swept(profile.sparkSession)
+    return out.ravel(), total / out.size
 
 
 def signatures(tokens: np.ndarray, count: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,11 +183,11 @@ class Join:
         arrow_id = to_arrow_type(self.docs.schema["id"].dataType)
         hashed = self.docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
         both = staged(hashed.mapInArrow(lean(_profile(width, arrow_id)), f"id {id_type}, th long, n long, set long, chunk int, counts binary"))
-        counts = _token_counts(both)
+        counts, mean = _token_counts(both)
         self.profile = both.filter("chunk is null").select("id", "th", "n", "set")
         # frequent: clearly above what chance gives a counter, and in one of 200 documents
-        frequent = int(max(4 * counts.mean() + 64, self.profile.count() / 200))
-        sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
+        frequent = int(max(4 * mean + 64, self.profile.count() / 200))
+        sent = docs.sparkSession.sparkContext.broadcast(counts)
         self.members = staged(repeated(self.docs.select("text"), _signed(width, percent, sent, frequent), self.n_parts).select("key", "id", F.shiftright("pos", 32).alias("n"), F.col("pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("e")).groupBy("key", "id", "n").agg(F.max("e").alias("e")))
         self.sets = self._candidate_sets()
 
@@ -241,6 +243,7 @@ class Join:
         rows = staged(self.groups().withColumn("d", F.lit(None).cast("double")))
         bound, labels = 100 * self.members.count(), None
         for k in range(ROUNDS):
+            swept(self.docs.sparkSession)
             if labels is None:
                 at = rows.withColumn("label", F.col("id")).withColumn("lc", F.col("c"))
                 orders = [F.col("o")]
