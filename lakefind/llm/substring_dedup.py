@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import parts, staged, table, text_or_empty
+from .common import parts, staged, swept, table, text_or_empty
 from .repeats import repeated
 
 #: Perfect difference sets: every residue modulo the period is a difference of two members.
@@ -121,10 +121,13 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = d.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     hits = repeated(d.select("t1", "text"), _anchors(width), n).groupBy(F.col("id").alias("t1")).agg(F.collect_set("pos").alias("hits"))
     hits = staged(hits)
+    swept(docs.sparkSession)  # the anchors' shuffle is done with
     # which row of equal texts is read doesn't matter: equal (text, start) counts once
     found = repeated(d.join(hits, "t1").select("t1", "text", "hits"), _candidates(width), n)
     found = found.groupBy(F.col("id").alias("t1")).agg(F.collect_set("pos").alias("starts"))
-    return copies.select("t1", "t2", "copies").join(staged(found), "t1", "left")
+    found = staged(found)
+    swept(docs.sparkSession)
+    return copies.select("t1", "t2", "copies").join(found, "t1", "left")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
