@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -67,7 +69,12 @@ def give_back() -> None:
 
 
 def swept(spark: SparkSession) -> None:
-    """Between rounds: the driver collects its garbage, so that what Spark holds for tables and broadcasts of finished rounds goes, on executors too."""
+    """Between rounds: the driver collects its garbage, so that what Spark holds for tables and broadcasts of finished rounds goes, on executors too.
+
+    Twice: what the scheduler still holds when a job has just ended goes the second time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
     give_back()
 
