@@ -66,8 +66,10 @@ class Stored:
     bucket: Callable[[str], Column]
 
     def search(self, queries: DataFrame, top_k: int) -> DataFrame:
-        """As lexical.bm25 of queries (query_id, text): only the folders of their terms are read, and postings aren't shuffled before terms have met them."""
+        """As lexical.bm25 of queries (query_id, text): only the folders of their terms are read; postings that terms have met are put together by document, and a task gives its best rows."""
         q = lexical.query_terms(queries, "query_id")
+        if (asked := lexical.Asked.of(q)) is not None and (found := asked.best(asked.gathered(self.postings, self.bucket), top_k, self.stats)) is not None:
+            return found
         terms = q.select("term").distinct()
         buckets = [r[0] for r in terms.select(self.bucket("term")).distinct().collect()]
         small = terms.limit(lexical.TERMS + 1).count() <= lexical.TERMS
