@@ -10,17 +10,16 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import CONF
-from . import lexical
+from . import lexical, vector
 
 #: Rows that centres are trained on; cells at most (every task holds the centres); rounds of training; rows that the number of probes is measured with, and against how many.
 SAMPLE, CELLS, STEPS, ASKED, AGAINST = 32_768, 4096, 12, 256, 16_384
-#: Queries sent to the tasks at once; rows of a block and queries that meet it in one group of a join.
+#: Queries sent to the tasks at once; of them and of rows, so many at once in a task where queries probe some cells only.
 ROUND, BLOCK, GROUP = 20_000, 4096, 4096
 
 
@@ -63,20 +62,6 @@ def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, 6)
 
 
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, id, score) of the k best of each row of s, ties by id."""
-    if s.shape[1] > k:
-        edge = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
-        i, j = np.nonzero(s >= edge[:, None])
-    else:
-        i, j = np.nonzero(np.isfinite(s))
-    order = np.lexsort((ids[j], -s[i, j], i))
-    i, j = i[order], j[order]
-    first = np.searchsorted(i, i)
-    keep = np.arange(len(i)) - first < k
-    return i[keep], ids[j[keep]], s[i[keep], j[keep]]
-
-
 class VectorIndex:
     """Folders: cells (cell, centre), rows/cell=n (id, v), about (one line of json)."""
 
@@ -137,65 +122,47 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """queries (query_id, q) -> (query_id, id, score, rank). probes: cells a query looks into; without one as many as were measured."""
         about, centres = self.about(), self._centres()
-        q = queries.select("query_id", "q").filter("query_id is not null and q is not null")
-        rounds = max(1, -(-q.count() // ROUND))
         found = self.spark.createDataFrame([], "query_id long, id long, score double")
-        for r in range(rounds):
-            rows = (q.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) if rounds > 1 else q).collect()
-            if rows and len(centres):
-                found = found.unionByName(self._found(np.array([x.query_id for x in rows], np.int64), np.array([x.q for x in rows], np.float64), centres, k, probes or about["probes"], about["metric"]))
+        if len(centres):
+            for qid, q, _ in vector.rounds_of(queries, ROUND):
+                found = found.unionByName(self._found(qid, q, centres, k, probes or about["probes"], about["metric"]))
         return lexical.top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
     def _found(self, qid: np.ndarray, q: np.ndarray, centres: np.ndarray, k: int, probes: int, metric: str) -> DataFrame:
-        near = _nearest_cells(_unit(q, metric), centres, min(probes, len(centres)))
-        by_cell = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+        by_cell = None
+        if probes < len(centres):
+            near = _nearest_cells(_unit(q, metric), centres, probes).ravel()
+            order = np.argsort(near, kind="stable")
+            cell, start = np.unique(near[order], return_index=True)
+            by_cell = {int(c): np.sort(o // probes) for c, o in zip(cell, np.split(order, start[1:]), strict=True)}
         sent = self.spark.sparkContext.broadcast((qid, q, by_cell))
 
         def run(batches):
             qid, q, by_cell = sent.value
+            near = vector.Nearest(q, k, metric)
             for b in batches:
+                ids, v = b.column("id").to_numpy(), vector.matrix(b.column("v"))
+                if by_cell is None:
+                    near.put(ids, v)
+                    continue
                 cell = b.column("cell").to_numpy()
-                ids, v = b.column("id").to_numpy(), np.array(b.column("v").to_pylist(), np.float64)
                 for c in np.unique(cell):
-                    on, at = by_cell.get(int(c)), np.flatnonzero(cell == c)
-                    if on is not None:
-                        i, found, s = _best(scores(q[on], v[at], metric), ids[at], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(qid[on[i]]), pa.array(found), pa.array(s)], names=["query_id", "id", "score"])
+                    if (on := by_cell.get(int(c))) is not None:
+                        at = np.flatnonzero(cell == c)
+                        for a in range(0, len(at), BLOCK):
+                            for g in range(0, len(on), GROUP):
+                                near.put(ids[at[a : a + BLOCK]], v[at[a : a + BLOCK]], on[g : g + GROUP])
+            i, ids, s = near.best()
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids), pa.array(s)], names=["query_id", "id", "score"])
 
-        return self.rows(sorted(by_cell)).mapInArrow(run, "query_id long, id long, score double")
+        return self.rows(by_cell and sorted(by_cell)).mapInArrow(run, "query_id long, id long, score double")
 
     def neighbours(self, k: int, probes: int | None = None) -> DataFrame:
-        """(query_id, id, score, rank): every row of the index as a query. Rows meet cell by cell, in blocks, so no task holds a cell whole."""
-        about, centres = self.about(), self._centres()
-        metric, n_probes = about["metric"], min(probes or about["probes"], max(1, len(centres)))
-        sent = self.spark.sparkContext.broadcast(centres)
-
-        def probe(batches):
-            for b in batches:
-                if b.num_rows:
-                    v = _unit(np.array(b.column("v").to_pylist(), np.float64), metric)
-                    near = _nearest_cells(v, sent.value, n_probes)
-                    at = np.repeat(np.arange(b.num_rows), near.shape[1])
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], names=["query_id", "q", "cell"])
-
-        rows = self.rows()
-        size = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        asked = rows.select("id", "v").mapInArrow(probe, "query_id long, q array<double>, cell int")
-        meet = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).join(size, "cell").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / GROUP).cast("int").alias("groups"))
-        # each block of a cell meets each group of the rows that probe it: blocks and groups are drawn by a hash
-        meet = F.broadcast(meet)  # a row for each of CELLS cells at most
-        left = rows.join(meet, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-        right = asked.join(meet, "cell").withColumn("group", F.pmod(F.xxhash64(F.lit(3), "query_id"), "groups").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        key = ["cell", "block", "group"]
-
-        def met(a, b):
-            if len(a) and len(b):
-                i, found, s = _best(scores(np.stack(b["q"]), np.stack(a["v"]), metric), a["id"].to_numpy(), k + 1)
-                return pd.DataFrame({"query_id": b["query_id"].to_numpy()[i], "id": found, "score": s})
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-
-        pairs = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "query_id", "q").groupBy(*key)).applyInPandas(met, "query_id long, id long, score double")
-        return lexical.top(pairs.filter("query_id <> id"), ["query_id"], [F.desc("score"), F.asc("id")], k)
+        """(query_id, id, score, rank): every row of the index as a query, in rounds. A task holds k rows a query of a round, whatever cells it reads."""
+        rows = self.rows().select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+        near = self.search(rows, k + 1, probes).filter("query_id <> id").drop("rank")
+        return lexical.top(near, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def semantic_edges(index: VectorIndex, threshold: float = CONF.semantic_threshold, per_node: int = CONF.semantic_per_node, probes: int | None = None) -> DataFrame:

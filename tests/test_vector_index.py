@@ -63,3 +63,28 @@ def test_small_and_empty(spark, tmp_path):
     assert [(r.id, r.score, r["rank"]) for r in one.search(q, 3).collect()] == [(9, 1.0, 1)]
     r = random.Random(1)
     assert vector_index.trained(np.array([[r.random()] for _ in range(5)]), 9).shape == (5, 1)
+
+
+def test_what_neighbours_shuffle_doesnt_grow_with_cells(spark, data, tmp_path):
+    """All rows ask all cells: vectors aren't copied for each cell that they probe, nor put together by a join."""
+    index = vector_index.VectorIndex(spark, str(tmp_path / "n"))
+    cells = index.build(data.filter("id < 700"), "cosine")["cells"]
+    plan = index.neighbours(3, cells)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Join" not in plan
+
+
+def test_nearest_with_ties_and_odd_rows():
+    """Single precision only says what may be near: ties, copies, tiny, huge and zero vectors rank as by the whole table of scores."""
+    r = np.random.default_rng(3)
+    v = np.concatenate((r.normal(size=(300, 8)), np.repeat(r.normal(size=(2, 8)), 40, axis=0), np.zeros((2, 8)), r.normal(size=(3, 8)) * 1e-9, r.normal(size=(3, 8)) * 1e20))
+    ids = r.permutation(len(v)).astype(np.int64)
+    for rows in (slice(0, 382), slice(0, len(v))):
+        for metric in ("cosine", "l2"):
+            near = vector.Nearest(v[:50], 6, metric)
+            for a in range(0, len(v[rows]), 70):
+                near.put(ids[rows][a : a + 70], v[rows][a : a + 70])
+            i, found, _ = near.best()
+            s = vector_index.scores(v[:50], v[rows], metric)
+            for q in range(50):
+                want = ids[rows][np.lexsort((ids[rows], -s[q]))[:6]]
+                assert found[i == q].tolist() == want.tolist()
