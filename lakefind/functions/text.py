@@ -14,6 +14,8 @@ from ..conf import CONF
 LATIN = r"[a-z0-9][a-z0-9._+-]{1,}"
 #: Fixed pattern of a run of CJK characters.
 CJK = r"[\u4e00-\u9fff]+"
+#: Fixed pattern of each two CJK characters side by side; pairs overlap.
+CJK_PAIR = r"(?=([\u4e00-\u9fff]{2}))"
 #: Fixed list of CJK characters that say nothing by themselves.
 STOP = "的了是在有和就不太人这那也还我一个要会去与或于及之而但并其们对为以据相关包括如何什么怎哪些需可应该你他样时候地方情况问题办法式途径通过进行使用到做着吧吗呢哦啊呀因所然后接下来"
 #: Line ends of every kind.
@@ -41,7 +43,8 @@ def tokens(text: Column, lexicon: tuple[str, ...] = (), words: Callable[[Column]
     low = F.lower(text)
     latin = F.regexp_extract_all(low, F.lit(LATIN), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
-    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) >= 2, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
+    # all pairs of one pass: places inside a run are found by reading it from its start each time
+    grams = F.regexp_extract_all(low, F.lit(CJK_PAIR), F.lit(1))
     if words is not None:
         cut = words(runs)
     elif lexicon:

@@ -34,7 +34,7 @@ def grams(docs: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFr
     # a long run goes in stretches that overlap by a gram
     r = r.select("r", F.explode(F.sequence(F.lit(0), F.length("r") - 1, F.lit(STRETCH))).alias("at"))
     r = r.select(F.substring("r", F.col("at") + 1, F.lit(STRETCH + longest)).alias("r"), F.least(F.length("r") - F.col("at"), F.lit(STRETCH)).alias("n"))
-    each = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring("r", i, F.lit(longest + 1)))
+    each = F.slice(F.regexp_extract_all("r", F.lit(f"(?s)(?=(.{{1,{longest + 1}}}))"), F.lit(1)), F.lit(1), F.col("n"))
     # equal stretches of the greatest length come together before they are cut shorter
     heads = r.select(F.explode(each).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("c"))
     return heads.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda k: F.substring("head", F.lit(1), k))).alias("gram"), "c").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -81,15 +81,15 @@ class Words:
 
     def cut(self, run: str) -> list[str]:
         """The words of the best path; of equal ones the longer first word. A character that isn't known counts once."""
-        n, share = len(run), self.share
+        n, get, unknown, longest = len(run), self.share.get, self.unknown, self.longest
         best, end = [0.0] * (n + 1), [0] * n
         for i in range(n - 1, -1, -1):
-            top = -math.inf
-            for j in range(i + 1, min(i + self.longest, n) + 1):
-                s = share.get(run[i:j], self.unknown if j == i + 1 else None)
+            top, at = get(run[i], unknown) + best[i + 1], i + 1
+            for j in range(i + 2, min(i + longest, n) + 1):
+                s = get(run[i:j])
                 if s is not None and s + best[j] >= top:
-                    top, end[i] = s + best[j], j
-            best[i] = top
+                    top, at = s + best[j], j
+            best[i], end[i] = top, at
         out, i = [], 0
         while i < n:
             out.append(run[i : end[i]])

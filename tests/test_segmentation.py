@@ -89,3 +89,18 @@ def test_search_by_words(spark):
         assert any(w in text for w in ([words[0]] if r.query_id == 1 else words[1:3]))
     p = lexical.postings(d, cut=by_words).filter(F.col("term") == words[3]).collect()
     assert len(p) >= 0.9 * sum(words[3] in parts for _, parts, _ in docs)
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    """Pairs and grams of a run of 200,000 characters come from one pass over it."""
+    import time
+
+    from lakefind.functions.text import tokens
+
+    n = 200_000
+    d = spark.createDataFrame([(1, "".join(chr(0x4E00 + k * k % 5003) for k in range(n)))], "doc_id long, text string")
+    began = time.time()
+    r = d.select(tokens(F.col("text")).alias("t")).first().t
+    assert len(r) == n - 1 and r[:2] == [chr(0x4E00) + chr(0x4E01), chr(0x4E01) + chr(0x4E04)]
+    assert segmentation.grams(d).filter("length(gram) = 5").agg(F.sum("c")).first()[0] == n - 4
+    assert time.time() - began < 60
