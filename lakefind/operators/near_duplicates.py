@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from ..storage import shared_root
 
 PERMUTATIONS, SHINGLE = 128, 5
-#: Shingles hashed at a time: bounds the matrix of permuted hashes.
-BLOCK = 4096
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles hashed at a time: the matrix of their permuted hashes stays in a core's cache.
+BLOCK = 128
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 @cache
@@ -37,8 +37,8 @@ def bands(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
     return x ^ (x >> np.uint64(31))
 
 
@@ -55,8 +55,18 @@ def signature(text: str) -> np.ndarray:
     for k in range(width):
         h = h * BASE + c[k : k + len(h)]
     h, least = np.unique(_mix(h)), np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    # _mix(h ^ seed) in place; its first step is linear, so it is done to both sides before
+    h, seeds = h ^ (h >> np.uint64(30)), _seeds() ^ (_seeds() >> np.uint64(30))
+    x, y = np.empty((2, min(BLOCK, len(h)), PERMUTATIONS), np.uint64)
     for a in range(0, len(h), BLOCK):
-        least = np.minimum(least, _mix(h[a : a + BLOCK, None] ^ _seeds()[None]).min(0))
+        some = h[a : a + BLOCK, None]
+        x, y = x[: len(some)], y[: len(some)]
+        np.bitwise_xor(some, seeds, out=x)
+        np.multiply(x, MIX[0], out=x)
+        np.bitwise_xor(x, np.right_shift(x, np.uint64(27), out=y), out=x)
+        np.multiply(x, MIX[1], out=x)
+        np.bitwise_xor(x, np.right_shift(x, np.uint64(31), out=y), out=x)
+        np.minimum(least, x.min(0), out=least)
     return least
 
 
