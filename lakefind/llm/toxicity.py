@@ -6,7 +6,8 @@ one product for each word of its window, so products are made once for each dist
 for each language, inferred from the text's function words alone: each language's best threshold on rows held back from training
 is moved to THRESHOLD.
 
-Labels are learnt from all labelled rows outside the fold that is held out; texts are whole. In each pass over them a task begins with the common model and
+Labels are learnt from all labelled rows outside the fold that is held out; texts are whole. They are cut into words and coded once, a number for each
+word. In each pass over the codes a task begins with the common model and
 goes through its own rows by stochastic gradient steps; then what tasks have changed is averaged, embeddings over the tasks that met a feature. Counts
 of features and thresholds are sums over all rows. Only a model's weights, a count for each feature and a threshold for each language reach the driver.
 Defined results: null and empty texts get the score of no words. One class: its label is every score; no labels: 0.5. Rows
@@ -16,6 +17,8 @@ with equal or null ids are scored each; a label row of a null id is left out, of
 from __future__ import annotations
 
 import copy
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.running import running
+from . import hashing as H
 from .common import give_back, lean, slices, staged, table
 from .labelled import fold, labelled
 
@@ -45,43 +49,80 @@ FUNCTION_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo",
 }
 LANGUAGES = (*FUNCTION_WORDS, "other")
-#: Words a worker remembers.
-MEMO = 100_000
+#: Words a worker remembers, and beginnings of words.
+MEMO = 300_000
+#: Words whose windows are made at once, unless one text has more.
+WINDOWS = 1 << 15
+#: A word's code: its features, FEATURE bits each, and above them a bit for each language that lists it.
+FEATURE = 17
+MARKS = ".,;:!?\"'()[]*#&%$|"
+LISTED: dict[str, int] = {}
+for _bit, _words in enumerate(FUNCTION_WORDS.values()):
+    for _word in _words.split():
+        LISTED[_word] = LISTED.get(_word, 0) | 1 << 3 * FEATURE + _bit
+
+
+#: Of a word's UTF-8.
+hashed = xxhash.xxh3_64_intdigest
 
 
 def features(word: str) -> list[int]:
-    w = word.strip(".,;:!?\"'()[]*#&%$|")
-    return [xxhash.xxh3_64_intdigest(x.encode()) % BUCKETS for x in dict.fromkeys((w, f"^{w[:4]}", f"^{w[:5]}"))]
+    w = word.strip(MARKS)
+    return [hashed(x) % BUCKETS for x in dict.fromkeys((w, f"^{w[:4]}", f"^{w[:5]}"))]
+
+
+def _packed(f: list[int]) -> int:
+    return sum(x << k * FEATURE for k, x in enumerate(f + [BUCKETS] * (3 - len(f))))
+
+
+def unpacked(codes: np.ndarray) -> np.ndarray:
+    """Codes of words to rows of feature ids, padded with BUCKETS."""
+    return np.stack([codes >> k * FEATURE & (1 << FEATURE) - 1 for k in range(3)], -1)
 
 
 class Vocabulary(dict):
-    """Words to rows of feature ids, padded with BUCKETS."""
+    """Words to numbers, 0, 1, … in the order they are met, each with its code. Beginnings are kept with their features: most words share theirs with others."""
 
     def __init__(self):
-        self.rows: list[list[int]] = []
-        self.array = np.empty((0, 3), np.int64)
-        self.n = 0
+        self.codes = array("q")
+        self.begun: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        f = features(word)
-        self.rows.append(f + [BUCKETS] * (3 - len(f)))
-        self[word] = k = len(self.rows) - 1
+        w = word.strip(MARKS)
+        rest = self.begun.get(w[:5])
+        if rest is None:
+            rest = self._beginning(w[:5])
+        # a word of ^ alone may be one of its own beginnings
+        code = _packed(features(word)) if w[:1] == "^" else rest | hashed(w) % BUCKETS
+        self[word] = k = len(self)
+        self.codes.append(code | LISTED[word] if word in LISTED else code)
         return k
 
+    def _beginning(self, start: str) -> int:
+        if len(self.begun) >= MEMO:
+            self.begun.clear()
+        out = self.begun[start] = _packed([0, *(hashed(x) % BUCKETS for x in dict.fromkeys((f"^{start[:4]}", f"^{start}")))])
+        return out
+
+    def forget(self) -> None:
+        """Words go, beginnings stay."""
+        self.clear()
+        self.codes = array("q")
 
-    def table(self) -> np.ndarray:
-        """The rows as an array, kept and lengthened."""
-        if len(self.rows) > len(self.array):
-            longer = np.full((max(1024, 2 * len(self.rows)), 3), BUCKETS, np.int64)
-            longer[: self.n] = self.array[: self.n]
-            self.array = longer
-        if len(self.rows) > self.n:
-            self.array[self.n : len(self.rows)] = self.rows[self.n :]
-            self.n = len(self.rows)
-        return self.array[: self.n]
+    def coded(self) -> np.ndarray:
+        return np.array(self.codes, np.int64)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    @property
+    def rows(self) -> np.ndarray:
+        return unpacked(self.coded())
+
+    def read(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of a column of texts, and where each text's begin and end."""
+        if len(self) > MEMO:
+            self.forget()
+        words = [(t or "").lower().split() for t in text.to_pylist()]
+        at = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, at[-1]), at
 
 
 def language(words: list[str]) -> int:
@@ -93,6 +134,17 @@ def language(words: list[str]) -> int:
     return best if hits[best] * 20 >= len(words) and hits[best] else len(FUNCTION_WORDS)
 
 
+def languages(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What `language` says of each text, from its words' codes."""
+    hits = []
+    for k in range(len(FUNCTION_WORDS)):
+        n = np.concatenate(([0], np.cumsum(codes >> 3 * FEATURE + k & 1)))
+        hits.append(n[at[1:]] - n[at[:-1]])
+    best = np.argmax(hits, 0)
+    most = np.max(hits, 0)
+    return np.where((most * 20 >= np.diff(at)) & (most > 0), best, len(FUNCTION_WORDS))
+
+
 class Model:
     """embed (BUCKETS + 1, DIM), the last row zero; filters of each width; out weights over all maxima."""
 
@@ -112,26 +164,48 @@ class Model:
         e = self.embed[rows].sum(1)
         return [[e @ f[k] for k in range(len(f))] for f in self.filters]
 
-    def maxima(self, ids: np.ndarray, products) -> tuple[np.ndarray, np.ndarray]:
-        """The maxima of all filters over a text of word ids, and where each is; no window: 0, -1."""
-        top, at = [], []
-        for p, b in zip(products, self.bias, strict=True):
-            w = len(p)
-            if len(ids) < w:
-                top.append(np.zeros(FILTERS, np.float32))
-                at.append(np.full(FILTERS, -1))
-                continue
-            n = len(ids) - w + 1
-            c = p[0][ids[:n]]
-            for k in range(1, w):
-                c = c + p[k][ids[k : k + n]]
-            i = c.argmax(0)
-            top.append(np.maximum(c[i, np.arange(FILTERS)] + b, 0))
-            at.append(np.where(top[-1] > 0, i, -1))
-        return np.concatenate(top), np.concatenate(at)
-
-    def logit(self, top: np.ndarray) -> float:
-        return float(top @ self.out + self.b)
+    def maxima(self, ids: np.ndarray, at: np.ndarray, products) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, whose word ids begin and end at `at`, the maxima of all filters, and the first place of each among ids; no window: 0, -1."""
+        n = len(at) - 1
+        top, place = np.zeros((n, len(WIDTHS) * FILTERS), np.float32), np.full((n, len(WIDTHS) * FILTERS), -1)
+        for j, c, starts, ends, texts, first in self._windows(ids, at, products):
+            s = slice(j * FILTERS, (j + 1) * FILTERS)
+            most = _most(c, starts, ends)
+            top[texts, s] = np.maximum(most + self.bias[j], 0)
+            span = np.diff(starts, append=len(c))
+            span[0] += starts[0]
+            row, k = np.divmod(np.flatnonzero(c == np.repeat(most, span, axis=0)), FILTERS)
+            of = np.searchsorted(starts, row, "right") - 1
+            some = (of >= 0) & (row < ends[of])
+            # the last that is written stays
+            place[texts[of[some]][::-1], s.start + k[some][::-1]] = first + row[some][::-1]
+        return top, np.where(top > 0, place, -1)
+
+    def tops(self, ids: np.ndarray, at: np.ndarray, products) -> np.ndarray:
+        """The maxima without their places."""
+        top = np.zeros((len(at) - 1, len(WIDTHS) * FILTERS), np.float32)
+        for j, c, starts, ends, texts, _ in self._windows(ids, at, products):
+            top[texts, j * FILTERS : (j + 1) * FILTERS] = np.maximum(_most(c, starts, ends) + self.bias[j], 0)
+        return top
+
+    def _windows(self, ids: np.ndarray, at: np.ndarray, products):
+        """For groups of texts and each width: its number, the filters' responses at all places, where those of each text that has a window begin and end, which texts these are, and the first place."""
+        for a, b in H.groups(at, WINDOWS):
+            own, begins = ids[at[a] : at[b]], at[a : b + 1] - at[a]
+            for j, p in enumerate(products):
+                over = len(p) - 1
+                texts = np.flatnonzero(np.diff(begins) > over)
+                if not len(texts):
+                    continue
+                n = len(own) - over
+                c = p[0].take(own[:n], 0)
+                for k in range(1, len(p)):
+                    c += p[k].take(own[k : k + n], 0)
+                yield j, c, begins[texts], begins[texts + 1] - over, a + texts, at[a]
+
+    def logits(self, codes: np.ndarray, ids: np.ndarray, at: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The logit of each text; codes: of distinct words, of which ids are numbers."""
+        return (self.tops(ids, at, self.products(unpacked(codes))) @ self.out + self.b).astype(np.float64) + self.shift[lang]
 
     def dense(self) -> list[np.ndarray]:
         return [*self.filters, *self.bias, self.out, np.array([self.b])]
@@ -143,54 +217,87 @@ class Model:
             by = by[w.size :]
         self.b += np.float32(by[0])
 
-    def step(self, ids: list[np.ndarray], y: np.ndarray, rows: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """A gradient step over some texts of word ids; rows: the features of words."""
-        used = np.unique(np.concatenate(ids)) if sum(map(len, ids)) else np.zeros(1, np.int64)
-        rows = rows[used] if len(rows) else np.full((1, 3), BUCKETS)
+    def step(self, codes: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        """A gradient step over some texts, whose words' codes begin and end at `at`."""
+        used, ids = np.unique(codes, return_inverse=True)
+        rows = unpacked(used)
         p, e = self.products(rows), self.embed[rows].sum(1)
-        g_out, g_b, g_e = np.zeros_like(self.out), 0.0, np.zeros((len(used), DIM), np.float32)
-        g_f, g_bias = [np.zeros_like(f) for f in self.filters], [np.zeros_like(b) for b in self.bias]
-        for d, own in enumerate(ids):
-            local = np.searchsorted(used, own)
-            top, at = self.maxima(local, p)
-            g = (1 / (1 + np.exp(-self.logit(top))) - y[d]) * weight[int(y[d])]
-            g_out += g * top
-            g_b += g
-            back = g * self.out
-            for j, f in enumerate(self.filters):
-                s = slice(j * FILTERS, (j + 1) * FILTERS)
-                on = np.flatnonzero(at[s] >= 0)
-                if not len(on):
-                    continue
-                gr = back[s][on]
-                g_bias[j][on] += gr
-                for k in range(len(f)):
-                    w = local[at[s][on] + k]
-                    g_f[j][k][:, on] += e[w].T * gr
-                    np.add.at(g_e, w, (f[k][:, on] * gr).T)
-        n = len(ids)
-        self.out -= rate * (g_out / n + DECAY * self.out)
+        top, place = self.maxima(ids, at, p)
+        g = (1 / (1 + np.exp(-(top @ self.out + self.b).astype(np.float64))) - y) * weight[y]
+        back = np.where(place >= 0, g[:, None] * self.out, 0).astype(np.float32)
+        g_out, g_b, g_e = g @ top, g.sum(), np.zeros((len(used), DIM), np.float32)
+        g_f, g_bias = [np.zeros_like(f) for f in self.filters], back.sum(0)
+        for j, f in enumerate(self.filters):
+            s = slice(j * FILTERS, (j + 1) * FILTERS)
+            text, k = np.nonzero(place[:, s] >= 0)
+            gr, first = back[:, s][text, k], place[:, s][text, k]
+            for i in range(len(f)):
+                w = ids[first + i]
+                np.add.at(g_f[j][i].T, k, e[w] * gr[:, None])
+                np.add.at(g_e, w, f[i].T[k] * gr[:, None])
+        n = len(y)
+        self.out -= (rate * (g_out / n + DECAY * self.out)).astype(np.float32)
         self.b -= np.float32(rate * g_b / n)
         for j in range(len(WIDTHS)):
             self.filters[j] -= rate * (g_f[j] / n + DECAY * self.filters[j])
-            self.bias[j] -= rate * g_bias[j] / n
+            self.bias[j] -= rate * g_bias[j * FILTERS : (j + 1) * FILTERS] / n
         hot = np.flatnonzero(np.abs(g_e).sum(1))
         np.subtract.at(self.embed, rows[hot].ravel(), np.repeat(rate * g_e[hot] / n * 4, 3, axis=0))
         self.embed[BUCKETS] = 0
 
 
+def _most(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The maxima of rows from each start to its end; ends are after starts and not after the next one."""
+    cuts = np.stack((starts, ends), 1).ravel()
+    return np.maximum.reduceat(c, cuts[:-1] if cuts[-1] == len(c) else cuts, axis=0)[::2]
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """rows (h, text, y) -> (h, y, w): for each text the codes of its words, 8 bytes each. Texts are read here and not again."""
+
+    def run(batches):
+        vocab = Vocabulary()
+        for b in (x for batch in batches for x in slices(batch)):
+            ids, at = vocab.read(b.column("text"))
+            codes = vocab.coded()[ids]
+            w = pa.array([codes[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), w], names=["h", "y", "w"])
+
+    return rows.mapInArrow(lean(run), "h long, y int, w binary")
+
+
+def _read(batches, most: int | None = None):
+    """(codes, where each text's begin and end, y) of slices of coded rows; most: of so many texts each, but for the last."""
+    held: list[bytes] = []
+    y: list[int] = []
+    size = 0
+
+    def made(k: int):
+        at = np.concatenate(([0], np.cumsum([len(w) // 8 for w in held[:k]], dtype=np.int64)))
+        return np.frombuffer(b"".join(held[:k]), np.int64), at, np.array(y[:k])
+
+    for b in batches:
+        for w, own in zip(b.column("w"), b.column("y").to_pylist(), strict=True):
+            held.append(w.as_py())
+            y.append(own)
+            size += len(held[-1])
+            if len(held) == most or most is None and size >= 1 << 20:
+                yield made(len(held))
+                held, y, size = [], [], 0
+    if held:
+        yield made(len(held))
+
+
 def _begun(fit: DataFrame, n: np.ndarray) -> Model:
     """A start that knows what features lean to: the first dimension holds their log-odds over the rows that are fitted."""
 
     def run(batches):
-        vocab, seen = Vocabulary(), np.zeros((2, BUCKETS + 1), np.int64)
-        for b in (x for batch in batches for x in slices(batch)):
-            if len(vocab) > MEMO:
-                vocab = Vocabulary()
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                ids = vocab.ids(list(set(t.lower().split())))
-                if len(ids):
-                    seen[y][np.unique(vocab.table()[ids])] += 1
+        seen = np.zeros((2, BUCKETS + 1), np.int64)
+        for codes, at, y in _read(batches):
+            text = np.repeat(np.arange(len(y)), np.diff(at))
+            text, f = np.divmod(np.unique(text[:, None] * (BUCKETS + 1) + unpacked(codes)), BUCKETS + 1)
+            for k in (0, 1):
+                seen[k] += np.bincount(f[y[text] == k], minlength=BUCKETS + 1)
         on = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(seen[0, on]), pa.array(seen[1, on])], names=["f", "n0", "n1"])
 
@@ -214,18 +321,10 @@ def _passed(fit: DataFrame, m: Model, weight: np.ndarray, rate: float) -> None:
     sent = fit.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
-        was, own, vocab = sent.value, copy.deepcopy(sent.value), Vocabulary()
-        held, n = [], 0
-        for b in (x for batch in batches for x in slices(batch)):
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                held.append((vocab.ids(t.lower().split()), y))
-                if len(held) == STEP:
-                    own.step(*zip(*held, strict=True), vocab.table(), weight, rate)
-                    held, n = [], n + STEP
-                    vocab = Vocabulary() if len(vocab) > MEMO else vocab
-        if held:
-            own.step(*zip(*held, strict=True), vocab.table(), weight, rate)
-            n += len(held)
+        was, own, n = sent.value, copy.deepcopy(sent.value), 0
+        for codes, at, y in _read(batches, STEP):
+            own.step(codes, at, y, weight, rate)
+            n += len(y)
         if n:
             by = [*np.array_split(own.embed - was.embed, PIECES), np.concatenate([(a - b).ravel() for a, b in zip(own.dense(), was.dense(), strict=True)])]
             part, k = TaskContext.get().partitionId(), len(by)
@@ -254,7 +353,7 @@ def _passed(fit: DataFrame, m: Model, weight: np.ndarray, rate: float) -> None:
 
 
 def train(rows: DataFrame) -> Model:
-    """rows (h, text, y) -> the model learnt from all of them."""
+    """rows (h, y, w), as `coded` gives them -> the model learnt from all of them."""
     n = rows.groupBy((F.pmod("h", F.lit(HELD)) == 0).alias("held"), "y").count().collect()
     of = {held: np.array([sum(r["count"] for r in n if r.held == held and r.y == y) for y in (0, 1)], float) for held in (True, False)}
     every = of[True] + of[False]
@@ -283,11 +382,12 @@ def _logits(rows: DataFrame, model: Model) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        read = _reader(sent)
-        for b in (x for batch in batches for x in slices(batch)):
-            z, lang = read(b.column("text"))
+        for codes, at, y in _read(batches):
+            lang = languages(codes, at)
+            used, ids = np.unique(codes, return_inverse=True)
+            z = sent.value.logits(used, ids, at, lang)
             k = np.concatenate((lang, np.full(len(lang), -1)))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(np.concatenate((z, z)), pa.float64()), pa.concat_arrays([b.column("y")] * 2)], names=["k", "z", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(np.concatenate((z, z)), pa.float64()), pa.array(np.concatenate((y, y)), pa.int32())], names=["k", "z", "y"])
 
     return rows.mapInArrow(lean(run), "k int, z double, y int")
 
@@ -303,39 +403,18 @@ def thresholds(logits: DataFrame) -> dict[int, tuple[float, int]]:
     return {r.k: ((r.at + (r.at - 1 if r.low is None else r.low)) / 2, r.n1) for r in low}
 
 
-def _reader(sent):
-    """A function from a column of texts to their logits and languages; words are remembered between calls."""
-    m, vocab, products = sent.value, Vocabulary(), None
-
-    def read(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal vocab, products
-        words = [(t or "").lower().split() for t in text.to_pylist()]
-        if len(vocab) > MEMO:
-            vocab, products = Vocabulary(), None
-        ids = [vocab.ids(w) for w in words]
-        done = len(products[0][0]) if products else 0
-        if len(vocab.rows) > done or not products:
-            new = m.products(np.array(vocab.rows[done:] or [[BUCKETS] * 3], np.int64))
-            if products:
-                for p, q in zip(products, new, strict=True):
-                    for k in range(len(p)):
-                        p[k] = np.concatenate((p[k], q[k]))
-            else:
-                products = new
-        lang = np.array([language(w) for w in words], np.int64)
-        return np.array([m.logit(m.maxima(i, products)[0]) for i in ids]) + m.shift[lang], lang
-
-    return read
-
-
 def _scorer(sent):
-    """A function from a column of texts to their scores."""
-    read = _reader(sent)
+    """A function from a column of texts to their scores; words are remembered between calls."""
+    m, vocab = sent.value, Vocabulary()
 
     def score(text: pa.Array) -> np.ndarray:
-        if sent.value.only is not None:
-            return np.full(len(text), sent.value.only)
-        return 1 / (1 + np.exp(-np.clip(read(text)[0], -30, 30)))
+        if m.only is not None:
+            return np.full(len(text), m.only)
+        ids, at = vocab.read(text)
+        codes, met = vocab.coded(), np.zeros(len(vocab), bool)
+        met[ids] = True
+        lang = languages(codes[ids], at)
+        return 1 / (1 + np.exp(-np.clip(m.logits(codes[met], (np.cumsum(met) - 1)[ids], at, lang), -30, 30)))
 
     return score
 
@@ -368,7 +447,7 @@ def harmless(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 def learnt(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labelled(docs, labels, "toxic", fold("doc_id", 4) != 2)
     n = max(1, min(labels.count() // TASK_ROWS, MOST_TASKS))
-    model = train(staged(rows.repartition(n, "h").sortWithinPartitions("h", "text")))
+    model = train(staged(coded(rows.repartition(n, "h").sortWithinPartitions("h", "text")), "zstd"))
     give_back()
     return model
 
