@@ -2,6 +2,7 @@
 
 Tier one: a minimal perfect hash over the vocabulary's byte strings resolves a pre-token that is a token as a whole. Tier two: other
 pre-tokens are merged with a heap of ranked pairs over a linked list of bytes. Pre-tokens met before come from a bounded memo.
+The driver makes the hash, once for all workers. A slice's ids are decoded together.
 
 Defined results: null and empty texts give no ids; decoding gives the text's UTF-8 bytes back. Rows are encoded each by itself, whatever
 their ids (null and repeated ones too); extra columns go; an empty table gives no rows. Pairs of equal rank are merged from the left.
@@ -16,14 +17,15 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, lean, slices, table
 
-#: Pre-tokens a worker remembers, twice: as many again from before.
-MEMO = 75_000
+#: Pre-tokens a worker remembers, twice: as many again from before. About 170 bytes each.
+MEMO = 250_000
 
 
 class PerfectHash:
@@ -48,13 +50,16 @@ class PerfectHash:
                     free -= 1
                 taken[free - 1], slot_of[at[0]], seeds[b] = True, free - 1, -free
                 continue
-            seed = 1
-            while True:
-                s = [self._slot(int(x), seed) for x in h[at]]
-                if len(set(s)) == len(s) and not taken[s].any():
+            first, many = 1, 16
+            while True:  # so many seeds together; the first that fits counts
+                s = self._slots(h[at], np.arange(first, first + many, dtype=np.uint64))
+                sorted_ = np.sort(s, axis=1)
+                fit = np.flatnonzero(~taken[s].any(axis=1) & (sorted_[:, 1:] != sorted_[:, :-1]).all(axis=1))
+                if len(fit):
                     break
-                seed += 1
-            taken[s], slot_of[at], seeds[b] = True, s, seed
+                first, many = first + many, min(2 * many, 1024)
+            s = s[fit[0]]
+            taken[s], slot_of[at], seeds[b] = True, s, first + fit[0]
         self.seeds = seeds.tolist()
         self.keys: list[bytes] = [b""] * n
         self.values = [0] * n
@@ -64,6 +69,11 @@ class PerfectHash:
     def _slot(self, h: int, seed: int) -> int:
         return (((h ^ (seed * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 20) % self.n
 
+    def _slots(self, h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """_slot of each hash, a row for each seed."""
+        x = (h ^ (seeds[:, None] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x >> np.uint64(20)) % np.uint64(self.n)).astype(np.int64)
+
     def get(self, key: bytes) -> int:
         """The value of key, or -1 if it isn't one of the keys."""
         h = xxhash.xxh3_64_intdigest(key)
@@ -73,11 +83,14 @@ class PerfectHash:
 
 
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, hash_: PerfectHash | None = None):
         import regex
 
-        self.tokens = {v: k for k, v in ranks.items()}
-        self.hash = PerfectHash(list(ranks), list(ranks.values()))
+        tokens = [b""] * (1 + max(ranks.values(), default=-1))
+        for k, v in ranks.items():
+            tokens[v] = k
+        self.tokens = pa.array(tokens, pa.binary())
+        self.hash = hash_ or PerfectHash(list(ranks), list(ranks.values()))
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
@@ -109,9 +122,9 @@ class Bpe:
         return out
 
     def piece(self, word: str) -> bytes:
-        raw = word.encode()
         ids = self.old.get(word)
         if ids is None:
+            raw = word.encode()
             r = self.hash.get(raw)
             ids = self.pack(*([r] if r >= 0 else self.merge(raw)))
         if len(self.memo) >= MEMO:  # words in use come back from the old one
@@ -128,8 +141,12 @@ class Bpe:
         memo, piece = self.memo, self.piece
         return b"".join([memo.get(w) or piece(w) for w in self.split(text)])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, np.dtype("<u4")).tolist()))
+    def decoded(self, ids: list[bytes]) -> pa.Array:
+        """The bytes of each text's ids: tokens are taken for all texts at once, then cut where a text's ids end."""
+        taken = pc.take(self.tokens, pa.array(np.frombuffer(b"".join(ids), np.dtype("<u4"))))
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+        at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)[ends] if len(taken) else np.zeros(len(ends), np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), taken.buffers()[2] or pa.py_buffer(b"")])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -139,19 +156,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _worker(sent) -> Bpe:
-    ranks, pattern, name = sent.value
-    return kept(f"bpe {name}", lambda: Bpe(ranks, pattern))
+    ranks, pattern, hash_, name = sent.value
+    return kept(f"bpe {name}", lambda: Bpe(ranks, pattern, hash_))
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, ids (binary, little-endian unsigned 32-bit) and decoded (binary)."""
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern, hashlib.md5(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()))
+    hash_ = PerfectHash(list(ranks), list(ranks.values()))
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern, hash_, hashlib.md5(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()))
 
     def run(batches):
         bpe = _worker(sent)
         for b in (x for batch in batches for x in slices(batch)):
             ids = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())], names=["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary()), bpe.decoded(ids)], names=["id", "ids", "decoded"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return d.mapInArrow(lean(run, keeps=True), f"id {dict(d.dtypes)['id']}, ids binary, decoded binary").withColumnRenamed("id", id_col)
