@@ -46,9 +46,15 @@ PRODUCTS, HELD = 1 << 20, 1 << 20
 def bm25(queries: DataFrame, docs: DataFrame, top_k: int, cut: Tokenise = tokens) -> DataFrame:
     """(query_id, library_id, id, score, rank): the top_k of each query in each library, ties by id."""
     q = query_terms(queries, cut=cut)
-    t = docs.select("library_id", F.col("doc_id").alias("id"), cut(F.coalesce("text", F.lit(""))).alias("ts"))
-    if (asked := Asked.of(q)) is not None and (found := asked.best(asked.counted(t), top_k)) is not None:
-        return found
+    text = F.coalesce("text", F.lit(""))
+    t = docs.select("library_id", F.col("doc_id").alias("id"), cut(text).alias("ts"))
+    if (asked := Asked.of(q)) is not None:
+        if getattr(cut, "sent", None) is not None:
+            c = asked.counted(docs.select("library_id", F.col("doc_id").alias("id"), cut.latin(text).alias("ts"), text.alias("text")), cut.further(asked.terms.to_pylist()))
+        else:
+            c = asked.counted(t)
+        if (found := asked.best(c, top_k)) is not None:
+            return found
     terms = q.select("term").distinct()
     small = terms.limit(TERMS + 1).count() <= TERMS
     sent = F.broadcast if small else lambda d: d
@@ -68,8 +74,8 @@ def most_terms(queries: DataFrame, docs: DataFrame, top_k: int, cut: Tokenise =
     return top(n, ["query_id"], [F.desc("n"), F.asc("id")], top_k)
 
 
-def _matched(sent):
-    """(library_id, id, ts) -> (library_id, id, dl, terms, tfs): numbers of the queries' terms that a document has, and how often."""
+def _matched(sent, further=None):
+    """(library_id, id, ts) -> (library_id, id, dl, terms, tfs): numbers of the queries' terms that a document has, and how often. further: finds those tokens of a column text that ts hasn't."""
 
     def run(batches):
         for b in batches:
@@ -77,7 +83,11 @@ def _matched(sent):
             flat, n = ts.flatten(), pc.list_value_length(ts).to_numpy(zero_copy_only=False).astype(np.int64)
             at = pc.index_in(flat, value_set=pa.array(sent.value, flat.type))
             on = at.is_valid().to_numpy(zero_copy_only=False)
-            key = np.repeat(np.arange(len(n)), n)[on] * len(sent.value) + at.drop_null().to_numpy()
+            row, at = np.repeat(np.arange(len(n)), n)[on], at.drop_null().to_numpy()
+            if further is not None:
+                rows, ats, more = further(b.column("text"))
+                row, at, n = np.concatenate((row, rows)), np.concatenate((at, ats)), n + more
+            key = row * len(sent.value) + at
             key, tf = np.unique(key, return_counts=True)
             lists = np.searchsorted(key, np.arange(len(n) + 1) * len(sent.value)).astype(np.int32)
             terms, tfs = (pa.ListArray.from_arrays(pa.array(lists), pa.array(x.astype(np.int32))) for x in (key % max(1, len(sent.value)), tf))
@@ -184,11 +194,11 @@ class Asked:
         rows = q.toArrow()
         return cls(rows, dict(q.dtypes)["query_id"]) if 0 < len(rows) <= TERMS else None
 
-    def counted(self, t: DataFrame) -> DataFrame:
-        """(library_id, id, ts) -> (library_id, id, dl, terms, tfs), staged: texts are read and cut once."""
+    def counted(self, t: DataFrame, further=None) -> DataFrame:
+        """(library_id, id, ts) -> (library_id, id, dl, terms, tfs), staged: texts are read and cut once. further: as in _matched."""
         sent = t.sparkSession.sparkContext.broadcast(self.terms.to_pylist())
         kinds = dict(t.dtypes)
-        return staged(t.mapInArrow(_matched(sent), f"library_id {kinds['library_id']}, id {kinds['id']}, dl int, terms array<int>, tfs array<int>"))
+        return staged(t.mapInArrow(_matched(sent, further), f"library_id {kinds['library_id']}, id {kinds['id']}, dl int, terms array<int>, tfs array<int>"))
 
     def gathered(self, postings: DataFrame, bucket: Callable[[str], Column]) -> DataFrame:
         """postings (library_id, term, id, tf, dl, bucket) -> as counted(), staged: only the folders of the queries' terms are read. Documents without any aren't there."""

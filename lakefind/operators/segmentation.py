@@ -11,17 +11,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CJK
+from ..functions import cjk
+from ..functions.text import CJK, LATIN, STOP, tokens
 
 #: Characters of a word; occurrences, cohesion and entropy of a word of several characters; words of a lexicon, which every task holds.
 LONGEST, LEAST, COHESION, ENTROPY, MOST = 4, 5, 2.0, 1.0, 500_000
-#: Characters of a run that are taken apart at once.
-STRETCH = 1000
 
 
 def runs(text: Column) -> Column:
@@ -30,13 +31,8 @@ def runs(text: Column) -> Column:
 
 def grams(docs: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
     """(gram, c): how often each gram of up to `longest` + 1 characters stands in the runs of all texts."""
-    r = docs.select(F.explode(runs(F.col(text))).alias("r"))
-    # a long run goes in stretches that overlap by a gram
-    r = r.select("r", F.explode(F.sequence(F.lit(0), F.length("r") - 1, F.lit(STRETCH))).alias("at"))
-    r = r.select(F.substring("r", F.col("at") + 1, F.lit(STRETCH + longest)).alias("r"), F.least(F.length("r") - F.col("at"), F.lit(STRETCH)).alias("n"))
-    each = F.slice(F.regexp_extract_all("r", F.lit(f"(?s)(?=(.{{1,{longest + 1}}}))"), F.lit(1)), F.lit(1), F.col("n"))
-    # equal stretches of the greatest length come together before they are cut shorter
-    heads = r.select(F.explode(each).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("c"))
+    # what starts at each character comes together at its greatest length before it is cut shorter
+    heads = docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInArrow(cjk.heads(longest + 1), "head string, c long").groupBy("head").agg(F.sum("c").alias("c"))
     return heads.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda k: F.substring("head", F.lit(1), k))).alias("gram"), "c").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
@@ -108,3 +104,53 @@ def cutter(lex: DataFrame) -> Callable[[Column], Column]:
 
     return cut
 
+
+
+class Tokens:
+    """text.tokens with the words of a lexicon, as a column; or, where it has no longer words than a key holds, the tokens of a task's batches by number (see lexical.Asked.counted)."""
+
+    def __init__(self, lex: DataFrame):
+        words = Words({r.word: r.c for r in lex.select("word", "c").collect()})
+        sc = lex.sparkSession.sparkContext
+        self.words = cutter(lex)
+        self.sent = sc.broadcast(cjk.Cuts(list(words.share), np.array(list(words.share.values())), words.unknown)) if words.longest <= cjk.ROOM else None
+
+    def __call__(self, text: Column) -> Column:
+        return tokens(text, words=self.words)
+
+    @staticmethod
+    def latin(text: Column) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(LATIN), F.lit(0))
+
+    def further(self, terms: list[str]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A function for tasks: texts -> (row, number among terms) of their CJK tokens that are terms, and how many CJK tokens each row has."""
+        sent = self.sent
+        made: list = []
+
+        def found(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if not made:
+                key = cjk.keys(terms)
+                some = np.flatnonzero(key)
+                stop = np.zeros(cjk.LAST - cjk.FIRST + 2, bool)
+                stop[[ord(x) - cjk.FIRST + 1 for x in STOP]] = True
+                made.append((sent.value, cjk.Numbers(key[some]), np.append(some, -1), stop))
+            cuts, asked, number, stop = made[0]
+            c, start, row = cjk.characters(texts)
+            # a run has a pair less than characters
+            n = np.bincount(row, np.diff(start) - 1, len(texts)).astype(np.int64)
+            row = np.repeat(row, np.diff(start))
+            rows, ats = [], []
+            for lo, window, at, size in cuts.pieces(c, start):
+                kept = (size > 1) | ~stop[c[lo + at]]
+                at, size = at[kept], size[kept]
+                n += np.bincount(row[lo + at], minlength=len(n))
+                pair = np.flatnonzero(window >= np.uint64(1 << cjk.BITS))
+                for key, place in ((window[at] & cjk.MASKS[size], at), (window[pair] & cjk.MASKS[2], pair)):
+                    got = number[asked.find(key)]
+                    on = np.flatnonzero(got >= 0)
+                    rows.append(row[lo + place[on]])
+                    ats.append(got[on])
+            none = [np.zeros(0, np.int64)]
+            return np.concatenate(rows or none), np.concatenate(ats or none), n
+
+        return found

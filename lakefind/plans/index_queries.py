@@ -60,8 +60,8 @@ def cjk_words(spark, d):
 def cjk_bm25(spark, d):
     """Benchmark questions against all documents by words and two-character grams."""
     docs = spaceless(spark, d).withColumn("library_id", F.lit("all"))
-    cut = segmentation.cutter(segmentation.learnt(docs, staged))
-    return lexical.bm25(spaceless(spark, d, "benchmark"), docs, 10, cut=lambda t: X.tokens(t, words=cut)).select("query_id", "id", "score", "rank")
+    cut = segmentation.Tokens(segmentation.learnt(docs, staged))
+    return lexical.bm25(spaceless(spark, d, "benchmark"), docs, 10, cut=cut).select("query_id", "id", "score", "rank")
 
 
 def _index(spark, d, metric):
